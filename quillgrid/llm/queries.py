@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, divergence, language_id, license_scan, piecewise, quality_fm, token_counts
+from . import bpe_codec, divergence, html_cut, language_id, license_scan, mixing, piecewise, probminhash, quality_fm, token_counts
 from .common import fold, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -56,15 +56,29 @@ def op5_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.compared(table(spark, sf_dir, "documents"))
 
 
+def op6_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, s = html_cut.with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", f"{s}.text", f"{s}.n_chars")
+
+
+def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class, and whether it is the one that stays."""
+    return probminhash.classes(table(spark, sf_dir, "documents")).withColumn("stays", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, s = token_counts.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
     return out.select("doc_id", f"{s}.n_bytes", f"{s}.n_tokens", (F.col(f"{s}.n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, s = license_scan.with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", *[F.col(f"{s}.{n}") for n, _ in license_scan.FIELDS])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_divergence, op2_quality_fm, op3_language_id, op4_bpe_codec, op5_piecewise, op8_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (op1_divergence, op2_quality_fm, op3_language_id, op4_bpe_codec, op5_piecewise, op6_html_cut, op7_probminhash, op8_token_counts, op9_mixing, op10_license_scan)}
