@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import corpus_queries, log_queries
+
+ALL = [*corpus_queries.QUERIES, *log_queries.QUERIES]
+QUERIES = {q.name: q.run for q in ALL}
+ORACLES = {q.name: q.sql for q in ALL if q.sql}
