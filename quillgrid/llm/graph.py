@@ -6,19 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def merge_join(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the corpus: sorted and merged, so nothing is gathered on the driver."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node in ``edges`` (a, b): the label is the smallest node of its component.
 
     Each round, every label hooks onto its smallest neighbour, jumps once more along the hooks, and the edges are
     contracted; it ends when no edge joins two labels. Hot nodes are aggregated before they are shuffled.
     """
-    left = edges.select("a", "b").where("a != b").distinct().checkpoint()
-    labels = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().select("node", F.col("node").alias("label"))
+    left = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+    labels = None
     while not left.isEmpty():
-        both = left.union(left.select("b", "a"))
-        hook = both.groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")).checkpoint()
-        jump = hook.join(hook.select(F.col("a").alias("p"), F.col("p").alias("q")), "p", "left").select("a", F.coalesce("q", "p").alias("p")).checkpoint()
-        to = lambda df, c: df.join(jump.select(F.col("a").alias(c), F.col("p").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023,E731
-        labels = to(labels, "label").checkpoint()
-        left = to(to(left, "a"), "b").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
-    return labels
+        hook = left.union(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
+        jump = merge_join(hook, hook.select(F.col("a").alias("p"), F.col("p").alias("q")), "p", "left").select("a", F.coalesce("q", "p").alias("to")).checkpoint()
+        to = lambda df, c: merge_join(df, jump.withColumnRenamed("a", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023,E731
+        labels = jump.select(F.col("a").alias("node"), F.col("to").alias("label")) if labels is None else to(labels, "label").checkpoint()
+        left = to(to(left, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+    return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+
+def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after further links (a, b): only the labels that the links join are looked at."""
+    if labels is None:
+        return components(links)
+    of = lambda df, c: merge_join(df, labels.select(F.col("node").alias(c), F.col("label").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    joined = components(of(of(links, "a"), "b"))
+    moved = merge_join(labels, joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    # nodes that had no label yet
+    fresh = merge_join(joined, labels.select("node"), "node", "left_anti").select("node", "label")
+    return moved.union(fresh).checkpoint()

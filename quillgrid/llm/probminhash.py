@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, ensure_checkpoint_dir, words_of
-from .graph import components
+from .graph import merge_join, relabelled
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -145,8 +145,8 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole texts are similar; ``texts`` is (id, text)."""
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    full = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    left = merge_join(pairs, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    full = merge_join(left, texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, last, known = Shingles(), None, None
@@ -167,7 +167,25 @@ def stars(buckets: DataFrame, round_: int) -> DataFrame:
     """(a, b, hits): each node of a bucket with the bucket's chosen member, which is another in each band and round."""
     mask = F.xxhash64("h", F.lit(round_))
     chosen = buckets.groupBy("h").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("least")).select("h", F.col("least").bitwiseXOR(mask).alias("b")).checkpoint()
-    return buckets.join(chosen, "h").select(F.col("node").alias("a"), "b").where("a != b").groupBy("a", "b").agg(F.count("*").alias("hits"))
+    return merge_join(buckets, chosen, "h").select(F.col("node").alias("a"), "b").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("hits"))
+
+
+def best_pairs(pairs: DataFrame) -> DataFrame:
+    """Of each node the pair with most bands, the smaller partner of equal ones."""
+    return pairs.groupBy("a").agg(F.max(F.struct("hits", (-F.col("b")).alias("minus"))).alias("best")).select("a", (-F.col("best.minus")).alias("b"))
+
+
+def labelled_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different classes, as (a, b)."""
+    of = lambda df, c: merge_join(df, labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    return of(of(pairs.select("a", "b"), "a"), "b").where("of_a <> of_b").select("a", "b")
+
+
+def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that still hold several classes."""
+    here = merge_join(buckets, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = here.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h").checkpoint()
+    return merge_join(buckets, mixed, "h").checkpoint()
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
@@ -177,44 +195,31 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     told = rows.where("id is not null and text is not null")
     prints = sketched(told).checkpoint()
     first = prints.groupBy("key").agg(F.min("id").alias("node")).checkpoint()
-    spread = prints.where("bands is not null").select("key", "bands").join(first, "key").select("node", F.explode("bands").alias("h"))
-    shared = spread.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("h").checkpoint()
-    buckets = spread.join(shared, "h").distinct().checkpoint()
-
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    tried: DataFrame | None = None
-    texts: DataFrame | None = None
-    round_ = 0
+    spread = merge_join(prints.where("bands is not null").select("key", "bands"), first, "key").select("node", F.explode("bands").alias("h"))
+    shared = spread.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("h").checkpoint()
+    buckets = merge_join(spread, shared, "h").distinct().checkpoint()
+    texts = merge_join(told, buckets.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).checkpoint()
+
+    # round 0 verifies each node's pair with most bands, round 1 the other pairs between different classes
+    pairs = stars(buckets, 0).checkpoint()
+    labels = tried = None
+    for some in (best_pairs, lambda p: labelled_pairs(p, labels)):
+        now = some(pairs).checkpoint()
+        tried = now if tried is None else tried.union(now)
+        found = verified(now, texts, similar).checkpoint()
+        labels = relabelled(labels, found)
+    # later rounds choose other members of buckets that still hold several classes, until nothing is new
+    round_ = 1
     while True:
-        # round 0 tries each node's pair with most bands, round 1 the others, later rounds choose other members
-        here = buckets
-        if labels is not None:
-            here = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = here.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("h").checkpoint()
-            here = here.drop("label").join(mixed, "h")
-        pairs = stars(here.checkpoint() if labels is not None else here, max(0, round_ - 1))
-        if round_ == 0:
-            pairs = pairs.groupBy("a").agg(F.max(F.struct("hits", (-F.col("b")).alias("minus"))).alias("best")).select("a", (-F.col("best.minus")).alias("b"))
-        else:
-            name = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))  # noqa: B023,E731
-            pairs = pairs.drop("hits").join(name("a"), "a", "left").join(name("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
-        if pairs.isEmpty():
+        here = mixed_buckets(buckets, labels)
+        now = labelled_pairs(stars(here, round_), labels).join(tried.hint("merge"), ["a", "b"], "left_anti").checkpoint()
+        if now.isEmpty():
             break
-        tried = pairs if tried is None else tried.union(pairs).checkpoint()
-        if texts is None:  # of the nodes that have candidates at all
-            texts = told.join(buckets.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).checkpoint()
-        found = verified(pairs, texts, similar).checkpoint()
-        if round_ >= 2 and found.isEmpty():
+        found = verified(now, texts, similar).checkpoint()
+        if found.isEmpty():
             break
-        links = found if links is None else links.union(found).checkpoint()
-        labels = components(links)
-        round_ += 1
-    if labels is None:
-        labels = first.select("node", F.col("node").alias("label")).limit(0)
-    named = first.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("class_id")).checkpoint()
+        tried, labels, round_ = tried.union(now).checkpoint(), relabelled(labels, found), round_ + 1
+    named = merge_join(first, labels, "node", "left").select("key", F.coalesce("label", "node").alias("class_id")).checkpoint()
     kind = docs.schema[doc_id].dataType
-    known = prints.select("id", "key").join(named, "key").select("id", "class_id")
+    known = merge_join(prints.select("id", "key"), named, "key").select("id", "class_id")
     return known.union(rows.where("id is null or text is null").select("id", F.col("id").alias("class_id"))).select(F.col("id").cast(kind).alias("doc_id"), F.col("class_id").cast(kind).alias("class_id"))
