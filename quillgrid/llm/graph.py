@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 
 def merge_join(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """A join of two sides that both grow with the corpus: sorted and merged, so nothing is gathered on the driver."""
-    return a.join(b.hint("merge"), on, how)
+    """A join of two sides that both grow with the corpus: sorted and merged, so nothing is gathered on the driver.
+
+    The sides meet on a changed key, so that both are shuffled for the join even where one is partitioned by the key
+    already: only then can adaptive execution split the partitions of hot keys.
+    """
+    kind = a.schema[on].dataType.typeName()
+    key = F.col(on).bitwiseXOR(F.lit(0x5BD1E995)) if kind == "long" else F.concat(F.col(on), F.lit(b"\0"))
+    right = b.withColumn("k_", key).drop(on)
+    return a.withColumn("k_", key).join(right.hint("merge"), "k_", how).drop("k_")
 
 
 def components(edges: DataFrame) -> DataFrame:

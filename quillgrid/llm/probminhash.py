@@ -7,11 +7,13 @@ the probability Jaccard similarity of their shingles. BANDS bands of ROWS regist
 similarity 0.8 has none with probability 3e-6), and candidates are verified on their whole texts: they are linked if
 the probability Jaccard or the plain Jaccard similarity of their shingles is 0.8 or more.
 
-Candidates without all pairs: equal texts are one node first. In each bucket all nodes are paired with one member,
-another for each band; of its pairs each node verifies the one with most bands first, then the others as far as they
-still lie in different classes; then the buckets that hold several classes choose new members, until a round links
-nothing. A pair is missed only if every one of the bands it has in common (about 10 of 32 at similarity 0.8) chose,
-in each round, members that one of the two isn't linked with even through others.
+Candidates without all pairs: equal texts are one node first. In each bucket all nodes are paired with its most
+central member, the one that shares the largest buckets (of texts copied from one original, the original or what is
+nearest to it). Of its pairs each node verifies the one with most bands first, then the others as far as they still
+lie in different classes and their registers don't rule them out (below NEAR, five standard deviations from 0.8);
+then the buckets that hold several classes choose members by chance, until a round links nothing. A link is missed
+only if every band that its two texts share (about 10 of 32 at similarity 0.8) chose, in each round, members that one
+of the two isn't linked with, even through others.
 
 Ids are integers; an id that several texts carry joins their classes. Defined results: a null text, or one without
 words, is no one's near copy (texts without words still equal each other if they are the same); a null id has a null
@@ -23,10 +25,11 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, ensure_checkpoint_dir, words_of
@@ -36,6 +39,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
+#: Share of equal registers below which a similarity of 0.8 is ruled out (3 in 10 million).
+NEAR = 0.64
 MEMO = 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,11 +104,20 @@ def registers(h: np.ndarray, w: np.ndarray, m: int = REGISTERS) -> np.ndarray:
     return who
 
 
-def bands(who: np.ndarray) -> np.ndarray:
-    out = np.arange(1, BANDS + 1).astype(np.uint64)
-    for k in range(ROWS):
-        out = mix(out * GOLDEN + who[k * BANDS : (k + 1) * BANDS])
-    return out.view(np.int64)
+def packed(who: np.ndarray) -> bytes:
+    """16 bits of each register; the ROWS registers of a band stand side by side."""
+    return who.astype("<u2").tobytes()
+
+
+def bands(packed_registers: str) -> Column:
+    """Bucket keys of packed registers, one for each band."""
+    return F.array(*[F.xxhash64(F.lit(k), F.substring(packed_registers, 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
+
+
+def agreement(a: str, b: str) -> Column:
+    """Share of equal registers of two packed columns."""
+    same = F.filter(F.sequence(F.lit(0), F.lit(REGISTERS - 1)), lambda i: F.substring(a, 2 * i + 1, F.lit(2)) == F.substring(b, 2 * i + 1, F.lit(2)))
+    return F.size(same) / REGISTERS
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -124,7 +138,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(id, key, bands) from (id, text): key is the text's digest; a text that a task has met before has no bands again."""
+    """(id, key, registers) from (id, text): key is the text's digest; a text that a task has met before has no registers again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(), set()
@@ -137,10 +151,10 @@ def sketched(docs: DataFrame) -> DataFrame:
                     keys.append(key)
                     h, w = shingles(t) if key not in seen else ((), ())
                     seen.add(key)
-                    rows.append(bands(registers(h, w)) if len(h) else None)
-                yield pa.RecordBatch.from_pydict({"id": b.column(0), "key": pa.array(keys, pa.binary()), "bands": pa.array(rows, pa.list_(pa.int64()))})
+                    rows.append(packed(registers(h, w)) if len(h) else None)
+                yield pa.RecordBatch.from_pydict({"id": b.column(0), "key": pa.array(keys, pa.binary()), "registers": pa.array(rows, pa.binary())})
 
-    return docs.mapInArrow(run, "id long, key binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, key binary, registers binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -163,11 +177,21 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
     return full.mapInArrow(run, "a long, b long")
 
 
-def stars(buckets: DataFrame, round_: int) -> DataFrame:
-    """(a, b, hits): each node of a bucket with the bucket's chosen member, which is another in each band and round."""
-    mask = F.xxhash64("h", F.lit(round_))
-    chosen = buckets.groupBy("h").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("least")).select("h", F.col("least").bitwiseXOR(mask).alias("b")).checkpoint()
-    return merge_join(buckets, chosen, "h").select(F.col("node").alias("a"), "b").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("hits"))
+def stars(buckets: DataFrame, rank: DataFrame | int) -> DataFrame:
+    """(a, b, hits): each node of a bucket with the bucket's chosen member: that of the highest rank (node, rank), or of a hash with a seed."""
+    if isinstance(rank, int):
+        mask = F.xxhash64("h", F.lit(rank))
+        chosen = buckets.groupBy("h").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("b")).select("h", F.col("b").bitwiseXOR(mask).alias("b"))
+    else:
+        chosen = merge_join(buckets, rank, "node").groupBy("h").agg(F.max_by("node", "rank").alias("b"))
+    return merge_join(buckets, chosen.checkpoint(), "h").select(F.col("node").alias("a"), "b").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("hits"))
+
+
+def centrality(buckets: DataFrame) -> DataFrame:
+    """(node, rank): the sizes of a node's buckets together; a hash of the node parts equal ones."""
+    sizes = buckets.groupBy("h").agg(F.count("*").alias("n")).checkpoint()
+    tie = F.xxhash64("node").bitwiseAND(F.lit((1 << 20) - 1)) / F.lit(float(1 << 20))
+    return merge_join(buckets, sizes, "h").groupBy("node").agg(F.sum("n").alias("n")).select("node", (F.col("n") + tie).alias("rank")).checkpoint()
 
 
 def best_pairs(pairs: DataFrame) -> DataFrame:
@@ -181,6 +205,12 @@ def labelled_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return of(of(pairs.select("a", "b"), "a"), "b").where("of_a <> of_b").select("a", "b")
 
 
+def possible(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs that their registers don't rule out; ``prints``: node, registers."""
+    of = lambda df, c: merge_join(df, prints.select(F.col("node").alias(c), F.col("registers").alias(f"of_{c}")), c)
+    return of(of(pairs, "a"), "b").where(agreement("of_a", "of_b") >= NEAR).select("a", "b")
+
+
 def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of buckets that still hold several classes."""
     here = merge_join(buckets, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -195,30 +225,31 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     told = rows.where("id is not null and text is not null")
     prints = sketched(told).checkpoint()
     first = prints.groupBy("key").agg(F.min("id").alias("node")).checkpoint()
-    spread = merge_join(prints.where("bands is not null").select("key", "bands"), first, "key").select("node", F.explode("bands").alias("h"))
+    nodes = merge_join(prints.where("registers is not null").select("key", "registers"), first, "key").select("node", "registers")
+    spread = nodes.select("node", F.explode(bands("registers")).alias("h"))
     shared = spread.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("h").checkpoint()
     buckets = merge_join(spread, shared, "h").distinct().checkpoint()
-    texts = merge_join(told, buckets.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]).checkpoint()
+    candidates = buckets.select("node").distinct().checkpoint()
+    texts = merge_join(told, candidates.withColumnRenamed("node", "id"), "id", "left_semi").dropDuplicates(["id"]).checkpoint()
+    registers_ = merge_join(nodes, candidates, "node", "left_semi").dropDuplicates(["node"]).checkpoint()
 
     # round 0 verifies each node's pair with most bands, round 1 the other pairs between different classes
-    pairs = stars(buckets, 0).checkpoint()
-    labels = tried = None
-    for some in (best_pairs, lambda p: labelled_pairs(p, labels)):
-        now = some(pairs).checkpoint()
-        tried = now if tried is None else tried.union(now)
-        found = verified(now, texts, similar).checkpoint()
-        labels = relabelled(labels, found)
+    pairs = stars(buckets, centrality(buckets)).checkpoint()
+    now = tried = best_pairs(pairs).checkpoint()
+    labels = relabelled(None, verified(now, texts, similar).checkpoint())
+    now = possible(labelled_pairs(pairs, labels), registers_).checkpoint()
+    tried, labels = tried.union(now), relabelled(labels, verified(now, texts, similar).checkpoint())
     # later rounds choose other members of buckets that still hold several classes, until nothing is new
-    round_ = 1
-    while True:
+    for round_ in count(1):
         here = mixed_buckets(buckets, labels)
-        now = labelled_pairs(stars(here, round_), labels).join(tried.hint("merge"), ["a", "b"], "left_anti").checkpoint()
+        fresh = labelled_pairs(stars(here, round_), labels).join(tried.hint("merge"), ["a", "b"], "left_anti")
+        now = possible(fresh, registers_).checkpoint()
         if now.isEmpty():
             break
         found = verified(now, texts, similar).checkpoint()
         if found.isEmpty():
             break
-        tried, labels, round_ = tried.union(now).checkpoint(), relabelled(labels, found), round_ + 1
+        tried, labels = tried.union(now).checkpoint(), relabelled(labels, found)
     named = merge_join(first, labels, "node", "left").select("key", F.coalesce("label", "node").alias("class_id")).checkpoint()
     kind = docs.schema[doc_id].dataType
     known = merge_join(prints.select("id", "key"), named, "key").select("id", "class_id")
