@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def release(df: DataFrame) -> DataFrame:
+    """Lets go of the shuffle files and checkpoints of finished steps: Spark deletes them once the driver's garbage is collected."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def merge_join(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """A join of two sides that both grow with the corpus: sorted and merged, so nothing is gathered on the driver.
 
@@ -32,6 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
         to = lambda df, c: merge_join(df, jump.withColumnRenamed("a", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023,E731
         labels = jump.select(F.col("a").alias("node"), F.col("to").alias("label")) if labels is None else to(labels, "label").checkpoint()
         left = to(to(left, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+        release(left)
     return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
@@ -44,4 +54,4 @@ def relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     moved = merge_join(labels, joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     # nodes that had no label yet
     fresh = merge_join(joined, labels.select("node"), "node", "left_anti").select("node", "label")
-    return moved.union(fresh).checkpoint()
+    return release(moved.union(fresh).checkpoint())

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, ensure_checkpoint_dir, words_of
-from .graph import merge_join, relabelled
+from .graph import merge_join, release, relabelled
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -215,7 +215,7 @@ def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of buckets that still hold several classes."""
     here = merge_join(buckets, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = here.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h").checkpoint()
-    return merge_join(buckets, mixed, "h").checkpoint()
+    return release(merge_join(buckets, mixed, "h").checkpoint())
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
@@ -228,13 +228,13 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     nodes = merge_join(prints.where("registers is not null").select("key", "registers"), first, "key").select("node", "registers")
     spread = nodes.select("node", F.explode(bands("registers")).alias("h"))
     shared = spread.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("h").checkpoint()
-    buckets = merge_join(spread, shared, "h").distinct().checkpoint()
+    buckets = release(merge_join(spread, shared, "h").distinct().checkpoint())
     candidates = buckets.select("node").distinct().checkpoint()
     texts = merge_join(told, candidates.withColumnRenamed("node", "id"), "id", "left_semi").dropDuplicates(["id"]).checkpoint()
-    registers_ = merge_join(nodes, candidates, "node", "left_semi").dropDuplicates(["node"]).checkpoint()
+    registers_ = release(merge_join(nodes, candidates, "node", "left_semi").dropDuplicates(["node"]).checkpoint())
 
     # round 0 verifies each node's pair with most bands, round 1 the other pairs between different classes
-    pairs = stars(buckets, centrality(buckets)).checkpoint()
+    pairs = release(stars(buckets, centrality(buckets)).checkpoint())
     now = tried = best_pairs(pairs).checkpoint()
     labels = relabelled(None, verified(now, texts, similar).checkpoint())
     now = possible(labelled_pairs(pairs, labels), registers_).checkpoint()
