@@ -30,16 +30,21 @@ def merge_join(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataF
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node in ``edges`` (a, b): the label is the smallest node of its component.
 
-    Each round, every label hooks onto its smallest neighbour, jumps once more along the hooks, and the edges are
-    contracted; it ends when no edge joins two labels. Hot nodes are aggregated before they are shuffled.
+    Each round, every label hooks onto its smallest neighbour, if that is smaller; the hooks are trees, whose depth is
+    halved by jumping until all point at their roots; then the edges are contracted. It ends when no edge joins two
+    labels. Hot nodes are aggregated before they are shuffled, and joins on hot roots can be split.
     """
     left = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
     labels = None
     while not left.isEmpty():
-        hook = left.union(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p"))
-        jump = merge_join(hook, hook.select(F.col("a").alias("p"), F.col("p").alias("q")), "p", "left").select("a", F.coalesce("q", "p").alias("to")).checkpoint()
-        to = lambda df, c: merge_join(df, jump.withColumnRenamed("a", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023,E731
-        labels = jump.select(F.col("a").alias("node"), F.col("to").alias("label")) if labels is None else to(labels, "label").checkpoint()
+        root = left.union(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("p")).select("a", F.least("a", "p").alias("p")).checkpoint()
+        while True:
+            further = merge_join(root, root.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", F.col("q").alias("p"), (F.col("q") < F.col("p")).alias("moved")).checkpoint()
+            root = further.select("a", "p")
+            if further.where("moved").isEmpty():
+                break
+        to = lambda df, c: merge_join(df, root.select(F.col("a").alias(c), F.col("p").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: B023,E731
+        labels = root.select(F.col("a").alias("node"), F.col("p").alias("label")) if labels is None else to(labels, "label").checkpoint()
         left = to(to(left, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
         release(left)
     return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("label"))
