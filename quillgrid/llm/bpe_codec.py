@@ -22,8 +22,8 @@ from .common import SLICE, fresh_name, struct_udf, with_struct, words_of
 from .wordbpe import Generations, Splitter, Vocabulary, load
 
 NONE = 1 << 60
-#: Entries of each generation of a task's memo.
-MEMO = 150_000
+#: Entries of each generation of a task's memos, of runs and of the pieces in them.
+RUN_MEMO, PIECE_MEMO = 120_000, 60_000
 
 
 def encode_word(word: bytes, v: Vocabulary) -> list[int]:
@@ -80,7 +80,7 @@ class Codec:
 
     def __init__(self, v: Vocabulary):
         self.v, self.split = v, Splitter(v.special)
-        self.memo, self.pieces = Generations(MEMO), Generations(MEMO)
+        self.memo, self.pieces = Generations(RUN_MEMO), Generations(PIECE_MEMO)
 
     def piece(self, p: str | int) -> tuple[int, ...]:
         if isinstance(p, int):
