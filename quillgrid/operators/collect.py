@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .aggregates import verdict
 from .dedup import first_of
 from .joins import superseded_runs
 
@@ -20,7 +19,8 @@ def collect(runs: DataFrame, results: DataFrame, ignored: tuple[str, ...] = (),
     """
     gone = superseded_runs(runs).withColumn("superseded", F.lit(True))
     marked = results.join(gone, "run_id", "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)) & F.col("linter").isin(*only_in_last))
-    n = marked.agg(F.count_if("superseded").alias("n"))
-    kept = first_of(marked.where("not superseded"), FIVE, ("run_id", "ordinal"))
-    counts = verdict(kept, ignored).drop("superseded").crossJoin(F.broadcast(n.withColumnRenamed("n", "superseded")))  # one row each
-    return kept.drop("superseded"), counts
+    kept = first_of(marked.where("not superseded"), FIVE, ("run_id", "ordinal")).drop("superseded")
+    told = kept.select("linter", F.lit(False).alias("gone")).unionByName(marked.where("superseded").select("linter", F.lit(True).alias("gone")))
+    skip = F.col("linter").isin(*ignored) if ignored else F.lit(False)
+    counts = told.agg(F.count_if(~F.col("gone")).alias("findings"), F.count_if(~F.col("gone") & ~skip).alias("enforced"), F.count_if(~F.col("gone") & skip).alias("ignored"), F.count_if("gone").alias("superseded"))
+    return kept, counts

@@ -123,7 +123,7 @@ SELECT n, p.file AS file, p.line AS line FROM (SELECT c1, c2, count(*) AS n, min
     Query("findings_by_severity", lambda s, d: aggregates.by_severity(findings(s, d)), f"WITH {FINDINGS} SELECT s.severity AS severity, count(f.linter) AS n FROM (SELECT unnest(['error', 'warning', 'info']) AS severity) s LEFT JOIN findings f USING (severity) GROUP BY s.severity"),
     Query("per_linter_counts", lambda s, d: aggregates.by_linter(findings(s, d)), f"WITH {FINDINGS} SELECT linter, count(*) AS n FROM findings GROUP BY linter"),
     Query("verdict_counts", lambda s, d: aggregates.verdict(findings(s, d), ("asciicheck", "godox"), 3), f"WITH {FINDINGS} SELECT count(*) AS findings, count(*) FILTER (linter NOT IN ('asciicheck', 'godox')) AS enforced, count(*) FILTER (linter IN ('asciicheck', 'godox')) AS ignored, CAST(3 AS BIGINT) AS superseded FROM findings"),
-    Query("canonical_sort", lambda s, d: ordering.top(findings(s, d), 100, *ordering.CANONICAL).select(*PLACE), f"WITH {FINDINGS} SELECT linter, message, severity, file, line FROM findings ORDER BY file, line, \"column\", linter, message LIMIT 100"),
+    Query("canonical_sort", lambda s, d: ordering.canonical_sort(findings(s, d)).select(*PLACE), f"WITH {FINDINGS} SELECT linter, message, severity, file, line FROM findings ORDER BY file, line, \"column\", linter, message"),
     Query("top20", lambda s, d: ordering.top(findings(s, d), 20, "file", "line", "linter", "message").select("file", "line", "linter", "message"), f"WITH {FINDINGS} SELECT file, line, linter, message FROM findings ORDER BY file, line, linter, message LIMIT 20"),
     Query("first_seen_linter", lambda s, d: dedup.first_seen(findings(s, d).withColumn("seq", F.concat_ws(":", "file", F.lpad("line", 6, "0"))), "linter"), f"WITH {FINDINGS} SELECT linter, min(file || ':' || lpad(CAST(line AS VARCHAR), 6, '0')) AS seq FROM findings GROUP BY linter"),
     Query("grouped_by_file", lambda s, d: aggregates.grouped_by_file(findings(s, d).select("file", F.struct("line", "linter").alias("seq"), "message")).select("file", F.size("findings").alias("n"), F.get("findings", 0)["message"].alias("first")), f"WITH {FINDINGS} SELECT file, CAST(count(*) AS INTEGER) AS n, arg_min(message, {{'line': line, 'linter': linter}}) AS first FROM findings GROUP BY file"),

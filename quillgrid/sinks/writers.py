@@ -30,8 +30,8 @@ def parts(rows: DataFrame, value: Column, head: str = "", tail: str = "", betwee
     name = F.col("name") if "name" in rows.columns else F.lit("")
     body = rows.select(F.lit(1).alias("part"), name.alias("name"), F.col("seq").cast("long").alias("seq"), value.alias("value"))
     if between:
-        first = rows.agg(F.min("seq").alias("least"))
-        body = body.crossJoin(F.broadcast(first)).withColumn("value", F.concat(F.when(F.col("seq") == F.col("least"), F.lit("")).otherwise(F.lit(between)), "value")).drop("least")  # one row
+        least = rows.agg(F.min("seq")).first()[0]
+        body = body.withColumn("value", F.concat(F.when(F.col("seq") == F.lit(least), F.lit("")).otherwise(F.lit(between)), "value"))
     return body.unionByName(rows.sparkSession.createDataFrame([(0, "", 0, head), (2, "", 0, tail)], "part int, name string, seq long, value string"))
 
 
@@ -50,7 +50,8 @@ def tab(findings: DataFrame) -> DataFrame:
     f = full(findings).withColumn("pos", fc.position())
     widths = [F.max(F.char_length(c)).alias(f"w_{c}") for c in ("pos", "linter")]
     if f.where(F.instr("message", "\n") > 0).isEmpty():
-        sized = f.crossJoin(F.broadcast(f.agg(*widths)))  # one row
+        pos, linter = f.agg(*widths).first()
+        sized = f.withColumn("w_pos", F.lit(pos)).withColumn("w_linter", F.lit(linter))
     else:  # blocks follow each other in one sequence
         breaks = F.sum(F.when(F.instr("message", "\n") > 0, 1).otherwise(0)).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
         blocks = f.withColumn("block", F.coalesce(breaks, F.lit(0)))

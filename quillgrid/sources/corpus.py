@@ -50,7 +50,7 @@ def roots(packages: DataFrame) -> DataFrame:
 
 def synthetic_packages(spark: SparkSession, leaves: int, mids: int, tops: int, fan_out: int = 3) -> DataFrame:
     """A leaf, mid and root graph as edges (src, dst): each mid depends on ``fan_out`` leaves, each root on all mids."""
-    mid = spark.range(mids).crossJoin(spark.range(min(fan_out, leaves)).withColumnRenamed("id", "k"))  # of the shape asked for
-    low = mid.select(F.concat(F.lit("mid"), "id").alias("src"), F.concat(F.lit("leaf"), ((F.col("id") + F.col("k")) % leaves).cast("string")).alias("dst"))
-    top = spark.range(tops).crossJoin(spark.range(mids).withColumnRenamed("id", "k"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")
+    low = spark.range(mids).select("id", upto(min(fan_out, leaves))).select(F.concat(F.lit("mid"), "id").alias("src"), F.concat(F.lit("leaf"), ((F.col("id") + F.col("k")) % leaves).cast("string")).alias("dst"))
+    top = spark.range(tops).select("id", upto(mids))
     return low.union(top.select(F.concat(F.lit("root"), "id"), F.concat(F.lit("mid"), "k"))).distinct()
