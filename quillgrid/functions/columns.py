@@ -252,3 +252,19 @@ def import_visible(importer: C, imported: C) -> Column:
 def has_prefix(path: C, prefix: C) -> Column:
     """Whole path elements."""
     return (col(path) == col(prefix)) | F.startswith(col(path), F.concat(col(prefix), F.lit("/")))
+
+
+def imports_c(text: C) -> Column:
+    """Whether a source file imports the C pseudo package."""
+    return col(text).rlike(r'(?m)^\s*import\s+"C"')
+
+
+def from_editor(line0: C = "line", column0: C = "column") -> tuple[Column, Column]:
+    """Editor positions count from 0, findings from 1."""
+    return (col(line0) + 1).alias("line"), (col(column0) + 1).alias("column")
+
+
+def snake_case(name: C) -> Column:
+    """fooBarIDs -> foo_bar_ids."""
+    parts = F.regexp_replace(F.regexp_replace(col(name), "([a-z0-9])([A-Z])", "$1_$2"), "([A-Z]+)([A-Z][a-z])", "$1_$2")
+    return F.regexp_replace(F.lower(parts), "_i_ds(_|$)", "_ids$1")

@@ -48,3 +48,9 @@ def report(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("A", "B"), most
         out += ["", f"## Only {name}", ""]
         out += [f"- {r['file']}:{r['line']} {r['linter']}: {r['message']}" for r in rows.orderBy("file", "line", "linter", "message").limit(most).collect()]
     return "\n".join(out) + "\n"
+
+
+def detailed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All one-sided findings of both sides, to be written in comparison order."""
+    side = lambda df, name: df.select(F.lit(name).alias("side"), "file", "line", "column", "linter", "message")
+    return side(only(a, b), "a").unionByName(side(only(b, a), "b")).orderBy("side", "file", "line", "linter", "message")

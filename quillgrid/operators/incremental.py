@@ -137,3 +137,23 @@ def unaffected(dependents: DataFrame, before: DataFrame, after: DataFrame) -> Da
     """Early cut-off: dependents (package) whose facts' digest (package, facts) is as before."""
     same = before.join(after, ["package", "facts"]).select("package")
     return dependents.join(same, "package", "left_semi")
+
+
+def workspace_digest(files: DataFrame, tags: tuple[str, ...] = (), env: dict[str, str] | None = None) -> str:
+    """Of all files' paths and contents (file, text), build tags and environment."""
+    import hashlib
+
+    rows = files.select(F.lit(1).alias("all"), "file", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    # files are digested by shard first, so that no task gathers all of them
+    sharded = set_digest(rows.withColumn("shard", F.substring(F.sha2("file", 256), 1, 3)), ("shard",), "file", "hash")
+    found = sharded.orderBy("shard").collect()  # of 4096 shards at most
+    parts = [f"{r['shard']}={r['digest']}" for r in found] + sorted(tags) + [f"{k}={v}" for k, v in sorted((env or {}).items())]
+    return hashlib.sha256("".join(f"{len(x)}:{x}" for x in parts).encode()).hexdigest()
+
+
+def metrics(counters: DataFrame, severities: DataFrame) -> str:
+    """Cache counters by tier and findings by severity as JSON."""
+    import json
+
+    tiers = {r["tier"]: {k: r[k] for k in ("hits", "misses", "stores", "errors")} for r in counters.collect()}
+    return json.dumps({"cache": tiers, "findings": {r["severity"]: r["n"] for r in severities.collect()}}, sort_keys=True)

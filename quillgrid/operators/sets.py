@@ -74,3 +74,9 @@ def selected(analyzers: DataFrame, wanted: list[str]) -> DataFrame:
     if missing:
         raise ValueError(f"unknown analyzers: {', '.join(missing)}")
     return analyzers.where(F.col("name").isin(*wanted))
+
+
+def symbols(index: DataFrame, package: str, name: str, prefix: bool = False) -> DataFrame:
+    """Symbols (package, name, ...) of a module index by exact name or by prefix."""
+    hit = F.startswith("name", F.lit(name)) if prefix else F.col("name") == name
+    return index.where((F.col("package") == package) & hit)

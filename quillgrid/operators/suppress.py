@@ -64,6 +64,14 @@ class Config:
     base: str = ""
     once_per_line: bool = True
 
+    def digest(self) -> str:
+        """Of all that decides what is dropped, with the order of linters in a rule left out, and the base path."""
+        import hashlib
+
+        rules = [[sorted(r.linters), r.path, r.path_except, r.text, r.source] for r in self.all_rules()]
+        parts = ["targets", self.targets, "paths", self.paths, "except", self.paths_except, "generated", self.generated, "rules", rules, "style", self.keep_style_checks, "once", self.once_per_line]
+        return hashlib.sha256("".join(f"{len(str(x))}:{x}" for x in parts).encode()).hexdigest()
+
     def all_rules(self) -> tuple[ExcludeRule, ...]:
         return self.rules + tuple(r for p in self.presets for r in PRESETS[p])
 

@@ -122,3 +122,9 @@ def test_configuration(tmp_path):
     assert config.load(config.discover(str(tmp_path / "a"))) == {"run": {}}
     with pytest.raises(ValueError):
         config.load(str(tmp_path / "x.toml")) if (tmp_path / "x.toml").write_text("") == 0 else None
+
+
+def test_names_and_imports(spark):
+    assert values(spark, [("fooBarIDs",), ("HTTPServer",), ("plain",)], "n string", fc.snake_case("n")) == ["foo_bar_ids", "http_server", "plain"]
+    assert values(spark, [('x\nimport "C"\n',), ('import "Cx"',)], "t string", fc.imports_c("t")) == [True, False]
+    assert values(spark, [(0, 4)], "line int, column int", F.struct(*fc.from_editor())) == [(1, 5)]

@@ -215,3 +215,24 @@ def test_plugins(spark):
     assert sorted(" ".join(r["value"] for r in out.where("value is not null").collect()).split()) == ["x", "y"]
     assert plugins.outcome(out) == (0, None)
     assert plugins.outcome(plugins.run(files.limit(1), ["sh", "-c", "exit 3"]))[0] == 3
+
+
+def test_digests_of_configuration_and_workspace(spark):
+    R = suppress.ExcludeRule
+    one, two = (suppress.Config(rules=(R(linters=x, text="t"),), base=b) for x, b in ((("a", "b"), "/x"), (("b", "a"), "/y")))
+    assert one.digest() == two.digest() != suppress.Config().digest()
+    files = frame(spark, "file string, text string", ("a", "1"), ("b", None))
+    w = incremental.workspace_digest
+    assert w(files) == w(files.orderBy(F.desc("file"))) and len({w(files), w(files, ("t",)), w(files, (), {"k": "v"}), w(files.limit(1))}) == 4
+
+
+def test_metrics_and_symbols(spark):
+    events = frame(spark, "tier string, outcome string", ("L0", "hit"), ("L0", "miss"), ("L1", "store"))
+    f = frame(spark, FINDING, (1, "a", "m", "info", "f", 1, 0))
+    got = json.loads(incremental.metrics(aggregates.cache_counters(events), aggregates.by_severity(f)))
+    assert got["cache"]["L0"] == {"hits": 1, "misses": 1, "stores": 0, "errors": 0} and got["findings"]["info"] == 1
+    index = frame(spark, "package string, name string", ("p", "Foo"), ("p", "FooBar"), ("q", "Foo"))
+    assert sets.symbols(index, "p", "Foo").count() == 1 and sets.symbols(index, "p", "Foo", prefix=True).count() == 2
+    ddl = "file string, line int, column int, linter string, message string"
+    a, b = frame(spark, ddl, ("f", 1, 0, "x", "m")), frame(spark, ddl, ("g", 1, 0, "x", "m"))
+    assert [r["side"] for r in compare.detailed(a, b).collect()] == ["a", "b"]
