@@ -34,6 +34,10 @@ SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"
 
 #: Words of classes, ids and roles that tell what an element is for.
 AWAY = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar comment comments disqus discussion reply replies respond reader share sharing social follow related recommended recommendations widget newsletter subscribe subscription signup login search toolbar skip copyright legal disclaimer tags trending contentinfo complementary dialog feedback toc".split())
+#: Of these, words that don't weigh against a word for content beside them, as in post-header.
+SOFT = frozenset("header side reader follow tags toc search".split())
+#: Words that say an element only lies beside, or goes without, what its other words name.
+WITHOUT = frozenset("with has no free".split())
 TOWARD = frozenset("article content main post entry story text body prose maincontent articlebody".split())
 BOILERPLATE = frozenset(("nav", "footer", "aside", "form", "fieldset", "dialog"))
 
@@ -61,7 +65,7 @@ class Element:
                     names.update(w.lower() for w in split_name(unescape(a or b or c)))
                 elif key == "hidden" or (key == "style" and "display:none" in (a or b or c).replace(" ", "").lower()):
                     hidden = True
-        away = bool(names & AWAY) and tag not in ("body", "html") and (not names & TOWARD or bool(names & {"comment", "comments"}))
+        away = tag not in ("body", "html") and not names & WITHOUT and bool(names & (AWAY - SOFT) or names & AWAY and not names & TOWARD)
         if tag in ("article", "main"):
             away = bool(names & {"comment", "comments", "reply", "ad", "ads", "sponsored", "promo", "related"})
         article = tag in ("article", "main") or "main" in names and "role" in raw

@@ -351,6 +351,21 @@ def test_page_without_article_element():
     assert main_text("<article><p>a<p>b &lt;c&gt;</article>") == "a\nb <c>"
 
 
+@pytest.mark.parametrize(
+    "inside",
+    [
+        '<aside>Other news of the day that you may want to read, all of it here.</aside>', '<div class="text-ad">Buy it now, the best offer of the year for all readers.</div>', '<div class="cookie-notice">We use cookies to make this site work better for you.</div>',
+        '<section id="comments"><h2>Comments</h2><div class="comment-body">I liked this one very much, thank you for it.</div></section>', "<form><p>Your name and address, please, so that we can write.</p><input></form>", '<div class="main-nav"><a href="/">Home page</a></div>',
+        '<div role="alert">A new version of this page is there, reload it to see.</div>', '<ul class="related-content"><li>Another article of this site that is like this one.</li></ul>', "<footer>Written by somebody, all rights reserved, some time ago.</footer>", '<p style="display: none">You do not see this text here, it is hidden.</p>', "<style>p { color: red }</style><noscript>Turn it on, please.</noscript>",
+    ],
+)
+def test_boilerplate_inside_an_article(inside):
+    from quillgrid.llm.html_cut import main_text
+
+    page = f'<body class="no-sidebar"><main class="content-with-sidebar"><article class="post"><div class="post-header"><h1>Title</h1></div><p>One.</p>{inside}<p>Two words.</p><ul><li>item</li></ul></article></main></body>'
+    assert main_text(page) == "Title\nOne.\nTwo words.\nitem"
+
+
 def test_cut_is_minimal():
     from quillgrid.llm.html_cut import min_cut
 
