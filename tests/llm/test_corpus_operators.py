@@ -56,6 +56,15 @@ def test_next_documents(spark, per_range):
         assert got[i]["near_next"] == piecewise.likeness(piecewise.fingerprint(t), piecewise.fingerprint(u))
 
 
+def test_next_over_many_ranges(spark):
+    from quillgrid.llm import piecewise
+
+    texts = [f"text number {i} " * (i % 5 + 1) for i in range(260)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["edited_sha256"] for x in piecewise.compared(docs, per_range=1).collect()}
+    assert got == {i: hashlib.sha256(piecewise.edited(t, texts[(i + 1) % 260]).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
 def test_next_of_few_and_repeated(spark):
     from quillgrid.llm import piecewise
 
