@@ -23,7 +23,7 @@ from .wordbpe import Generations, Splitter, Vocabulary, load
 
 NONE = 1 << 60
 #: Entries of each generation of a task's memos, of runs and of the pieces in them.
-RUN_MEMO, PIECE_MEMO = 120_000, 60_000
+RUN_MEMO, PIECE_MEMO = 150_000, 80_000
 
 
 def encode_word(word: bytes, v: Vocabulary) -> list[int]:
