@@ -17,6 +17,9 @@ import regex
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+MARKS = frozenset(",.!?;:")
+
+
 def byte_symbols() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -86,6 +89,11 @@ class Splitter:
 
     def __call__(self, text: str) -> list[str | int]:
         """Pieces of a text: str for a word, int for a special token's id."""
+        # letters up to U+00FF, and one mark after them at most, need no look at the rest: most runs are such
+        if text.isalpha() and max(text) <= "\u00ff":
+            return [text.lower()]
+        if text[-1:] in MARKS and text[:-1].isalpha() and max(text) <= "\u00ff":
+            return [text[:-1].lower(), text[-1]]
         if self.specials is None or not self.specials.search(text):
             return self.plain(text)
         out: list[str | int] = []
