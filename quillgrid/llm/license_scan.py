@@ -2,7 +2,7 @@
 
 One Aho-Corasick automaton runs over a text's normalised words (A-Z lower-cased; runs of 0-9, a-z and characters
 beyond ASCII) and finds the base phrases, further notice phrases and identifier tags at once. Where an identifier tag
-stands, the license expression after it in the raw text is read with a shunting-yard parser (``with`` binds before
+stands, be it several on a line, the license expression after it in the raw text is read with a shunting-yard parser (``with`` binds before
 ``and``, ``and`` before ``or``), and evaluated: its labels, and whether a permissive choice is enough.
 
 score: 1 for a whole expression, 0.9 for a base phrase, 0.8 for another notice, 0.5 for a tag whose expression can't
@@ -48,7 +48,7 @@ PERMISSIVE = {"mit", "apache", "bsd", "isc", "bsl", "cc-by", "cc0", "public-doma
 FAMILIES = (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"), ("bsl-1.0", "bsl"), ("isc", "isc"), ("cc-by", "cc-by"), ("cc0", "cc0"), ("unlicense", "public-domain"))
 
 norm_words = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+").findall
-tag_of = re.compile(r"spdx[^0-9a-z\n\x80-\U0010ffff]{1,3}license[^0-9a-z\n\x80-\U0010ffff]{1,3}identifier[ \t]*:?[ \t]*([^\n]*)", re.I).finditer
+tag_of = re.compile(r"spdx[^0-9a-z\n\x80-\U0010ffff]{1,3}license[^0-9a-z\n\x80-\U0010ffff]{1,3}identifier[ \t]*:?[ \t]*", re.I).finditer
 token_of = re.compile(r"[ \t]*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+-]*))").match
 BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -64,11 +64,11 @@ class Value:
     permissive: bool
 
 
-def evaluate(text: str) -> Value | None:
-    """The longest license expression that ``text`` begins with; None if there is none."""
+def evaluate(text: str, at: int = 0, end: int | None = None) -> Value | None:
+    """The longest license expression that begins at ``at`` and ends on its line, before ``end``; None if there is none."""
     values: list[Value] = []
     waiting: list[str] = []
-    best, at, operand = None, 0, True
+    best, operand, end = None, True, len(text) if end is None else end
 
     def apply() -> None:
         op = waiting.pop()
@@ -89,7 +89,7 @@ def evaluate(text: str) -> Value | None:
         values[:], waiting[:] = v, w
         return out
 
-    while m := token_of(text, at):
+    while m := token_of(text, at, end):
         at = m.end()
         bracket, word = m.groups()
         if operand:
@@ -150,8 +150,9 @@ class Scanner:
         score = 0.9 if base else 0.8 if more else 0.0
         if tagged:
             score = max(score, 0.5)
-            for m in tag_of(text):
-                if value := evaluate(m[1]):
+            tags = [m.span() for m in tag_of(text)]
+            for (_, at), (end, _) in zip(tags, [*tags[1:], (len(text), 0)], strict=True):  # an expression ends before the next tag
+                if value := evaluate(text, at, end):
                     more |= value.labels
                     permissive = value.permissive if permissive is None else permissive and value.permissive
                     score = 1.0

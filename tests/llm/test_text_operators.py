@@ -316,6 +316,23 @@ def test_license_expressions():
 # Pages: operator 6
 
 
+def test_every_tag_of_a_line_is_read():
+    from quillgrid.llm.license_scan import Scanner
+
+    tag = "SPDX-License-Identifier:"
+    for text, labels, permissive in (
+        (f"a {tag} MIT b {tag} GPL-2.0-only c", "gpl,mit", False),
+        (f"{tag} MIT {tag} Apache-2.0 {tag} ISC", "apache,isc,mit", True),
+        (f"{tag} MIT or {tag} GPL-2.0-only", "gpl,mit", False),
+        (f"{tag} {tag} MIT", "mit", True),
+        (f"{tag} (MIT\n{tag} GPL-2.0-only)", "gpl", False),
+    ):
+        got = Scanner()(text)
+        assert (got[5], got[6], got[7]) == (labels, 1.0, permissive), text
+    many = Scanner()(f"{tag} MIT and " * 20_000 + f"{tag} GPL-3.0")  # in linear time
+    assert (many[5], many[7]) == ("gpl,mit", False)
+
+
 def test_page_extraction():
     import html
     import re
