@@ -11,9 +11,13 @@ Candidates without all pairs: equal texts are one node first. In each bucket all
 central member, the one that shares the largest buckets (of texts copied from one original, the original or what is
 nearest to it). Of its pairs each node verifies the one with most bands first, then the others as far as they still
 lie in different classes and their registers don't rule them out (below NEAR, five standard deviations from 0.8);
-then the buckets that hold several classes choose members by chance, until a round links nothing. A link is missed
-only if every band that its two texts share (about 10 of 32 at similarity 0.8) chose, in each round, members that one
-of the two isn't linked with, even through others.
+then the buckets that hold several classes choose members by chance for a few rounds. What then is left
+in buckets of several classes is closed by a prefix filter, so that no pair depends on a choice: shingles are ordered
+by the number of these nodes that have them, rare ones first, and a node stands at those of its first shingles behind
+which less than 0.8 of its shingles, or of its weight, is left. Two texts whose plain or probability Jaccard is 0.8
+share at least 0.8 of either (probability Jaccard is at most the overlap of the normalised weights), so their first
+common shingle is among these of both; all pairs of different classes that meet at a shingle are compared, or ruled
+out by their registers. What a family shares as a whole comes last in the order and seldom makes pairs.
 
 Ids are integers; an id that several texts carry joins their classes. Defined results: a null text, or one without
 words, is no one's near copy (texts without words still equal each other if they are the same); a null id has a null
@@ -25,7 +29,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: Share of equal registers below which a similarity of 0.8 is ruled out (3 in 10 million).
 NEAR = 0.64
+#: Rounds of members chosen by chance, at most: they only spare the closing step pairs.
+ROUNDS = 2
 MEMO = 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -205,19 +210,81 @@ def labelled_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return of(of(pairs.select("a", "b"), "a"), "b").where("of_a <> of_b").select("a", "b")
 
 
-def possible(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Pairs that their registers don't rule out; ``prints``: node, registers."""
+def possible(pairs: DataFrame, prints: DataFrame, *more: str) -> DataFrame:
+    """Pairs that their registers don't rule out, with columns ``more``; ``prints``: node, registers."""
     of = lambda df, c: merge_join(df, prints.select(F.col("node").alias(c), F.col("registers").alias(f"of_{c}")), c)
-    return of(of(pairs, "a"), "b").where(agreement("of_a", "of_b") >= NEAR).select("a", "b")
+    return of(of(pairs, "a"), "b").where(agreement("of_a", "of_b") >= NEAR).select("a", "b", *more)
 
 
-def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of buckets that still hold several classes."""
+def mixed_buckets(buckets: DataFrame, labels: DataFrame, least: int = 2) -> DataFrame:
+    """The rows of buckets of ``least`` nodes or more that still hold several classes."""
     here = merge_join(buckets, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = here.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h").checkpoint()
+    mixed = here.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where(f"low <> high and n >= {least}").select("h").checkpoint()
     return release(merge_join(buckets, mixed, "h").checkpoint())
 
 
+def prefix(h: np.ndarray, w: np.ndarray, often: np.ndarray, similar: float) -> np.ndarray:
+    """Places of the shingles, rare ones first, behind which less than ``similar`` of the shingles and of the weight is left."""
+    order = np.lexsort((h, often))
+    behind = np.maximum(1 - np.arange(1, len(h) + 1) / len(h), 1 - np.cumsum(w[order]) / w.sum())
+    return order[: int(np.argmax(behind < similar - 1e-9)) + 1]
+
+
+def prefixes(texts: DataFrame, similar: float) -> DataFrame:
+    """(h, node): each text's prefix, without the shingles that no other text has; ``texts`` is (node, text)."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles()
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                node, text = (c.to_pylist() for c in whole.slice(k, SLICE).columns)
+                for i, t in zip(node, text, strict=True):
+                    h = shingles(t)[0].view(np.int64)
+                    yield pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(h), i, np.int64)), "h": pa.array(h)})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles()
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                b = whole.slice(k, SLICE)
+                for i, t, met in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                    h, w = shingles(t)
+                    often = np.ones(len(h), np.int64)
+                    often[np.searchsorted(h, met.values.field("h").to_numpy().view(np.uint64))] = met.values.field("n").to_numpy()
+                    at = prefix(h, w, often, similar)
+                    at = at[often[at] > 1]
+                    yield pa.RecordBatch.from_pydict({"h": pa.array(h[at].view(np.int64)), "node": pa.array(np.full(len(at), i, np.int64))})
+
+    each = texts.mapInArrow(spread, "node long, h long").checkpoint()
+    often = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
+    met = merge_join(each, often, "h").groupBy("node").agg(F.collect_list(F.struct("h", "n")).alias("met"))
+    return merge_join(texts, met, "node").select("node", "text", "met").mapInArrow(cut, "h long, node long")
+
+
+def crossing(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, hits), a < b: all pairs of nodes of different classes in the same bucket."""
+    here = merge_join(buckets, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sets = here.groupBy("h", "label").agg(F.collect_list("node").alias("nodes")).checkpoint()
+    side = lambda c: sets.select("h", F.col("label").alias(f"of_{c}"), F.col("nodes").alias(c))
+    both = merge_join(side("a"), side("b"), "h").where("of_a < of_b").select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
+    return both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("hits"))
+
+
+def closed(buckets: DataFrame, labels: DataFrame, tried: DataFrame, texts: DataFrame, prints: DataFrame, similar: float) -> DataFrame:
+    """Labels after all pairs that buckets of several classes still hold; of two nodes the one pair has been tried."""
+    open_ = mixed_buckets(buckets, labels, 3).select(F.col("node").alias("id")).distinct().checkpoint()
+    if open_.isEmpty():
+        return labels
+    here = merge_join(texts, open_, "id", "left_semi").select(F.col("id").alias("node"), "text").checkpoint()
+    meet = mixed_buckets(prefixes(here, similar).checkpoint(), labels)
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fresh = crossing(meet, labels).join(done.hint("merge"), ["a", "b"], "left_anti")
+    pairs = release(possible(fresh, prints, "hits").checkpoint())
+    # each node's best pair first, so that of a class that joins others few pairs are verified
+    labels = relabelled(labels, verified(best_pairs(pairs).checkpoint(), texts, similar).checkpoint())
+    return relabelled(labels, verified(labelled_pairs(pairs, labels).checkpoint(), texts, similar).checkpoint())
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """(doc_id, class_id) of every row: the class is named by its smallest id."""
     ensure_checkpoint_dir(docs.sparkSession)
@@ -239,8 +306,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     labels = relabelled(None, verified(now, texts, similar).checkpoint())
     now = possible(labelled_pairs(pairs, labels), registers_).checkpoint()
     tried, labels = tried.union(now), relabelled(labels, verified(now, texts, similar).checkpoint())
-    # later rounds choose other members of buckets that still hold several classes, until nothing is new
-    for round_ in count(1):
+    # some rounds choose other members of buckets that still hold several classes, as long as they link some; then all is closed
+    for round_ in range(1, ROUNDS + 1):
         here = mixed_buckets(buckets, labels)
         fresh = labelled_pairs(stars(here, round_), labels).join(tried.hint("merge"), ["a", "b"], "left_anti")
         now = possible(fresh, registers_).checkpoint()
@@ -250,6 +317,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
         if found.isEmpty():
             break
         tried, labels = tried.union(now).checkpoint(), relabelled(labels, found)
+    labels = closed(buckets, labels, tried, texts, registers_, similar)
     named = merge_join(first, labels, "node", "left").select("key", F.coalesce("label", "node").alias("class_id")).checkpoint()
     kind = docs.schema[doc_id].dataType
     known = merge_join(prints.select("id", "key"), named, "key").select("id", "class_id")

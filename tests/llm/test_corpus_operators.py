@@ -131,6 +131,45 @@ def test_classes_equal_brute_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in probminhash.classes(docs).collect()} == classes_by_brute_force(texts)
 
 
+def family(n, seed):
+    """Texts that share a passage, too little to be near copies, and pairs among them that share a little more."""
+    r = random.Random(seed)
+    passage = " ".join(f"p{k}" for k in range(178))
+    texts = {}
+    for i in range(n):
+        both = " ".join(f"q{i // 2}x{k}" for k in range(4))
+        texts[i * 7 + 3] = f"{passage} {both} " + " ".join(f"o{r.randrange(10**9)}" for _ in range(22))
+    return texts
+
+
+def test_pairs_in_a_family_are_all_found(spark):
+    from quillgrid.llm import probminhash
+
+    texts = family(160, 9)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    want = classes_by_brute_force(texts)
+    assert 60 < len(set(want.values())) < 120
+    assert {r["doc_id"]: r["class_id"] for r in probminhash.classes(docs).collect()} == want
+
+
+def test_similar_sets_meet_in_their_prefixes():
+    from quillgrid.llm.probminhash import prefix, similarity
+
+    r = np.random.default_rng(8)
+    near = 0
+    for _ in range(3000):
+        often = r.integers(1, 5, 60)
+        a, b = (np.sort(r.choice(60, r.integers(1, 60), replace=False)).astype(np.uint64) for _ in range(2))
+        b = np.union1d(a[r.random(len(a)) < 0.93], b[r.random(len(b)) < 0.1])
+        if not len(b):
+            continue
+        (wa, wb) = (1 + np.log(r.integers(1, 4, len(x))) for x in (a, b))
+        if max(similarity((a, wa), (b, wb))) >= 0.8:
+            near += 1
+            assert set(a[prefix(a, wa, often[a.astype(int)], 0.8)].tolist()) & set(b[prefix(b, wb, often[b.astype(int)], 0.8)].tolist())
+    assert near > 300
+
+
 def test_classes_of_odd_rows(spark):
     from quillgrid.llm import probminhash
 
