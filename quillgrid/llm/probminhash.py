@@ -7,6 +7,9 @@ the probability Jaccard similarity of their shingles. BANDS bands of ROWS regist
 similarity 0.8 has none with probability 3e-6), and candidates are verified on their whole texts: they are linked if
 the probability Jaccard or the plain Jaccard similarity of their shingles is 0.8 or more.
 
+Where a text repeats shingles, the two similarities differ; so it has a second set of registers, of its distinct
+shingles with weight 1, whose bands make candidates too, and a pair is ruled out only if neither set comes near 0.8.
+
 Candidates without all pairs: equal texts are one node first. In each bucket all nodes are paired with its most
 central member, the one that shares the largest buckets (of texts copied from one original, the original or what is
 nearest to it). Of its pairs each node verifies the one with most bands first, then the others as far as they still
@@ -143,23 +146,27 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(id, key, registers) from (id, text): key is the text's digest; a text that a task has met before has no registers again."""
+    """(id, key, registers, plain) from (id, text): key is the text's digest; a text that a task has met before has no registers again.
+
+    plain are the registers of the distinct shingles with weight 1, null where they are the same (all weights are equal).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(), set()
         for whole in batches:
             for k in range(0, whole.num_rows, SLICE):
                 b = whole.slice(k, SLICE)
-                keys, rows = [], []
+                keys, rows, plain = [], [], []
                 for t in b.column(1).to_pylist():
                     key = hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
                     keys.append(key)
                     h, w = shingles(t) if key not in seen else ((), ())
                     seen.add(key)
                     rows.append(packed(registers(h, w)) if len(h) else None)
-                yield pa.RecordBatch.from_pydict({"id": b.column(0), "key": pa.array(keys, pa.binary()), "registers": pa.array(rows, pa.binary())})
+                    plain.append(packed(registers(h, np.ones(len(h)))) if len(h) and w.min() < w.max() else None)
+                yield pa.RecordBatch.from_pydict({"id": b.column(0), "key": pa.array(keys, pa.binary()), "registers": pa.array(rows, pa.binary()), "plain": pa.array(plain, pa.binary())})
 
-    return docs.mapInArrow(run, "id long, key binary, registers binary")
+    return docs.mapInArrow(run, "id long, key binary, registers binary, plain binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -211,9 +218,9 @@ def labelled_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def possible(pairs: DataFrame, prints: DataFrame, *more: str) -> DataFrame:
-    """Pairs that their registers don't rule out, with columns ``more``; ``prints``: node, registers."""
-    of = lambda df, c: merge_join(df, prints.select(F.col("node").alias(c), F.col("registers").alias(f"of_{c}")), c)
-    return of(of(pairs, "a"), "b").where(agreement("of_a", "of_b") >= NEAR).select("a", "b", *more)
+    """Pairs that not both of their registers rule out, with columns ``more``; ``prints``: node, registers, plain."""
+    of = lambda df, c: merge_join(df, prints.select(F.col("node").alias(c), F.col("registers").alias(f"of_{c}"), F.coalesce("plain", "registers").alias(f"plain_{c}")), c)
+    return of(of(pairs, "a"), "b").where((agreement("of_a", "of_b") >= NEAR) | (agreement("plain_a", "plain_b") >= NEAR)).select("a", "b", *more)
 
 
 def mixed_buckets(buckets: DataFrame, labels: DataFrame, least: int = 2) -> DataFrame:
@@ -292,8 +299,8 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     told = rows.where("id is not null and text is not null")
     prints = sketched(told).checkpoint()
     first = prints.groupBy("key").agg(F.min("id").alias("node")).checkpoint()
-    nodes = merge_join(prints.where("registers is not null").select("key", "registers"), first, "key").select("node", "registers")
-    spread = nodes.select("node", F.explode(bands("registers")).alias("h"))
+    nodes = merge_join(prints.where("registers is not null").select("key", "registers", "plain"), first, "key").select("node", "registers", "plain")
+    spread = nodes.select("node", F.explode(F.when(F.isnull("plain"), bands("registers")).otherwise(F.array_union(bands("registers"), bands("plain")))).alias("h"))
     shared = spread.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("h").checkpoint()
     buckets = release(merge_join(spread, shared, "h").distinct().checkpoint())
     candidates = buckets.select("node").distinct().checkpoint()

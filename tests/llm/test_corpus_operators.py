@@ -170,6 +170,17 @@ def test_similar_sets_meet_in_their_prefixes():
     assert near > 300
 
 
+def test_repeated_passages_keep_plain_copies(spark):
+    from quillgrid.llm import probminhash
+
+    texts = {}
+    for i in range(20):  # plain Jaccard 0.82, probability Jaccard about 0.5
+        text, passage = (" ".join(f"{x}{i}x{k}" for k in range(n)) for x, n in (("a", 104), ("b", 18)))
+        texts |= {2 * i: text, 2 * i + 1: f"{text} {' '.join([passage] * 50)}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["class_id"] for r in probminhash.classes(docs).collect()} == {k: k // 2 * 2 for k in texts}
+
+
 def test_classes_of_odd_rows(spark):
     from quillgrid.llm import probminhash
 
