@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, fresh_name, struct_udf, with_struct, words_of
+from .common import SLICE, ensure_checkpoint_dir, fresh_name, struct_udf, with_struct, words_of
 
 CLASSES = ("lower", "upper", "digit", "space", "line end", "sentence mark", "quote or bracket", "exclamation mark", "symbol", "beyond ASCII lower", "beyond ASCII other")
 BUCKETS = 1 << 15
@@ -36,8 +36,8 @@ STEPS = 250
 CELLS = len(CLASSES) * (STEPS + 1)
 #: Share of a language's words from which a bucket is common.
 COMMON = 0.002
-#: Rows of the reference table: languages by their number of documents, this many at most.
-LANGUAGES = 100
+#: Languages whose counts a task holds at once; with more it hands them on.
+HELD = 100
 MIN_CHARS, MIN_WORDS = 40, 30
 CHAR_LIMIT, WORD_LIMIT, CHAR_SLACK, WORD_SLACK = 0.12, 0.42, 2.0, 0.5
 WINDOW = 5
@@ -139,7 +139,7 @@ def references_of(languages: list[str], steps: np.ndarray, buckets: np.ndarray)
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
-    """Counts over all documents; what is sent to the driver is LANGUAGES rows of fixed size."""
+    """Counts over all documents and labels; the driver gets of each label its class medians and its words of common buckets."""
     rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,36 +150,69 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
             ids, n = find(counters.pop(x))
             words[x] += np.bincount(ids, n, BUCKETS).astype(np.int64)
 
+        def handed() -> Iterator[pa.RecordBatch]:
+            for x in list(counters):
+                flush(x)
+            for x in chars:
+                at, steps = np.flatnonzero(words[x]), np.flatnonzero(chars[x])
+                cell = np.concatenate([-1 - steps, at]).astype(np.int32)
+                n = np.concatenate([chars[x][steps], words[x][at]])
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * len(cell), pa.string()), "cell": pa.array(cell), "n": pa.array(n)})
+            chars.clear()
+            words.clear()
+
         for whole in batches:
             for k in range(0, whole.num_rows, SLICE):
                 b = whole.slice(k, SLICE)
+                if len(chars) > HELD:
+                    yield from handed()
                 for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     chars[x][step_cells(t)] += 1
                     c = counters[x]
                     c.update(words_of(t.lower()))
                     if len(c) > 50_000:
                         flush(x)
-        for x in list(counters):
-            flush(x)
-        for x in chars:
-            at, steps = np.flatnonzero(words[x]), np.flatnonzero(chars[x])
-            cell = np.concatenate([-1 - steps, at]).astype(np.int32)
-            n = np.concatenate([chars[x][steps], words[x][at]])
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * len(cell), pa.string()), "cell": pa.array(cell), "n": pa.array(n)})
-
-    largest = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    names = sorted(r["lang"] for r in largest.collect())
-    if not names:
-        return references_of([], np.zeros((0, CELLS)), np.zeros((0, BUCKETS)))
-    sums = rows.where(F.col("lang").isin(names)).mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    packed = sums.groupBy("lang").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns")).collect()
-    at = {x: i for i, x in enumerate(names)}
-    chars, words = np.zeros((len(names), CELLS)), np.zeros((len(names), BUCKETS))
-    for r in packed:
+        yield from handed()
+
+    def dense(r: dict) -> tuple[np.ndarray, np.ndarray]:
         cell, n = np.array(r["cells"]), np.array(r["ns"])
-        chars[at[r["lang"]], -1 - cell[cell < 0]] = n[cell < 0]
-        words[at[r["lang"]], cell[cell >= 0]] = n[cell >= 0]
-    return references_of(names, chars, words)
+        steps, buckets = np.zeros((1, CELLS)), np.zeros((1, BUCKETS))
+        steps[0, -1 - cell[cell < 0]] = n[cell < 0]
+        buckets[0, cell[cell >= 0]] = n[cell >= 0]
+        return steps, buckets
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                one = references_of([r["lang"]], *dense(r))
+                common = np.flatnonzero(one.cells < one.words.shape[1] - 1)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([r["lang"]]), "chars": pa.array([one.chars[0].tolist()]), "common": pa.array([common.astype(np.int32).tolist()], pa.list_(pa.int32()))})
+
+    sums = rows.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    ensure_checkpoint_dir(docs.sparkSession)
+    packed = sums.groupBy("lang").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns")).checkpoint()
+    shape = sorted(packed.mapInArrow(shapes, "lang string, chars array<double>, common array<int>").collect(), key=lambda r: r["lang"])
+    if not shape:
+        return references_of([], np.zeros((0, CELLS)), np.zeros((0, BUCKETS)))
+    common = np.unique(np.concatenate([np.array(r["common"], int) for r in shape]))
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                n = dense(r)[1][0]
+                row = np.append(n[common], n.sum() - n[common].sum()) / max(1e-12, n.sum())
+                at = np.flatnonzero(row)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([r["lang"]]), "cells": pa.array([at.astype(np.int32).tolist()], pa.list_(pa.int32())), "shares": pa.array([row[at].tolist()], pa.list_(pa.float64()))})
+
+    names = [r["lang"] for r in shape]
+    place = {x: i for i, x in enumerate(names)}
+    cells, words = np.full(BUCKETS, len(common), int), np.zeros((len(names), len(common) + 1))
+    cells[common] = np.arange(len(common))
+    for r in packed.mapInArrow(shares, "lang string, cells array<int>, shares array<double>").collect():
+        words[place[r["lang"]], np.array(r["cells"], int)] = r["shares"]
+    return References(names, np.array([r["chars"] for r in shape]), cells, words)
 
 
 def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:

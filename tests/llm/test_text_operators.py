@@ -261,6 +261,17 @@ def test_rules_keep_clean_and_drop_junk(spark):
     assert np.mean([r["kept"] for r in rows if not labels[r["doc_id"]]]) <= 0.1
 
 
+def test_every_label_has_a_reference(spark):
+    from quillgrid.llm import divergence
+
+    rows = [(f"l{i:03}", " ".join(f"w{i}x{(j + k) % 25}" for k in range(50))) for i in range(130) for j in range(2)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    refs = divergence.references(docs)
+    assert refs.languages == sorted({x for x, _ in rows})
+    rules = divergence.Rules(refs)
+    assert max(rules(t)[8] for _, t in rows) < divergence.WORD_LIMIT
+
+
 def test_distance():
     from quillgrid.llm.divergence import distances
 
