@@ -13,18 +13,20 @@ shingles with weight 1, whose bands make candidates too, and a pair is ruled out
 Candidates without all pairs: equal texts are one node first. In each bucket all nodes are paired with its most
 central member, the one that shares the largest buckets (of texts copied from one original, the original or what is
 nearest to it). Of its pairs each node verifies the one with most bands first, then the others as far as they still
-lie in different classes and their registers don't rule them out (below NEAR, five standard deviations from 0.8);
-then the buckets that hold several classes choose members by chance for a few rounds. What then is left
-in buckets of several classes is closed by a prefix filter, so that no pair depends on a choice: shingles are ordered
-by the number of these nodes that have them, rare ones first, and a node stands at those of its first shingles behind
-which less than 0.8 of its shingles, or of its weight, is left. Two texts whose plain or probability Jaccard is 0.8
-share at least 0.8 of either (probability Jaccard is at most the overlap of the normalised weights), so their first
-common shingle is among these of both; all pairs of different classes that meet at a shingle are compared, or ruled
-out by their registers. What a family shares as a whole comes last in the order and seldom makes pairs.
-
-Ids are integers; an id that several texts carry joins their classes. Defined results: a null text, or one without
-words, is no one's near copy (texts without words still equal each other if they are the same); a null id has a null
-class. Columns besides id and text are ignored.
+lie in different classes and their registers don't rule them out (below NEAR, five standard deviations from 0.8).
+What then is left in buckets of several classes is closed by a prefix filter, so that no pair depends on a choice or an
+estimate: shingles are ordered by the number of these nodes that have them, rare ones first, and a node stands at those
+of its first shingles behind which less than 0.8 of its shingles, or of its weight, is left. Two texts whose plain or
+probability Jaccard is 0.8 share at least 0.8 of either (probability Jaccard is at most the overlap of the normalised
+weights), so their first common shingle is among these of both. What stands before it is in one of them only, which
+bounds both similarities (see reachable): only pairs of different classes that can still reach 0.8 come out of the
+join, and all of them are verified. What a family shares as a whole comes last in the order, behind what its members
+have each for themselves, so that a family of texts that are not near copies gives few pairs.
+
+Nodes are texts, numbered by their digest. Ids are integers; a class is named by its smallest id, so an id that several
+texts carry may name several classes. Defined results: a null text, or one without words, is no one's near copy (texts
+without words still equal each other if they are the same); a row with a null id belongs to its text's class, whose
+name is null if none of its rows has an id. Columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, ensure_checkpoint_dir, words_of
+from .common import SLICE, ensure_checkpoint_dir, fresh_name, words_of
 from .graph import merge_join, release, relabelled
 
 SHINGLE = 5
@@ -47,8 +49,6 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: Share of equal registers below which a similarity of 0.8 is ruled out (3 in 10 million).
 NEAR = 0.64
-#: Rounds of members chosen by chance, at most: they only spare the closing step pairs.
-ROUNDS = 2
 MEMO = 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -170,9 +170,9 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole texts are similar; ``texts`` is (id, text)."""
-    left = merge_join(pairs, texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    full = merge_join(left, texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    """Those of ``pairs`` (a, b) whose whole texts are similar; ``texts`` is (node, text)."""
+    left = merge_join(pairs, texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    full = merge_join(left, texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, last, known = Shingles(), None, None
@@ -189,13 +189,9 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> Da
     return full.mapInArrow(run, "a long, b long")
 
 
-def stars(buckets: DataFrame, rank: DataFrame | int) -> DataFrame:
-    """(a, b, hits): each node of a bucket with the bucket's chosen member: that of the highest rank (node, rank), or of a hash with a seed."""
-    if isinstance(rank, int):
-        mask = F.xxhash64("h", F.lit(rank))
-        chosen = buckets.groupBy("h").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("b")).select("h", F.col("b").bitwiseXOR(mask).alias("b"))
-    else:
-        chosen = merge_join(buckets, rank, "node").groupBy("h").agg(F.max_by("node", "rank").alias("b"))
+def stars(buckets: DataFrame, rank: DataFrame) -> DataFrame:
+    """(a, b, hits): each node of a bucket with the bucket's member of the highest rank (node, rank)."""
+    chosen = merge_join(buckets, rank, "node").groupBy("h").agg(F.max_by("node", "rank").alias("b"))
     return merge_join(buckets, chosen.checkpoint(), "h").select(F.col("node").alias("a"), "b").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("hits"))
 
 
@@ -217,10 +213,10 @@ def labelled_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return of(of(pairs.select("a", "b"), "a"), "b").where("of_a <> of_b").select("a", "b")
 
 
-def possible(pairs: DataFrame, prints: DataFrame, *more: str) -> DataFrame:
-    """Pairs that not both of their registers rule out, with columns ``more``; ``prints``: node, registers, plain."""
+def possible(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs that not both of their registers rule out; ``prints``: node, registers, plain."""
     of = lambda df, c: merge_join(df, prints.select(F.col("node").alias(c), F.col("registers").alias(f"of_{c}"), F.coalesce("plain", "registers").alias(f"plain_{c}")), c)
-    return of(of(pairs, "a"), "b").where((agreement("of_a", "of_b") >= NEAR) | (agreement("plain_a", "plain_b") >= NEAR)).select("a", "b", *more)
+    return of(of(pairs, "a"), "b").where((agreement("of_a", "of_b") >= NEAR) | (agreement("plain_a", "plain_b") >= NEAR)).select("a", "b")
 
 
 def mixed_buckets(buckets: DataFrame, labels: DataFrame, least: int = 2) -> DataFrame:
@@ -237,8 +233,12 @@ def prefix(h: np.ndarray, w: np.ndarray, often: np.ndarray, similar: float) -> n
     return order[: int(np.argmax(behind < similar - 1e-9)) + 1]
 
 
+#: What a text stands with at a shingle of its prefix: its shingles, its weight and its largest one; and how many of the shingles, and of the weight, come before.
+PLACE = "h long, node long, n int, weight double, most double, n_before int, before double"
+
+
 def prefixes(texts: DataFrame, similar: float) -> DataFrame:
-    """(h, node): each text's prefix, without the shingles that no other text has; ``texts`` is (node, text)."""
+    """PLACE for each shingle of a text's prefix, without the shingles that no other text has; ``texts`` is (node, text)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
@@ -258,74 +258,111 @@ def prefixes(texts: DataFrame, similar: float) -> DataFrame:
                     h, w = shingles(t)
                     often = np.ones(len(h), np.int64)
                     often[np.searchsorted(h, met.values.field("h").to_numpy().view(np.uint64))] = met.values.field("n").to_numpy()
-                    at = prefix(h, w, often, similar)
-                    at = at[often[at] > 1]
-                    yield pa.RecordBatch.from_pydict({"h": pa.array(h[at].view(np.int64)), "node": pa.array(np.full(len(at), i, np.int64))})
+                    order = prefix(h, w, often, similar)
+                    before = np.cumsum(w[order]) - w[order]
+                    at = np.flatnonzero(often[order] > 1)
+                    same = lambda x, kind: pa.array(np.full(len(at), x, kind))  # noqa: B023,E731
+                    yield pa.RecordBatch.from_pydict(
+                        {"h": pa.array(h[order[at]].view(np.int64)), "node": same(i, np.int64), "n": same(len(h), np.int32), "weight": same(w.sum(), float), "most": same(w.max(), float), "n_before": pa.array(at.astype(np.int32)), "before": pa.array(before[at])}
+                    )
 
     each = texts.mapInArrow(spread, "node long, h long").checkpoint()
     often = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").checkpoint()
     met = merge_join(each, often, "h").groupBy("node").agg(F.collect_list(F.struct("h", "n")).alias("met"))
-    return merge_join(texts, met, "node").select("node", "text", "met").mapInArrow(cut, "h long, node long")
+    return merge_join(texts, met, "node").select("node", "text", "met").mapInArrow(cut, PLACE)
 
 
-def crossing(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b, hits), a < b: all pairs of nodes of different classes in the same bucket."""
-    here = merge_join(buckets, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sets = here.groupBy("h", "label").agg(F.collect_list("node").alias("nodes")).checkpoint()
-    side = lambda c: sets.select("h", F.col("label").alias(f"of_{c}"), F.col("nodes").alias(c))
-    both = merge_join(side("a"), side("b"), "h").where("of_a < of_b").select(F.explode("a").alias("a"), "b").select("a", F.explode("b").alias("b"))
-    return both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("hits"))
+def reachable(similar: float) -> Column:
+    """Whether two texts, a and b, that have no common shingle before this one can be ``similar`` at all.
+
+    At most ``common`` shingles, what is left of the shorter rest, are in both; so of a's weight at least own_a is not
+    in b: what comes before, and 1 for each shingle beyond ``common``. Plain Jaccard is at most that of ``common``.
+    Probability Jaccard is the sum over the common shingles i of 1 / sum_j max(a_j / a_i, b_j / b_i); the inner sum is at
+    least weight_a / a_i + own_b / b_i, and a_i / b_i at least 1 / most_b, as weights are 1 or more; so the whole is at
+    most (weight_a - own_a) / (weight_a + own_b / most_b). The same holds with a and b exchanged.
+    """
+    left = lambda c: F.col(f"n_{c}") - F.col(f"n_before_{c}")
+    common = F.least(left("a"), left("b"))
+    plain = common / (F.col("n_a") + F.col("n_b") - common)
+    own = lambda c: F.greatest(F.col(f"before_{c}"), F.col(f"n_{c}") - common)
+    side = lambda c, d: (F.col(f"weight_{c}") - own(c)) / (F.col(f"weight_{c}") + own(d) / F.col(f"most_{d}"))
+    return F.greatest(plain, F.least(side("a", "b"), side("b", "a"))) >= similar - 1e-9
+
 
+def crossing(places: DataFrame, labels: DataFrame, similar: float) -> DataFrame:
+    """(a, b, hits), a < b: the pairs of different classes that can be similar, by what comes before a common shingle."""
+    here = merge_join(places, labels, "node", "left").withColumn("label", F.coalesce("label", "node")).checkpoint()
+    side = lambda c: here.select(*[F.col(x).alias(f"{x}_{c}") for x in here.columns])
+    a, b = side("a").withColumn("k_", F.col("h_a").bitwiseXOR(F.lit(0x5BD1E995))), side("b").withColumn("k_", F.col("h_b").bitwiseXOR(F.lit(0x5BD1E995)))
+    both = a.join(b.hint("merge"), (a["k_"] == b["k_"]) & (F.col("label_a") < F.col("label_b")) & reachable(similar))
+    return both.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(F.count("*").alias("hits"))
 
-def closed(buckets: DataFrame, labels: DataFrame, tried: DataFrame, texts: DataFrame, prints: DataFrame, similar: float) -> DataFrame:
+
+def closed(buckets: DataFrame, labels: DataFrame, tried: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """Labels after all pairs that buckets of several classes still hold; of two nodes the one pair has been tried."""
-    open_ = mixed_buckets(buckets, labels, 3).select(F.col("node").alias("id")).distinct().checkpoint()
+    open_ = mixed_buckets(buckets, labels, 3).select("node").distinct().checkpoint()
     if open_.isEmpty():
         return labels
-    here = merge_join(texts, open_, "id", "left_semi").select(F.col("id").alias("node"), "text").checkpoint()
+    here = merge_join(texts, open_, "node", "left_semi").checkpoint()
     meet = mixed_buckets(prefixes(here, similar).checkpoint(), labels)
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    fresh = crossing(meet, labels).join(done.hint("merge"), ["a", "b"], "left_anti")
-    pairs = release(possible(fresh, prints, "hits").checkpoint())
+    pairs = release(crossing(meet, labels, similar).join(done.hint("merge"), ["a", "b"], "left_anti").checkpoint())
     # each node's best pair first, so that of a class that joins others few pairs are verified
-    labels = relabelled(labels, verified(best_pairs(pairs).checkpoint(), texts, similar).checkpoint())
-    return relabelled(labels, verified(labelled_pairs(pairs, labels).checkpoint(), texts, similar).checkpoint())
+    labels = relabelled(labels, verified(best_pairs(pairs).checkpoint(), here, similar).checkpoint())
+    return relabelled(labels, verified(labelled_pairs(pairs, labels).checkpoint(), here, similar).checkpoint())
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
-    """(doc_id, class_id) of every row: the class is named by its smallest id."""
+def marked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
+    """(id, key, class_id, stays) of every row: the text's MD5, the class's smallest id, and whether the row is the class's.
+
+    The row that stays has the class's smallest id (null ids last) and, of its texts, the smallest digest; rows that are
+    equal in id and text all stay. A row without a text has no key and is its own class.
+    """
     ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    told = rows.where("id is not null and text is not null")
+    told = rows.where("text is not null")
     prints = sketched(told).checkpoint()
-    first = prints.groupBy("key").agg(F.min("id").alias("node")).checkpoint()
+    first = prints.groupBy("key").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()).checkpoint()
     nodes = merge_join(prints.where("registers is not null").select("key", "registers", "plain"), first, "key").select("node", "registers", "plain")
     spread = nodes.select("node", F.explode(F.when(F.isnull("plain"), bands("registers")).otherwise(F.array_union(bands("registers"), bands("plain")))).alias("h"))
     shared = spread.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("h").checkpoint()
     buckets = release(merge_join(spread, shared, "h").distinct().checkpoint())
     candidates = buckets.select("node").distinct().checkpoint()
-    texts = merge_join(told, candidates.withColumnRenamed("node", "id"), "id", "left_semi").dropDuplicates(["id"]).checkpoint()
+    # one row of each candidate's text, found by the id and told from other texts with that id by the digest
+    place = lambda key: F.coalesce("id", F.xxhash64(key))
+    wanted = merge_join(first, candidates, "node", "left_semi").withColumnRenamed("least", "id").select("node", "key", place(F.col("key")).alias("place"))
+    named = told.select(place(F.unhex(F.md5("text"))).alias("place"), "text")
+    texts = merge_join(named, wanted, "place").where(F.unhex(F.md5("text")) == F.col("key")).select("node", "text").dropDuplicates(["node"]).checkpoint()
     registers_ = release(merge_join(nodes, candidates, "node", "left_semi").dropDuplicates(["node"]).checkpoint())
 
-    # round 0 verifies each node's pair with most bands, round 1 the other pairs between different classes
+    # first each node's pair with most bands, then the other pairs between different classes, then what is left
     pairs = release(stars(buckets, centrality(buckets)).checkpoint())
-    now = tried = best_pairs(pairs).checkpoint()
-    labels = relabelled(None, verified(now, texts, similar).checkpoint())
-    now = possible(labelled_pairs(pairs, labels), registers_).checkpoint()
-    tried, labels = tried.union(now), relabelled(labels, verified(now, texts, similar).checkpoint())
-    # some rounds choose other members of buckets that still hold several classes, as long as they link some; then all is closed
-    for round_ in range(1, ROUNDS + 1):
-        here = mixed_buckets(buckets, labels)
-        fresh = labelled_pairs(stars(here, round_), labels).join(tried.hint("merge"), ["a", "b"], "left_anti")
-        now = possible(fresh, registers_).checkpoint()
-        if now.isEmpty():
-            break
-        found = verified(now, texts, similar).checkpoint()
-        if found.isEmpty():
-            break
-        tried, labels = tried.union(now).checkpoint(), relabelled(labels, found)
-    labels = closed(buckets, labels, tried, texts, registers_, similar)
-    named = merge_join(first, labels, "node", "left").select("key", F.coalesce("label", "node").alias("class_id")).checkpoint()
+    best = best_pairs(pairs).checkpoint()
+    labels = relabelled(None, verified(best, texts, similar).checkpoint())
+    more = possible(labelled_pairs(pairs, labels), registers_).checkpoint()
+    labels = relabelled(labels, verified(more, texts, similar).checkpoint())
+    labels = closed(buckets, labels, best.union(more), texts, similar)
+
+    joined = merge_join(first, labels, "node").select("key", "least", "label").checkpoint()
+    ranks = joined.groupBy("label").agg(F.min(F.struct(F.isnull("least").alias("null"), "least", "key")).alias("best"))
+    of_class = merge_join(joined.select("key", "label"), ranks, "label").select("key", "best")
+    alone = merge_join(first, labels, "node", "left_anti").select("key", F.struct(F.isnull("least").alias("null"), "least", "key").alias("best"))
+    known = merge_join(prints.select("id", "key"), of_class.union(alone).checkpoint(), "key")
+    out = known.select("id", "key", F.col("best.least").alias("class_id"), (F.col("id").eqNullSafe(F.col("best.least")) & (F.col("key") == F.col("best.key"))).alias("stays"))
+    return out.union(rows.where("text is null").select("id", F.lit(None).cast("binary"), F.col("id"), F.lit(True)))
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
+    """(doc_id, class_id, stays) of every row; see marked."""
     kind = docs.schema[doc_id].dataType
-    known = merge_join(prints.select("id", "key"), named, "key").select("id", "class_id")
-    return known.union(rows.where("id is null or text is null").select("id", F.col("id").alias("class_id"))).select(F.col("id").cast(kind).alias("doc_id"), F.col("class_id").cast(kind).alias("class_id"))
+    return marked(docs, text, doc_id, similar).select(F.col("id").cast(kind).alias("doc_id"), F.col("class_id").cast(kind).alias("class_id"), "stays")
+
+
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
+    """``docs`` with one row of each class; rows without a text all stay."""
+    key, rid, no_id = (fresh_name(docs, x) for x in ("key", "rid", "no_id"))
+    own = lambda i: [F.coalesce(i, F.lit(0)).alias(rid), F.isnull(i).alias(no_id)]
+    stay = marked(docs, text, doc_id, similar).where("stays and key is not null").select(F.col("key").alias(key), *own(F.col("id"))).distinct()
+    told = docs.where(F.col(f"`{text}`").isNotNull()).select("*", F.unhex(F.md5(F.col(f"`{text}`"))).alias(key), *own(F.col(f"`{doc_id}`").cast("long")))
+    kept = told.join(stay.hint("merge"), [key, rid, no_id], "left_semi").dropDuplicates([key, rid, no_id])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(f"`{text}`").isNull()))

@@ -63,7 +63,7 @@ def op6_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's class, and whether it is the one that stays."""
-    return probminhash.classes(table(spark, sf_dir, "documents")).withColumn("stays", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    return probminhash.classes(table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,33 @@ def test_classes_equal_brute_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in probminhash.classes(docs).collect()} == classes_by_brute_force(texts)
 
 
+def test_classes_of_the_table(spark):
+    from quillgrid.llm import probminhash
+
+    if not os.path.isdir(DATA):
+        pytest.skip("the tables are not here")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect() if r["text"] is not None}
+    want, first = classes_by_brute_force(texts), {}
+    for i in sorted(texts):
+        first.setdefault(texts[i], i)
+    assert {r["doc_id"]: r["class_id"] for r in probminhash.classes(docs).collect() if r["doc_id"] in texts} == {i: min(want[first[t]], want[i]) for i, t in texts.items()}
+
+
+def test_plain_copies_that_probability_misses(spark):
+    """Plain Jaccard 0.88, probability Jaccard 0.58: linked by the second registers, whichever of 60 pairs it is."""
+    from quillgrid.llm import probminhash
+
+    texts = {}
+    for i in range(60):
+        text, passage = (" ".join(f"{x}{i}x{k}" for k in range(n)) for x, n in (("a", 130), ("b", 12)))
+        texts |= {2 * i: text, 2 * i + 1: f"{text} {' '.join([passage] * 800)}"}
+    s = probminhash.Shingles()
+    assert probminhash.similarity(s(texts[0]), s(texts[1]))[1] > 0.85 > 0.61 > probminhash.similarity(s(texts[0]), s(texts[1]))[0]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["class_id"] for r in probminhash.classes(docs).collect()} == {k: k // 2 * 2 for k in texts}
+
+
 def family(n, seed):
     """Texts that share a passage, too little to be near copies, and pairs among them that share a little more."""
     r = random.Random(seed)
@@ -170,6 +197,35 @@ def test_similar_sets_meet_in_their_prefixes():
     assert near > 300
 
 
+def test_no_similar_pair_is_out_of_reach(spark):
+    """The bounds at the first common shingle, against similarities of weighted sets."""
+    from quillgrid.llm.probminhash import prefix, reachable, similarity
+
+    r = np.random.default_rng(5)
+    rows, near = [], []
+    for _ in range(2500):
+        often = r.integers(1, 5, 60)
+        a = np.sort(r.choice(60, r.integers(2, 60), replace=False)).astype(np.uint64)
+        b = np.union1d(a[r.random(len(a)) < 0.95], r.choice(60, r.integers(0, 6), replace=False).astype(np.uint64))
+        wa, wb = (1 + np.log(r.integers(1, 4, len(x))) for x in (a, b))
+        if r.random() < 0.5:
+            wb = np.array([dict(zip(a.tolist(), wa)).get(x, y) for x, y in zip(b.tolist(), wb)])
+        row = []
+        for x, w, other in ((a, wa, b), (b, wb, a)):
+            order = prefix(x, w, often[x.astype(int)], 0.8)
+            k = next((k for k, i in enumerate(order) if x[i] in other), None)
+            row += [None] if k is None else [(len(x), float(w.sum()), float(w.max()), k, float(w[order[:k]].sum()))]
+        close = max(similarity((a, wa), (b, wb))) >= 0.8
+        assert not close or None not in row
+        if None not in row:
+            rows.append((*row[0], *row[1], bool(close)))
+    names = [f"{n}_{c}" for c in "ab" for n in ("n", "weight", "most", "n_before", "before")]
+    df = spark.createDataFrame(rows, [*names, "near"])
+    told = df.select("near", reachable(0.8).alias("reach")).groupBy("near", "reach").count().collect()
+    counts = {(x["near"], x["reach"]): x["count"] for x in told}
+    assert counts[True, True] > 500 and (True, False) not in counts and counts[False, False] > 50
+
+
 def test_repeated_passages_keep_plain_copies(spark):
     from quillgrid.llm import probminhash
 
@@ -184,12 +240,28 @@ def test_repeated_passages_keep_plain_copies(spark):
 def test_classes_of_odd_rows(spark):
     from quillgrid.llm import probminhash
 
-    rows = [(1, None), (2, ""), (3, ""), (4, " "), (5, "one two"), (6, "one two"), (None, "one two"), (7, None), (5, "one two"), (8, "w " * 5000)]
-    docs = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "1 as class_id", "'x' as h")
+    rows = [(1, None), (2, ""), (3, ""), (4, " "), (5, "one two"), (6, "one two"), (None, "one two"), (7, None), (5, "one two"), (8, "w " * 5000), (None, "alone"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "1 as class_id", "'x' as h", "true as Key", "2 as rid")
     got = probminhash.classes(docs)
     assert dict(got.dtypes)["doc_id"] == "int"
-    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1), (2, 2), (3, 2), (4, 4), (5, 5), (6, 5), (None, None), (7, 7), (5, 5), (8, 8)], key=str)
-    assert probminhash.classes(docs.limit(0)).count() == 0
+    want = [(1, 1, True), (2, 2, True), (3, 2, False), (4, 4, True), (5, 5, True), (6, 5, False), (None, 5, False), (7, 7, True), (5, 5, True), (8, 8, True), (None, None, True), (None, None, True)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    kept = probminhash.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.where("doc_id is not null").collect() if r["doc_id"] != 1 and r["doc_id"] != 7) == [(2, ""), (4, " "), (5, "one two"), (8, "w " * 5000)]
+    assert kept.count() == 8 and kept.where("doc_id is null").count() == 2
+    assert probminhash.classes(docs.limit(0)).count() == 0 and probminhash.representatives(docs.limit(0)).count() == 0
+
+
+def test_ids_that_several_texts_carry(spark):
+    from quillgrid.llm import probminhash
+
+    near = lambda x, *more: " ".join([*(f"{x}{k}" for k in range(60)), *more])
+    rows = [(1, near("a")), (1, near("b")), (2, near("b", "z")), (3, near("a", "z")), (1, near("b")), (None, near("c")), (None, near("c", "z")), (None, near("c"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = probminhash.representatives(docs).collect()
+    assert sorted((r["doc_id"], r["text"][:1]) for r in kept if r["doc_id"]) == [(1, "a"), (1, "b")] and [r["text"][:1] for r in kept if not r["doc_id"]] == ["c"]
+    assert {(r["doc_id"], r["class_id"]) for r in probminhash.classes(docs).collect()} == {(1, 1), (2, 1), (3, 1), (None, None)}
 
 
 def test_registers_estimate_probability_jaccard():
