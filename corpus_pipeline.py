@@ -2,7 +2,7 @@
 
 1. language ID: documents without a recognised language, or with an unsure one, go;
 2. quality classifier: documents that it predicts to be of low quality go;
-3. near-dedup: of each class of near copies the document with the smallest id stays;
+3. near-dedup: of each class of near copies the document with the smallest id stays; rows without a text have no copies;
 4. mixing: sources are mixed to their target weights, so a document may leave or stay up to twice;
 5. BPE encoding: each document with its token ids.
 
@@ -34,10 +34,7 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = probminhash.classes(docs)
-    stay = classes.where("doc_id = class_id").select("doc_id").distinct()
-    alone = docs.where("doc_id is null")  # has no class
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(alone)
+    return probminhash.representatives(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the cluster's shared folder and read again."""
+    """All stages over ``documents``; each stage's rows are written to the cluster's shared folder and read again.
+
+    A stage's rows are deleted once the next one's are written; the last stage's stay, as the result is read from them.
+    """
     ensure_checkpoint_dir(spark)
     top = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
+        if k:
+            done = spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{k - 1}")
+            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
     return docs
