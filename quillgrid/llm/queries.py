@@ -68,7 +68,7 @@ def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, s = token_counts.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
-    return out.select("doc_id", f"{s}.n_bytes", f"{s}.n_tokens", (F.col(f"{s}.n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+    return out.select("doc_id", f"{s}.n_bytes", f"{s}.n_tokens", (F.col(f"{s}.n_tokens") > TOKEN_LIMIT).alias("over_limit"), f"{s}.chunk_tokens")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

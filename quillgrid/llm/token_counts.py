@@ -7,18 +7,20 @@ token may still begin. The transducer reads bytes; each transition carries by ho
 segmentation grows (or shrinks), and a word's last byte takes a transition of its own, because it carries the
 end-of-word mark. States are numbered when they are first reached.
 
-A text is read in chunks. A chunk's state map says what it makes of any state before it: the run that the state
-holds is completed by the chunk's head, the body has a fixed count, and the tail is the next state. Maps compose
-associatively, and a prefix scan composes them in pairs.
+A text is read as the bytes of its pieces, in chunks of CHUNK bytes that may begin and end inside a word. A chunk's
+state map gives, for any state in which it may be entered, the state in which it is left and the tokens emitted: the
+bytes of the word that it is entered in are the only ones that depend on the entry state, so the map holds them, the
+count of all that follows, and the exit state. Maps compose associatively, and a prefix scan over them gives the count
+at the end of each chunk, the last of which is the text's. A text within one chunk has one map, of its count alone.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens. Special strings inside texts are one token.
+Defined results: null and empty texts have 0 bytes, 0 tokens and one chunk of 0 tokens. Special strings inside texts are one token.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .bpe_codec import NONE
@@ -29,9 +31,11 @@ START = -1
 #: Transitions after which the machine is compiled anew, to bound its memory.
 TRANSITIONS = 400_000
 MEMO = 300_000
-CHUNK = 1 << 16
-SPACE = " \t\n\x0b\x0c\r"
-gap = re.compile("[ \t-\r]").search
+#: Bytes of a chunk.
+CHUNK = 4096
+#: A state: the bytes that may still be part of a longer token, the last token at each of them, and its count less the newest.
+State = tuple[bytes, tuple[int, ...], tuple[int, ...]]
+BEGIN: State = (b"", (START,), (0,))
 
 
 class Transducer:
@@ -53,8 +57,8 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.states = [(b"", (START,), (0,))]
-        self.number = {self.states[0]: 0}
+        self.states = [BEGIN]
+        self.number = {BEGIN: 0}
         self.go: dict[int, tuple[int, int]] = {}
         self.stop: dict[int, int] = {}
 
@@ -83,7 +87,7 @@ class Transducer:
             known = self.fit[key] = got == [x for x in key if x != START]
         return known
 
-    def last(self, state: tuple, byte: int, tokens: dict[bytes, int]) -> tuple[int, int]:
+    def last(self, state: State, byte: int, tokens: dict[bytes, int]) -> tuple[int, int]:
         """The token that ends at this byte, and the growth of the count."""
         raw, lasts, counts = state
         raw += bytes([byte])
@@ -102,31 +106,39 @@ class Transducer:
         while raw[k:] not in self.starts:
             k += 1
         raw = raw[k:]
-        new = raw, (*state[1][k:], token), (*[c - grown for c in state[2][k:]], 0)
-        to = self.number.get(new)
-        if to is None:
-            to = self.number[new] = len(self.states)
-            self.states.append(new)
+        to = self.numbered((raw, (*state[1][k:], token), (*[c - grown for c in state[2][k:]], 0)))
         self.go[at << 8 | byte] = to, grown
         return to, grown
 
-    def count(self, word: bytes) -> int:
+    def numbered(self, state: State) -> int:
+        at = self.number.get(state)
+        if at is None:
+            at = self.number[state] = len(self.states)
+            self.states.append(state)
+        return at
+
+    def advance(self, state: State, part: bytes) -> tuple[State, int]:
+        """The state after bytes that don't end a word, and the growth of the count."""
         if len(self.go) > TRANSITIONS:
             self.reset()
-        at = n = 0
-        go = self.go.get
-        for b in word[:-1]:
+        at, n, go = self.numbered(state), 0, self.go.get
+        for b in part:
             at, grown = go(at << 8 | b) or self.step(at, b)
             n += grown
-        key = at << 8 | word[-1]
+        return self.states[at], n
+
+    def finish(self, state: State, part: bytes) -> int:
+        """The growth of the count over the rest of a word, which ends it."""
+        state, n = self.advance(state, part[:-1])
+        key = self.number[state] << 8 | part[-1]
         grown = self.stop.get(key)
         if grown is None:
-            grown = self.stop[key] = self.last(self.states[at], word[-1], self.ends)[1]
+            grown = self.stop[key] = self.last(state, part[-1], self.ends)[1]
         return n + grown
 
 
-#: A chunk's state map: head, count of the body, tail; tail None if the chunk has no white space at all.
-StateMap = tuple[str, int, str | None]
+#: The bytes that it is entered with, whether they end their word, the tokens after them, and the exit state.
+StateMap = tuple[bytes, bool, int, State]
 
 
 class Counter:
@@ -134,23 +146,23 @@ class Counter:
         self.split, self.machine, self.chunk = Splitter(v.special), Transducer(v), chunk
         self.memo, self.pieces = Generations(MEMO), Generations(MEMO)
 
+    def piece(self, p: str | int) -> tuple[int, int]:
+        """Tokens and bytes of a piece; a special token is one token of one byte."""
+        if isinstance(p, int):
+            return 1, 1
+        k = self.pieces.young.get(p) or self.pieces.old.get(p)
+        if k is None:
+            raw = p.encode("utf-8", "surrogatepass")
+            k = self.machine.finish(BEGIN, raw), len(raw)
+            if len(p) < 200:
+                self.pieces.put(p, k)
+        return k
+
     def run(self, w: str) -> int:
-        """Tokens of a run without white space, from the start state back to it."""
-        n = 0
-        for p in self.split(w):
-            if isinstance(p, int):
-                n += 1
-                continue
-            k = self.pieces.young.get(p) or self.pieces.old.get(p)
-            if k is None:
-                k = self.machine.count(p.encode("utf-8", "surrogatepass"))
-                if len(p) < 200:
-                    self.pieces.put(p, k)
-            n += k
-        return n
-
-    def body(self, text: str) -> int:
-        words = words_of(text)
+        """Of a run without white space: its bytes << 32 | its tokens, so that sums of runs are sums of both."""
+        return sum([n << 32 | k for k, n in map(self.piece, self.split(w))])
+
+    def runs(self, words: list[str]) -> list[int]:
         found = list(map(self.memo.young.get, words))
         if None in found:
             new = {}
@@ -158,22 +170,48 @@ class Counter:
                 n = self.memo.old.get(w)
                 n = self.run(w) if n is None else n
                 new[w] = n if len(w) >= 200 else self.memo.put(w, n)
-            return sum([new[w] if n is None else n for w, n in zip(words, found)])
-        return sum(found)
-
-    def state_map(self, chunk: str) -> StateMap:
-        if not (first := gap(chunk)):
-            return chunk, 0, None
-        tail = max([chunk.rfind(c) for c in SPACE]) + 1
-        return chunk[: first.start()], self.body(chunk[first.start() : tail]), chunk[tail:]
+            found = [new[w] if n is None else n for w, n in zip(words, found)]
+        return found
+
+    def state_maps(self, words: list[str], found: list[int]) -> list[StateMap]:
+        """The chunks' maps. Runs within a chunk add their counts; only words in which a chunk ends are read in parts."""
+        both = np.array(found, np.int64)
+        tokens, sizes = both & 0xFFFFFFFF, both >> 32
+        ends = np.cumsum(sizes)
+        first, last = (ends - sizes) // self.chunk, np.maximum(ends - 1, ends - sizes) // self.chunk
+        n = int(ends[-1] - 1) // self.chunk + 1
+        whole = first == last
+        inside = np.bincount(np.minimum(first[whole], n - 1), tokens[whole], n).astype(np.int64).tolist()
+        heads, ended, exits = [b""] * n, [True] * n, [BEGIN] * n
+        for i in np.flatnonzero(~whole).tolist():
+            at = int(ends[i] - sizes[i])
+            for p in self.split(words[i]):
+                k, size = self.piece(p)
+                lo, hi = at // self.chunk, (at + size - 1) // self.chunk
+                if lo == hi:
+                    inside[lo] += k
+                else:
+                    raw = p.encode("utf-8", "surrogatepass")
+                    for c in range(lo, hi + 1):
+                        part = raw[max(0, c * self.chunk - at) : (c + 1) * self.chunk - at]
+                        if c == lo:
+                            exits[c], grown = self.machine.advance(BEGIN, part)
+                            inside[c] += grown
+                        else:
+                            heads[c], ended[c] = part, c == hi
+                at += size
+        return list(zip(heads, ended, inside, exits, strict=True))
 
     def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        if a[2] is None:
-            return a[0] + b[0], b[1], b[2]
-        if b[2] is None:
-            return a[0], a[1], a[2] + b[0]
-        between = a[2] + b[0]
-        return a[0], a[1] + (self.run(between) if between else 0) + b[1], b[2]
+        """The map of a followed by b."""
+        if not a[1]:
+            return a[0] + b[0], b[1], b[2], b[3]
+        if not b[0]:
+            return a[0], True, a[2] + b[2], b[3]
+        if b[1]:
+            return a[0], True, a[2] + self.machine.finish(a[3], b[0]) + b[2], b[3]
+        state, grown = self.machine.advance(a[3], b[0])
+        return a[0], True, a[2] + grown, state
 
     def scan(self, maps: list[StateMap]) -> list[StateMap]:
         """All prefixes' maps, composed in pairs (work-efficient: half the maps at each level)."""
@@ -185,29 +223,31 @@ class Counter:
             out.append(pairs[i // 2] if i % 2 else self.compose(pairs[i // 2 - 1], maps[i]))
         return out
 
-    def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        if len(text) <= self.chunk:
-            return self.body(text)
-        maps = [self.state_map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)]
-        head, n, tail = self.total(maps)
-        return n + sum(self.run(x) for x in (head, tail) if x)
+    def counts(self, text: str | None) -> list[int]:
+        """Tokens up to the end of each chunk; a word that the chunk leaves open counts as far as it goes."""
+        words = words_of(text or "")
+        found = self.runs(words)
+        both = sum(found)
+        if both >> 32 <= self.chunk:
+            return [both & 0xFFFFFFFF]
+        return [m[2] for m in self.scan(self.state_maps(words, found))]
 
-    def total(self, maps: list[StateMap]) -> StateMap:
-        """The scan's last element, by its upward half alone."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
+    def count(self, text: str | None) -> int:
+        return self.counts(text)[-1]
 
 
 def with_counts(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, str]:
-    """``docs`` with a struct of n_bytes and n_tokens; also the struct's name. Other columns stay as they are."""
+    """``docs`` with a struct of n_bytes, n_tokens and chunk_tokens (see Counter.counts); also the struct's name. Other columns stay as they are."""
     v = load(path)
 
     def setup() -> Callable:
         counter = Counter(v)
-        return lambda t: (len((t or "").encode("utf-8", "surrogatepass")), counter.count(t))
+
+        def one(t: str | None) -> tuple:
+            counts = counter.counts(t)
+            return len((t or "").encode("utf-8", "surrogatepass")), counts[-1], counts
+
+        return one
 
     name = fresh_name(docs, "tokens")
-    return with_struct(docs, struct_udf(setup, [("n_bytes", "long"), ("n_tokens", "long")]), text, name), name
+    return with_struct(docs, struct_udf(setup, [("n_bytes", "long"), ("n_tokens", "long"), ("chunk_tokens", "array<long>")]), text, name), name

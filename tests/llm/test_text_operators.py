@@ -124,26 +124,57 @@ def test_transducer_equals_library(vocabulary, library, documents):
 
 
 def test_scan_composes_state_maps(vocabulary):
+    """Prefixes of the scan against the maps composed one by one, and against reading the bytes from the first state."""
+    from quillgrid.llm.token_counts import BEGIN
     from quillgrid.llm.token_counts import Counter as Tokens
 
-    counter = Tokens(vocabulary, chunk=4)
-    text = "some words that are cut anywhere and averyveryverylongone"
-    maps = [counter.state_map(text[i : i + 4]) for i in range(0, len(text), 4)]
-    one = maps[0]
-    for k, m in enumerate(counter.scan(maps)):
-        one = maps[0] if k == 0 else counter.compose(one, maps[k])
-        assert m == one
-    assert counter.total(maps) == counter.scan(maps)[-1]
+    text = "some words that are cut anywhere and " + "averyveryverylongone" * 3 + " it's 12 <|endoftext|> é!!"
+    for size in (1, 2, 3, 4, 9, 30):
+        counter = Tokens(vocabulary, chunk=size)
+        words = text.split()
+        maps = counter.state_maps(words, counter.runs(words))
+        stream = [p if isinstance(p, int) else p.encode() for w in words for p in counter.split(w)]
+        assert len(maps) == -(-sum(1 if isinstance(p, int) else len(p) for p in stream) // size) > 3
+        one = maps[0]
+        for k, m in enumerate(counter.scan(maps)):
+            one = maps[0] if k == 0 else counter.compose(one, maps[k])
+            assert m == one and m[0] == b"" and m[1]
+            left, n, state = (k + 1) * size, 0, BEGIN  # by reading so many bytes of the stream
+            for p in stream:
+                take = min(left, 1 if isinstance(p, int) else len(p))
+                left -= take
+                if isinstance(p, int):
+                    n += take
+                elif take == len(p):
+                    n += counter.machine.finish(BEGIN, p)
+                elif take:
+                    state, grown = counter.machine.advance(BEGIN, p[:take])
+                    n += grown
+            assert (m[2], m[3]) == (n, state)
+        a, b, c = maps[1:4]
+        assert counter.compose(counter.compose(a, b), c) == counter.compose(a, counter.compose(b, c))
+
+
+def test_machine_is_compiled_anew(vocabulary, monkeypatch):
+    from quillgrid.llm import token_counts
+
+    text = " ".join(f"word{i}s" * 3 for i in range(300))
+    want = token_counts.Counter(vocabulary).count(text)
+    monkeypatch.setattr(token_counts, "TRANSITIONS", 20)
+    assert token_counts.Counter(vocabulary, chunk=5).count(text) == want
 
 
 def test_count_query(spark, library):
     from quillgrid.llm import token_counts
     from quillgrid.llm.queries import vocabulary_path
 
-    out, s = token_counts.with_counts(with_odd_rows(spark), vocabulary_path())
+    docs = with_odd_rows(spark, [*TRICKY, "words and more words " * 1000])
+    out, s = token_counts.with_counts(docs, vocabulary_path())
     for r in out.collect():
         text = r["text"] or ""
-        assert tuple(r[s]) == (len(text.encode()), len(library.encode(text, add_special_tokens=False).ids))
+        assert tuple(r[s])[:2] == (len(text.encode()), len(library.encode(text, add_special_tokens=False).ids))
+        assert r[s][2][-1] == r[s][1] and r[s][2] == sorted(r[s][2]) and (len(r[s][2]) > 3) == (len(text) > 15_000)
+    assert token_counts.with_counts(docs.limit(0), vocabulary_path())[0].count() == 0
 
 
 # Language: operator 3
