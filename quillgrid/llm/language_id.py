@@ -3,48 +3,80 @@
 A known word scores by its log frequency in each language. An unseen word is cut greedily: at each position the
 longest known n-gram, of at most NGRAM letters and marked where the word begins and ends, scores by its log
 frequency, and the next cut begins after it; the word's score is the mean over its cuts. A text's score in a
-language is the mean over its words.
-
-The model is fitted on a bounded sample of labelled rows: about SAMPLE documents, shared evenly by the LANGUAGES most
-frequent labels and drawn by a hash of their ids. Fitting and scoring read whole texts.
-
-Defined results: a null text, or one without a letter, is ``und`` with score 0. Rows whose label or id is null
-are not learned from. With no labelled row at all every text is ``und``.
+language is the mean over its words. Words are runs of letters (Unicode category L), lower-cased.
+
+The model is fitted on a bounded sample of labelled rows: about SAMPLE documents, shared evenly by all labels, of each
+label at least LEAST_DOCUMENTS or all it has, drawn by a hash of id and text. Words and n-grams are counted where the
+texts lie; the driver gets of each label the VOCABULARY most frequent words and the GRAMS most frequent n-grams (of
+equal ones the smaller), and their counts in the other labels. Fitting and scoring read whole texts; words of more than
+MOST_LETTERS letters are not learned. The model holds what differs from half an occurrence only, so that a label costs
+as much as its own words.
+
+Defined results: a null text, or one without a letter, is ``und`` with score 0. Rows whose label, text or fold is null
+are not learned from. With no labelled row at all every text is ``und``. Of languages that score the same the smaller
+name is predicted. Repeated rows are learned from as often as they stand there.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import sys
+import unicodedata
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_name, struct_udf, with_struct
+from .common import SLICE, ensure_checkpoint_dir, fresh_name, struct_udf, with_struct
 
 UNKNOWN = "und"
 SAMPLE = 6000
-LANGUAGES = 200
+LEAST_DOCUMENTS = 20
 NGRAM = 5
+#: Of each language.
 VOCABULARY = 40_000
 GRAMS = 60_000
+#: Occurrences of a word, of an n-gram, from which a language may make it known.
+LEAST = (3, 2)
+MOST_LETTERS = 200
 #: Words from which a mean score counts as sure as it will.
 SURE = 12
 MEMO = 120_000
-letters_of = re.compile(r"[^\W\d_]+").findall
+#: Counts that a task of the fit holds at once.
+HELD = 300_000
+
+
+def no_letters() -> str:
+    """Ranges of the characters that Python's \\w holds beside letters, decimal digits and the underscore: other numerals."""
+    odd = [c for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isdecimal() and unicodedata.category(chr(c))[0] != "L"]
+    held = set(odd)
+    lows, highs = [c for c in odd if c - 1 not in held], [c for c in odd if c + 1 not in held]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(lows, highs, strict=True))
+
+
+letters_of = re.compile(rf"[^\W\d_{no_letters()}]+").findall
+
+
+@dataclass
+class Entries:
+    """Known words or n-grams: of the k-th key, languages at[start[k]:start[k + 1]] and by how much its log frequency there is over that of half an occurrence."""
+
+    keys: list[str]
+    start: np.ndarray
+    at: np.ndarray
+    over: np.ndarray
+    none: np.ndarray  # of each language, the log frequency of half an occurrence
 
 
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, int]  # row of the matrix
-    grams: dict[str, int]
-    word_logs: np.ndarray  # words x languages
-    gram_logs: np.ndarray
+    words: Entries
+    grams: Entries
 
 
 def grams_of(word: str) -> list[str]:
@@ -52,81 +84,140 @@ def grams_of(word: str) -> list[str]:
     return [w[i : i + n] for n in range(1, NGRAM + 1) for i in range(len(w) - n + 1)]
 
 
-def logs(counts: list[Counter], keep: list[str]) -> np.ndarray:
-    """Log frequencies, rows as in keep; half an occurrence is added everywhere."""
-    table = np.array([[c[k] for c in counts] for k in keep], float).reshape(len(keep), len(counts)) + 0.5
-    return np.log(table / (np.array([sum(c.values()) for c in counts], float) + 0.5 * len(keep) + 1)).astype(np.float32)
+def gram_counts(words: Counter) -> Counter:
+    out: Counter = Counter()
+    for w, n in words.items():
+        for g in grams_of(w):
+            out[g] += n
+    return out
+
+
+def entries(languages: list[str], totals: dict[str, int], counts: list[tuple[str, str, int]]) -> Entries:
+    """From (key, language, occurrences) of all known keys; log frequencies add half an occurrence everywhere."""
+    place = {x: i for i, x in enumerate(languages)}
+    rows = sorted((k, place[x], n) for k, x, n in counts)
+    keys = sorted({r[0] for r in rows})
+    number = {k: i for i, k in enumerate(keys)}
+    start = np.zeros(len(keys) + 1, np.int64)
+    np.add.at(start, np.array([number[r[0]] + 1 for r in rows], np.int64), 1)
+    none = np.log(0.5 / (np.array([totals.get(x, 0) for x in languages], float) + 0.5 * len(keys) + 1))
+    return Entries(keys, np.cumsum(start), np.array([r[1] for r in rows], np.int64), np.log(2 * np.array([r[2] for r in rows], float) + 1), none)
 
 
 def fit_rows(rows: list[tuple[str, str]]) -> Model:
-    """From (lang, text) pairs."""
-    languages = sorted({lang for lang, text in rows if lang is not None})
-    at = {x: i for i, x in enumerate(languages)}
-    words, grams = [Counter() for _ in languages], [Counter() for _ in languages]
-    for lang, text in rows:
-        words[at[lang]].update(letters_of((text or "").lower()))
-    for i, c in enumerate(words):
-        for w, n in c.items():
-            for g in grams_of(w):
-                grams[i][g] += n
-    pick = lambda cs, most, least: sorted(k for k, n in sum(cs, Counter()).most_common(most) if n >= least)
-    known, kept = pick(words, VOCABULARY, 3), pick(grams, GRAMS, 2)
-    return Model(languages, {w: i for i, w in enumerate(known)}, {g: i for i, g in enumerate(kept)}, logs(words, known), logs(grams, kept))
+    """From (lang, text) pairs, all in one place."""
+    languages = sorted({x for x, t in rows if x is not None and t is not None})
+    words = {x: Counter() for x in languages}
+    for x, t in rows:
+        if x is not None and t is not None:
+            words[x].update(w for w in letters_of(t.lower()) if len(w) <= MOST_LETTERS)
+    out = []
+    for counts, most, least in ((words, VOCABULARY, LEAST[0]), ({x: gram_counts(c) for x, c in words.items()}, GRAMS, LEAST[1])):
+        known = {k for c in counts.values() for k, n in sorted(c.items(), key=lambda e: (-e[1], e[0].encode()))[:most] if n >= least}
+        out.append(entries(languages, {x: c.total() for x, c in counts.items()}, [(k, x, c[k]) for x, c in counts.items() for k in known & c.keys()]))
+    return Model(languages, *out)
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(lang, kind, key, n) of the words (kind 0) and n-grams (kind 1) of (lang, text) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, Counter] = {}
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            for x, c in words.items():
+                for kind, counts in ((0, c), (1, gram_counts(c))):
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * len(counts), pa.string()), "kind": pa.array([kind] * len(counts), pa.int32()), "key": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+            words.clear()
+
+        held = 0
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                b = whole.slice(k, SLICE)
+                for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    c = words.setdefault(x, Counter())
+                    before = len(c)
+                    c.update(w for w in letters_of(t.lower()) if len(w) <= MOST_LETTERS)
+                    held += len(c) - before
+                    if held > HELD:
+                        yield from handed()
+                        held = 0
+        yield from handed()
+
+    return rows.mapInArrow(run, "lang string, kind int, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fits on rows where ``usable`` holds and the label is not null."""
-    rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").cast("string").alias("id"), usable.alias("usable")).where("usable and lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    """Fits on rows where ``usable`` holds and label and text are not null."""
+    rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"), F.col(f"`{doc_id}`").cast("string").alias("id"), usable.alias("usable")).where("usable and lang is not null and text is not null")
+    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]  # one row for each label, as in the model
     if not counts:
         return fit_rows([])
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / len(counts) / n))])[F.col("lang")]
-    draw = F.xxhash64("id", F.lit("language")).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
-    return fit_rows(sorted((r["lang"], r["text"]) for r in rows.where(draw < share).select("lang", "text").collect()))
+    ensure_checkpoint_dir(docs.sparkSession)
+    shares = docs.sparkSession.createDataFrame([(x, max(sample / len(counts), LEAST_DOCUMENTS) / n) for x, n in counts], "lang string, share double")
+    draw = F.xxhash64("id", "text", F.lit("language")).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    found = counted(rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text")).checkpoint()
+    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
+    most = F.when(F.col("kind") == 0, VOCABULARY).otherwise(GRAMS)
+    known = found.where(F.when(F.col("kind") == 0, F.col("n") >= LEAST[0]).otherwise(F.col("n") >= LEAST[1])).withColumn("rank", rank).where(F.col("rank") <= most).select("kind", "key").distinct()
+    kept = found.join(known, ["kind", "key"]).select("kind", "key", "lang", "n").toPandas()  # VOCABULARY and GRAMS rows for each label at most, and these keys' counts in other labels
+    totals = {(r["lang"], r["kind"]): r["n"] for r in found.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(x for x, _ in counts)
+    of = lambda k: entries(languages, {x: totals.get((x, k), 0) for x in languages}, list(kept[kept["kind"] == k][["key", "lang", "n"]].itertuples(index=False, name=None)))
+    return Model(languages, of(0), of(1))
+
+
+Found = tuple[int, np.ndarray, np.ndarray]
 
 
 class Scorer:
     def __init__(self, m: Model):
         self.m, self.n = m, len(m.languages)
-        self.rows = np.zeros((MEMO + 1, max(1, self.n)), np.float32)
-        self.memo: dict[str, int] = {}
-        self.longest = max((len(g) for g in m.grams), default=1)
-
-    def word(self, w: str) -> np.ndarray:
-        m = self.m
-        if (i := m.words.get(w)) is not None:
-            return m.word_logs[i]
-        marked, at, cuts, rest = f"<{w}>", 0, [], 0
+        self.words, self.grams = ({k: i for i, k in enumerate(e.keys)} for e in (m.words, m.grams))
+        self.longest = max(map(len, m.grams.keys), default=1)
+        self.memo: dict[str, Found] = {}
+
+    def word(self, w: str) -> Found:
+        """0 if known, 1 if cut, 2 if no letter of it was ever seen; languages, and log frequencies over that of half an occurrence."""
+        e = self.m.words
+        if (i := self.words.get(w)) is not None:
+            return 0, e.at[e.start[i] : e.start[i + 1]], e.over[e.start[i] : e.start[i + 1]]
+        marked, at, cuts, e = f"<{w}>", 0, [], self.m.grams
         while at < len(marked):
-            for n in range(self.longest, 0, -1):
-                if (i := m.grams.get(marked[at : at + n])) is not None:
+            for n in range(min(self.longest, len(marked) - at), 0, -1):
+                if (i := self.grams.get(marked[at : at + n])) is not None:
                     cuts.append(i)
                     at += n
                     break
             else:
-                at, rest = at + 1, rest + 1  # a letter that was never seen says nothing
-        return m.gram_logs[cuts].mean(0) if cuts else np.zeros(self.n, np.float32)
+                at += 1  # a letter that was never seen says nothing
+        if not cuts:
+            return 2, np.array([], np.int64), np.array([])
+        sums = np.bincount(np.concatenate([e.at[e.start[i] : e.start[i + 1]] for i in cuts]), np.concatenate([e.over[e.start[i] : e.start[i + 1]] for i in cuts]))
+        at = np.flatnonzero(sums)
+        return 1, at, sums[at] / len(cuts)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         counts = Counter(letters_of((text or "").lower()))
         if not counts or not self.n:
             return UNKNOWN, 0.0
-        if len(self.memo) + len(counts) > MEMO:
-            self.memo.clear()
-        memo, ids, odd = self.memo, [], np.zeros(self.n)
-        weights = []
+        memo = self.memo
+        if len(memo) + len(counts) > MEMO:
+            memo.clear()
+        kinds, at, over, times = [0, 0, 0], [], [], []
         for w, n in counts.items():
-            i = memo.get(w)
-            if i is None:
-                if len(memo) >= MEMO or len(w) > 200:
-                    odd += n * self.word(w)
-                    continue
-                i = memo[w] = len(memo)
-                self.rows[i] = self.word(w)
-            ids.append(i)
-            weights.append(n)
-        total = sum(counts.values())
-        mean = (np.array(weights, float) @ self.rows[ids] + odd if ids else odd) / total
+            f = memo.get(w)
+            if f is None:
+                f = self.word(w)
+                if len(memo) < MEMO and len(w) <= MOST_LETTERS:
+                    memo[w] = f
+            kinds[f[0]] += n
+            at.append(f[1])
+            over.append(f[2])
+            times.append(n)
+        total = sum(times)
+        sums = np.bincount(np.concatenate(at), np.concatenate(over) * np.repeat(times, [len(x) for x in at]), self.n)
+        mean = (sums + kinds[0] * self.m.words.none + kinds[1] * self.m.grams.none) / total
         odds = np.exp((mean - mean.max()) * min(SURE, total))
         best = int(mean.argmax())
         return self.m.languages[best], float(odds[best] / odds.sum())

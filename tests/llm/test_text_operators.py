@@ -198,19 +198,93 @@ def test_language_backs_off(documents):
 
     m = language_id.fit_rows([("aa", "abab abab abab"), ("bb", "cdcd cdcd cdcd")])
     s = language_id.Scorer(m)
-    assert s("ababab")[0] == "aa" and s("cdcdcd")[0] == "bb" and "ababab" not in m.words
+    assert s("ababab")[0] == "aa" and s("cdcdcd")[0] == "bb" and "ababab" not in m.words.keys
     assert language_id.Scorer(language_id.fit_rows([]))("text") == ("und", 0.0)
 
 
+def test_letters_are_of_category_l(documents):
+    import sys
+    import unicodedata
+
+    from quillgrid.llm.language_id import Scorer, fit_rows, letters_of
+
+    for c in range(sys.maxunicode + 1):
+        assert bool(letters_of(chr(c))) == (unicodedata.category(chr(c))[0] == "L"), hex(c)
+    score = Scorer(fit_rows([(d["lang"], d["text"]) for d in documents]))
+    for text in ("½ ²", "Ⅷ ①", "12 ٣", "_"):
+        assert score(text) == ("und", 0.0)
+    assert score("½a")[0] != "und"
+
+
+def test_language_equals_brute_force(documents):
+    """Scores by the definition, with a table of all languages for each word and n-gram."""
+    import math
+
+    from quillgrid.llm import language_id as li
+
+    rows = [(d["lang"], d["text"]) for d in documents[:60]]
+    languages = sorted({x for x, t in rows if x and t})
+    words = {x: Counter(w for y, t in rows if y == x and t for w in li.letters_of(t.lower())) for x in languages}
+    grams = {x: Counter(f"<{w}>"[i : i + k] for w, n in c.items() for _ in range(n) for k in range(1, 6) for i in range(len(w) + 3 - k)) for x, c in words.items()}
+    known = [{k for c in cs.values() for k, n in c.items() if n >= least} for cs, least in ((words, 3), (grams, 2))]
+
+    def log(kind, x, key):
+        c = (words, grams)[kind][x]
+        return math.log((c[key] + 0.5) / (c.total() + 0.5 * len(known[kind]) + 1))
+
+    def brute(text):
+        sums, n = dict.fromkeys(languages, 0.0), 0
+        for w in li.letters_of(text.lower()):
+            n += 1
+            cuts, at, marked = [], 0, f"<{w}>"
+            while at < len(marked) and w not in known[0]:
+                size = next((k for k in range(5, 0, -1) if marked[at : at + k] in known[1] and at + k <= len(marked)), 0)
+                cuts += [marked[at : at + size]] * (size > 0)
+                at += size or 1
+            for x in languages:
+                sums[x] += log(0, x, w) if w in known[0] else sum(log(1, x, g) for g in cuts) / max(1, len(cuts))
+        top = max(sums.values())
+        odds = {x: math.exp((v - top) / n * min(12, n)) for x, v in sums.items()}
+        best = min(languages, key=lambda x: (-round(sums[x], 9), x))
+        return best, odds[best] / sum(odds.values())
+
+    score = li.Scorer(li.fit_rows(rows))
+    for text in ["never seen wörds here", "xq", "日本", *[t[:600] for _, t in rows if t and li.letters_of(t[:600])]]:
+        for _ in range(2):  # the second time from the memo
+            got, want = score(text), brute(text)
+            assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-6)
+
+
+def test_every_language_is_learned(spark):
+    """All labels, by the distributed fit, which gives the model of the rows in one place."""
+    from pyspark.sql import functions as F
+
+    from quillgrid.llm import language_id
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, letters[i // 16 % 16] + letters[i % 16] * 3 + " " + letters[i % 16] + letters[i // 16 % 16] * 4, f"l{i % 256:03}") for i in range(1024)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    m = language_id.fit(docs, F.lit(True))
+    one = language_id.fit_rows([(x, t) for _, t, x in rows])
+    assert len(m.languages) == 256 and m.languages == one.languages
+    for a, b in ((m.words, one.words), (m.grams, one.grams)):
+        assert a.keys == b.keys and all(np.array_equal(getattr(a, f), getattr(b, f)) for f in ("start", "at", "over", "none"))
+    score = language_id.Scorer(m)
+    assert np.mean([score(t)[0] == x for _, t, x in rows]) > 0.99
+
+
 def test_language_without_labels(spark):
     from pyspark.sql import functions as F
 
     from quillgrid.llm import language_id
 
-    docs = spark.createDataFrame([(1, "abc", None), (None, "abc", "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, "abc", None, 1), (None, "abc", "en", 2), (2, None, "en", 3), (None, "abc", "en", 2)], "doc_id long, text string, lang string, language int")
     m = language_id.fit(docs, F.col("doc_id").isNotNull())
     out, s = language_id.with_language(docs, m)
-    assert [tuple(r[s]) for r in out.collect()] == [("und", 0.0)] * 3
+    assert [tuple(r[s]) for r in out.collect()] == [("und", 0.0)] * 4
+    out, s = language_id.with_language(docs, language_id.fit(docs, F.lit(True)))
+    assert s == "language_" and [r[s]["lang_pred"] for r in out.collect()] == ["en", "en", "und", "en"]
+    assert language_id.with_language(docs.limit(0), language_id.fit(docs.limit(0), F.lit(True)))[0].count() == 0
 
 
 # Quality: operators 1 and 2
