@@ -5,6 +5,9 @@ beyond ASCII) and finds the base phrases, further notice phrases and identifier
 stands, be it several on a line, the license expression after it in the raw text is read with a shunting-yard parser (``with`` binds before
 ``and``, ``and`` before ``or``), and evaluated: its labels, and whether a permissive choice is enough.
 
+Only identifiers of FAMILIES, and those that begin with LicenseRef-, are operands; after ``with`` any name is one. A tag
+that no such expression follows gives no label.
+
 score: 1 for a whole expression, 0.9 for a base phrase, 0.8 for another notice, 0.5 for a tag whose expression can't
 be read, 0 for nothing; the highest counts.
 
@@ -44,8 +47,13 @@ NOTICES = {
     "all rights reserved": "proprietary",
 }
 TAGS = ("spdx license identifier",)
-PERMISSIVE = {"mit", "apache", "bsd", "isc", "bsl", "cc-by", "cc0", "public-domain"}
-FAMILIES = (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("mpl", "mpl"), ("epl", "epl"), ("bsl-1.0", "bsl"), ("isc", "isc"), ("cc-by", "cc-by"), ("cc0", "cc0"), ("unlicense", "public-domain"))
+PERMISSIVE = frozenset("mit apache bsd isc bsl cc-by cc0 public-domain blueoak hpnd icu libpng ncsa postgresql psf python unicode upl w3c wtfpl x11 zlib".split())
+#: Families of license identifiers, by how they begin, and their labels where these differ.
+FAMILIES = tuple(
+    "0BSD AFL AGPL Apache APSL Artistic Beerware BlueOak BSD BSL BUSL CAL CC-BY CC0 CDDL CECILL CPAL CPL ECL EFL Elastic EPL EUPL FTL GFDL GPL HPND ICU IJG Info-ZIP IPL ISC LGPL libpng LPL LPPL MIT MPL MS-PL MS-RL MulanPSL NASA NCSA NPL ODbL OFL OLDAP OpenSSL OSL PDDL PHP PostgreSQL PSF Python QPL RPL Ruby SGI-B Sleepycat SPL SSPL TCL Unicode Unlicense UPL Vim W3C WTFPL X11 Xnet ZPL Zlib".lower().split()
+)
+LABELS = {"0bsd": "bsd", "unlicense": "public-domain"}
+LICENSE_REF = "licenseref-"
 
 norm_words = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+").findall
 tag_of = re.compile(r"spdx[^0-9a-z\n\x80-\U0010ffff]{1,3}license[^0-9a-z\n\x80-\U0010ffff]{1,3}identifier[ \t]*:?[ \t]*", re.I).finditer
@@ -53,9 +61,15 @@ token_of = re.compile(r"[ \t]*(?:([()])|([A-Za-z0-9][A-Za-z0-9.+-]*))").match
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def family(identifier: str) -> str:
-    low = identifier.lower()
-    return next((label for start, label in FAMILIES if low.startswith(start)), low)
+known_of = re.compile(rf"({'|'.join(sorted(map(re.escape, FAMILIES), key=len, reverse=True))})(?:[-+.0-9][a-z0-9.+-]*)?").fullmatch
+
+
+def family(identifier: str) -> str | None:
+    """The label of a license identifier; None if it is none."""
+    low = identifier.lower().rstrip(".")
+    if low.startswith(LICENSE_REF) and low != LICENSE_REF:
+        return low
+    return LABELS.get(m[1], m[1]) if (m := known_of(low)) else None
 
 
 @dataclass
@@ -98,8 +112,10 @@ def evaluate(text: str, at: int = 0, end: int | None = None) -> Value | None:
                 continue
             if not word or word.lower() in BINDS:
                 break
-            label = family(word.rstrip(".")) if word.rstrip(".") else word
-            values.append(Value(frozenset([label]), label in PERMISSIVE))
+            label = family(word)
+            if label is None and not (waiting and waiting[-1] == "with"):
+                break
+            values.append(Value(frozenset([label] if label else []), label in PERMISSIVE))
             operand = False
         elif bracket == ")":
             while waiting and waiting[-1] != "(":

@@ -425,8 +425,23 @@ def test_license_expressions():
     assert value("(MIT OR GPL-3.0) AND LGPL-2.1") == (["gpl", "lgpl", "mit"], False)
     assert value("GPL-2.0 WITH Classpath-exception-2.0 OR MIT rest of line")[1] is True
     assert value(")") is None and value("") is None and value("(MIT") is None and value("AND MIT") is None
+    assert value("see the file") is None and value("mitten") is None and value("GPLv9x") is None and value("MIT or see the file") == (["mit"], True)
+    assert value("LicenseRef-Own-1 AND 0BSD") == (["bsd", "licenseref-own-1"], False) and value("Zlib.") == (["zlib"], True) and value("BSD-3-Clause AND Unlicense") == (["bsd", "public-domain"], True)
     got = Scanner()("# SPDX-License-Identifier: Apache-2.0 OR MIT\ncode")
     assert got[5:7] == ("apache,mit", 1.0) and got[1] == 0
+    got = Scanner()("SPDX-License-Identifier: see the file")
+    assert got[4:] == ("", "", 0.5, None)
+
+
+def test_licenses_of_odd_rows(spark):
+    from quillgrid.llm import license_scan
+
+    docs = with_odd_rows(spark, [*TRICKY, "the MIT License " * 4000 + "x"]).selectExpr("*", "1 as License", "2 as n_words")
+    out, s = license_scan.with_licenses(docs)
+    assert s == "license_" and out.columns[:-1] == docs.columns and out.count() == docs.count()
+    for r in out.collect():
+        assert tuple(r[s])[:5] == brute_places(r["text"])
+    assert license_scan.with_licenses(docs.limit(0))[0].count() == 0
 
 
 # Pages: operator 6
