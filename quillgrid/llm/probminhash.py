@@ -12,8 +12,7 @@ shingles with weight 1, whose bands make candidates too, and a pair is ruled out
 
 Candidates without all pairs: equal texts are one node first. In each bucket all nodes are paired with its most
 central member, the one that shares the largest buckets (of texts copied from one original, the original or what is
-nearest to it). Of its pairs each node verifies the one with most bands first, then the others as far as they still
-lie in different classes and their registers don't rule them out (below NEAR, five standard deviations from 0.8).
+nearest to it). Of its pairs each node verifies the one with most bands, which gathers the copies of one original.
 What then is left in buckets of several classes is closed by a prefix filter, so that no pair depends on a choice or an
 estimate: shingles are ordered by the number of these nodes that have them, rare ones first, and a node stands at those
 of its first shingles behind which less than 0.8 of its shingles, or of its weight, is left. Two texts whose plain or
@@ -47,8 +46,6 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
-#: Share of equal registers below which a similarity of 0.8 is ruled out (3 in 10 million).
-NEAR = 0.64
 MEMO = 200_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,12 +119,6 @@ def bands(packed_registers: str) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), F.substring(packed_registers, 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
 
 
-def agreement(a: str, b: str) -> Column:
-    """Share of equal registers of two packed columns."""
-    same = F.filter(F.sequence(F.lit(0), F.lit(REGISTERS - 1)), lambda i: F.substring(a, 2 * i + 1, F.lit(2)) == F.substring(b, 2 * i + 1, F.lit(2)))
-    return F.size(same) / REGISTERS
-
-
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
     """Exact probability Jaccard and plain Jaccard of two weighted sets."""
     (ha, wa), (hb, wb) = a, b
@@ -207,22 +198,10 @@ def best_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a").agg(F.max(F.struct("hits", (-F.col("b")).alias("minus"))).alias("best")).select("a", (-F.col("best.minus")).alias("b"))
 
 
-def labelled_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different classes, as (a, b)."""
-    of = lambda df, c: merge_join(df, labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
-    return of(of(pairs.select("a", "b"), "a"), "b").where("of_a <> of_b").select("a", "b")
-
-
-def possible(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Pairs that not both of their registers rule out; ``prints``: node, registers, plain."""
-    of = lambda df, c: merge_join(df, prints.select(F.col("node").alias(c), F.col("registers").alias(f"of_{c}"), F.coalesce("plain", "registers").alias(f"plain_{c}")), c)
-    return of(of(pairs, "a"), "b").where((agreement("of_a", "of_b") >= NEAR) | (agreement("plain_a", "plain_b") >= NEAR)).select("a", "b")
-
-
-def mixed_buckets(buckets: DataFrame, labels: DataFrame, least: int = 2) -> DataFrame:
-    """The rows of buckets of ``least`` nodes or more that still hold several classes."""
+def mixed_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that still hold several classes."""
     here = merge_join(buckets, labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = here.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where(f"low <> high and n >= {least}").select("h").checkpoint()
+    mixed = here.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("h").checkpoint()
     return release(merge_join(buckets, mixed, "h").checkpoint())
 
 
@@ -290,26 +269,24 @@ def reachable(similar: float) -> Column:
 
 
 def crossing(places: DataFrame, labels: DataFrame, similar: float) -> DataFrame:
-    """(a, b, hits), a < b: the pairs of different classes that can be similar, by what comes before a common shingle."""
+    """(a, b), a < b: the pairs of different classes that can be similar, by what comes before a common shingle."""
     here = merge_join(places, labels, "node", "left").withColumn("label", F.coalesce("label", "node")).checkpoint()
     side = lambda c: here.select(*[F.col(x).alias(f"{x}_{c}") for x in here.columns])
     a, b = side("a").withColumn("k_", F.col("h_a").bitwiseXOR(F.lit(0x5BD1E995))), side("b").withColumn("k_", F.col("h_b").bitwiseXOR(F.lit(0x5BD1E995)))
     both = a.join(b.hint("merge"), (a["k_"] == b["k_"]) & (F.col("label_a") < F.col("label_b")) & reachable(similar))
-    return both.groupBy(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).agg(F.count("*").alias("hits"))
+    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def closed(buckets: DataFrame, labels: DataFrame, tried: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Labels after all pairs that buckets of several classes still hold; of two nodes the one pair has been tried."""
-    open_ = mixed_buckets(buckets, labels, 3).select("node").distinct().checkpoint()
+    """Labels after all pairs that buckets of several classes still hold, but those that have been tried."""
+    open_ = mixed_buckets(buckets, labels).select("node").distinct().checkpoint()
     if open_.isEmpty():
         return labels
     here = merge_join(texts, open_, "node", "left_semi").checkpoint()
     meet = mixed_buckets(prefixes(here, similar).checkpoint(), labels)
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = release(crossing(meet, labels, similar).join(done.hint("merge"), ["a", "b"], "left_anti").checkpoint())
-    # each node's best pair first, so that of a class that joins others few pairs are verified
-    labels = relabelled(labels, verified(best_pairs(pairs).checkpoint(), here, similar).checkpoint())
-    return relabelled(labels, verified(labelled_pairs(pairs, labels).checkpoint(), here, similar).checkpoint())
+    return relabelled(labels, verified(pairs, here, similar).checkpoint())
 
 
 def marked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
@@ -333,15 +310,11 @@ def marked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar:
     wanted = merge_join(first, candidates, "node", "left_semi").withColumnRenamed("least", "id").select("node", "key", place(F.col("key")).alias("place"))
     named = told.select(place(F.unhex(F.md5("text"))).alias("place"), "text")
     texts = merge_join(named, wanted, "place").where(F.unhex(F.md5("text")) == F.col("key")).select("node", "text").dropDuplicates(["node"]).checkpoint()
-    registers_ = release(merge_join(nodes, candidates, "node", "left_semi").dropDuplicates(["node"]).checkpoint())
 
-    # first each node's pair with most bands, then the other pairs between different classes, then what is left
-    pairs = release(stars(buckets, centrality(buckets)).checkpoint())
-    best = best_pairs(pairs).checkpoint()
+    # first each node's pair with most bands, then what is left
+    best = best_pairs(release(stars(buckets, centrality(buckets)).checkpoint())).checkpoint()
     labels = relabelled(None, verified(best, texts, similar).checkpoint())
-    more = possible(labelled_pairs(pairs, labels), registers_).checkpoint()
-    labels = relabelled(labels, verified(more, texts, similar).checkpoint())
-    labels = closed(buckets, labels, best.union(more), texts, similar)
+    labels = closed(buckets, labels, best, texts, similar)
 
     joined = merge_join(first, labels, "node").select("key", "least", "label").checkpoint()
     ranks = joined.groupBy("label").agg(F.min(F.struct(F.isnull("least").alias("null"), "least", "key")).alias("best"))
