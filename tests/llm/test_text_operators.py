@@ -514,12 +514,76 @@ def test_boilerplate_inside_an_article(inside):
     assert main_text(page) == "Title\nOne.\nTwo words.\nitem"
 
 
+def test_the_cut_decides():
+    """Pages and blocks whose label the cut changes against the block's own score, and pages that need paths."""
+    import pyarrow.parquet as pq
+
+    from quillgrid.llm import html_cut
+
+    if not os.path.isdir(DATA):
+        pytest.skip("the tables are not here")
+    changed, pages, blocks, paths, kept = 0, 0, 0, 0, html_cut.boilerplate_side
+
+    def counted(*a):
+        nonlocal paths
+        paths += 1
+        return kept(*a)
+
+    html_cut.boilerplate_side = counted
+    try:
+        rows = pq.read_table(f"{DATA}/pages.parquet").to_pylist()
+        for r in rows:
+            found = html_cut.blocks(r["html"] or "")
+            scores, edges = html_cut.graph(found)
+            differ = sum((s >= 0) != k for s, k in zip(scores[: len(found)], html_cut.min_cut(scores, edges)))
+            changed, pages, blocks = changed + differ, pages + (differ > 0), blocks + len(found)
+    finally:
+        html_cut.boilerplate_side = kept
+    assert pages > 0.9 * len(rows) and 0.1 * blocks < changed < 0.9 * blocks
+    assert paths > 0.5 * len(rows)
+
+
+def test_links_are_cut_off_an_article():
+    from quillgrid.llm.html_cut import main_text
+
+    links = "".join(f'<li><a href="/{i}">Another page of this site number {i}</a></li>' for i in range(12))
+    assert main_text(f"<article><h1>Title</h1><p>One.</p><ul>{links}</ul><p>Two.</p></article>") == "Title\nOne.\nTwo."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 350_000, "<div>" * 200_000, "<p>x" * 250_000, "<div><p>" * 120_000, "</section>" * 100_000, "<div>" * 60_000 + "</section>" * 60_000, "<li>" * 200_000, "<table><tr><td>" * 60_000, '<a x="' * 150_000 + ">", "<a x='>" * 140_000,
+        '<a x="> ' * 120_001, "<!--" * 250_000, "<script>" * 120_000, "<" * 1_000_000, "<a>" * 330_000, "<article>" + "<p>a b c.</p><li><a>link</a></li>" * 25_000, "<article><div class=ad>x y</div>" * 30_000, "<div class=comments>" + "<p>Long words of a comment that someone wrote here.</p>" * 18_000, "& lt" * 250_000, "<aside>" * 140_000 + "x",
+        "<h1>a<p>Some words, more words, and even more words than that here.<li>b" * 14_000,
+    ],
+)
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    from quillgrid.llm.html_cut import main_text
+
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 12
+
+
+def test_pages_of_odd_rows(spark):
+    from quillgrid.llm import html_cut
+
+    good = "<article><p>Some words, and more of them here.</p></article>"
+    pages = spark.createDataFrame([(1, "u", good, 5), (1, "u", good, 5), (None, None, good, None), (2, "v", None, 1), (3, "", "", 1)], "page_id long, url string, html string, Main int").selectExpr("*", "'t' as text")
+    out, s = html_cut.with_main_text(pages)
+    assert s == "main_" and [tuple(r[s]) for r in out.collect()] == [("Some words, and more of them here.", 34)] * 3 + [("", 0)] * 2
+    assert html_cut.with_main_text(pages.limit(0))[0].count() == 0
+
+
 def test_cut_is_minimal():
     from quillgrid.llm.html_cut import min_cut
 
     r = random.Random(7)
-    for _ in range(200):
-        n = r.randint(1, 8)
+    for _ in range(600):
+        n = r.randint(1, 9)
         s = [r.uniform(-2, 2) for _ in range(n)]
         e = [(i, j, r.uniform(0, 1)) for i in range(n) for j in range(i) if r.random() < 0.5]
 
