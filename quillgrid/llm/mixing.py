@@ -4,13 +4,20 @@ Targets: sources in code point order, null last, weigh 5, 2, 1 and so on again;
 target stops at MOST times its source's words, and the excess is shared again by weight.
 
 Documents fall into blocks by a hash of id and text, in number as their source's share of BLOCKS. A source's quota is
-a number of whole blocks in a permuted order, again from the start once all are used, and a part of one more block:
-its documents by hash up to a limit, those after it that still fit, and one more if that comes nearer to the target. The tree halves the output shards again and
-again; at each node a multivariate-hypergeometric draw says how many blocks of each source go left. Each shard then
-takes that many of the source's permuted blocks, no two shards the same, and orders its documents by another hash.
+a number of whole blocks in a permuted order, again from the start once all are used, and a part of one more block: its
+documents by hash up to the first that doesn't fit, of those after it the largest that still fit (MORE at most, what
+then is missing stays missing), and one more if that comes nearer to the target. The tree halves the output shards again
+and again; at each node a multivariate-hypergeometric draw says how many blocks of each source go left. Each shard then
+takes that many of the source's permuted blocks, no two shards the same, and orders its documents by another hash. What
+the mix takes of a document is what its shards took of its block.
+
+A shard of more than SHARD_WORDS words, where MOST_SHARDS are not enough, is dealt by hash to several tasks, each of which
+orders its part, so that no task grows with the corpus.
 
 What reaches the driver: one row for each source, one for each block (BLOCKS plus the sources at most), and for each
-source what its part block decided. The rest is one pass over the documents.
+source what its part block decided, MORE hashes at most. The plan that goes back to the executors is as large. A part
+block's (hash, size) pairs, a BLOCKS-th of the corpus, are looked at in one task for each source. The rest is one pass
+over the documents.
 
 Defined results: a null text has no words, and a document without words takes part with 0. Rows that are the same in
 id and text are taken together. Without any word all targets are 0. Other columns are ignored or kept as they are.
@@ -33,6 +40,8 @@ SHARE, MOST = 1.5, 2.0
 BLOCKS = 16_384
 #: Documents of a block at least, on average, where the source has as many.
 BLOCK_DOCS = 64
+#: Documents that a part block takes out of the order of their hashes.
+MORE = 1000
 SHARD_WORDS = 1_000_000
 MOST_SHARDS = 4096
 SEED = 11
@@ -44,18 +53,19 @@ def words_in(text: Column) -> Column:
 
 def targets(sizes: list[int], share: float = SHARE, most: float = MOST) -> list[float]:
     """Of sources in order."""
-    rest, out = share * sum(sizes), [0.0] * len(sizes)
     weight = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sizes))]
-    free = set(range(len(sizes)))
-    while free:
-        each = rest / sum(weight[i] for i in free)
-        full = {i for i in free if each * weight[i] > most * sizes[i]}
-        for i in full or free:
-            out[i] = most * sizes[i] if full else each * weight[i]
-        if not full:
+    rest, heavy = share * sum(sizes), sum(weight)
+    out = [most * x for x in sizes]
+    # the first to reach their limits are those with the least room for their weight
+    order = sorted(range(len(sizes)), key=lambda i: (out[i] / weight[i], i))
+    for k, i in enumerate(order):
+        if rest / heavy * weight[i] <= out[i]:
+            each = rest / heavy
+            for j in order[k:]:
+                out[j] = each * weight[j]
             break
-        rest -= sum(out[i] for i in full)
-        free -= full
+        rest -= out[i]
+        heavy -= weight[i]
     return out
 
 
@@ -84,13 +94,14 @@ class Plan:
     sources: DataFrame  # source, blocks, source_size, target
     blocks: DataFrame  # source, block, whole (shards), part (shard), limit, more
     shards: int
+    pieces: int  # tasks of one shard
 
 
 def hashed(docs: DataFrame, text: str, doc_id: str) -> Column:
     return F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), F.lit(SEED))
 
 
-def plan(sizes: DataFrame) -> Plan:
+def plan(sizes: DataFrame, shard_words: int = SHARD_WORDS) -> Plan:
     """From (source, size, h) of every document."""
     spark = sizes.sparkSession
     found = [(r["source"], r["words"], r["n"]) for r in sizes.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()]
@@ -119,27 +130,31 @@ def plan(sizes: DataFrame) -> Plan:
         orders.append(order)
         parts.append((int(order[whole % number[i]]), rest) if whole < len(run) and rest >= 1 else None)
         quotas.append(whole + (parts[-1] is not None))
-    shards = int(min(MOST_SHARDS, max(1, sum(wanted) // SHARD_WORDS)))
+    shards = int(min(MOST_SHARDS, max(1, sum(wanted) // shard_words)))
+    pieces = int(max(1, -(-sum(wanted) // (shards * shard_words)))) if shards == MOST_SHARDS else 1
     share = split(np.array(quotas, np.int64), shards, rng) if found else np.zeros((0, 1), np.int64)
 
     kind = T.StructType([T.StructField("source", source_type), T.StructField("block", T.IntegerType()), T.StructField("rest", T.DoubleType())])
     open_blocks = spark.createDataFrame([(found[i][0], p[0], float(p[1])) for i, p in enumerate(parts) if p], kind)
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        """Documents of one block by hash, while they fit; then whichever still fit; then one more if that comes nearer."""
-        rest, limit, more, full, left = rows["rest"].iloc[0], None, [], False, []
-        for h, n in rows.groupby("h")["size"].sum().sort_index().items():
-            if n <= rest:
+        """Documents of one block by hash, while they fit; then the largest that still fit; then one more if that comes nearer."""
+        rest, limit, more = rows["rest"].iloc[0], None, []
+        each = list(rows.groupby("h")["size"].sum().sort_index().items())
+        full = next((k for k, (_, n) in enumerate(each) if (rest := rest - n) < 0), len(each))
+        if full < len(each):
+            rest += each[full][1]
+        if full:
+            limit = each[full - 1][0]
+        left = sorted(((n, h) for h, n in each[full:]), reverse=True)
+        for n, h in left:
+            if 0 < n <= rest and len(more) < MORE:
                 rest -= n
-                if full and n:
-                    more.append(h)
-                elif not full:
-                    limit = h
-            else:
-                full = True
-                left.append((n, h))
-        if left and min(left)[0] - rest < rest:
-            more.append(min(left)[1])
+                more.append(h)
+        if missing := [(n, h) for n, h in left if n > rest]:
+            n, h = min(missing)
+            if n - rest < rest:
+                more.append(h)
         return pd.DataFrame({"source": rows["source"].iloc[:1], "limit": [limit], "more": [more]}).astype({"limit": object})
 
     match = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["block"] == b["block"])
@@ -163,7 +178,7 @@ def plan(sizes: DataFrame) -> Plan:
             limit, more = limits.get(source, (None, [])) if part is not None else (None, [])
             rows.append((source, block, whole, part, limit, more))
     blocks = spark.createDataFrame(rows, T.StructType([T.StructField("source", source_type), T.StructField("block", T.IntegerType()), T.StructField("whole", T.ArrayType(T.IntegerType())), T.StructField("part", T.IntegerType()), T.StructField("limit", T.LongType()), T.StructField("more", T.ArrayType(T.LongType()))]))
-    return Plan(sources, blocks, shards)
+    return Plan(sources, blocks, shards, pieces)
 
 
 def in_blocks(df: DataFrame, sources: DataFrame) -> DataFrame:
@@ -189,18 +204,19 @@ def sized(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), words_in(F.col(f"`{text}`")).alias("size"), hashed(docs, text, doc_id).alias("h")).checkpoint()
 
 
-def taken(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+def taken(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", shard_words: int = SHARD_WORDS) -> DataFrame:
     """For each document its size, its source's size and target, the words that the mix takes, and their shards."""
     sizes = sized(docs, text, doc_id, source)
-    out = drawn(sizes, plan(sizes))
+    out = drawn(sizes, plan(sizes, shard_words))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards_")).alias("taken"), F.col("shards_").alias("shards"))
 
 
-def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The mix itself: ``docs``' columns, a row for each time that it takes a document, dealt to its shards and shuffled in them."""
-    p = plan(sized(docs, text, doc_id, source).select("source", "size", "h"))
+def mixed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The mix itself: ``docs``' columns, a row for each time that it takes a document; a partition is a shard, or one of its pieces, shuffled."""
+    p = plan(sized(docs, text, doc_id, source).select("source", "size", "h"), shard_words)
     keep = docs.columns
     key = docs.select(F.col(f"`{source}`").alias("source"), hashed(docs, text, doc_id).alias("h"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
     rows = drawn(key, p).select("row", "h", F.posexplode("shards_").alias("time", "shard"))
-    dealt = rows.repartition(p.shards, "shard").sortWithinPartitions("shard", F.xxhash64("h", "time", F.lit("order")))
+    piece = F.pmod(F.xxhash64("h", "time", F.lit("piece")), F.lit(p.pieces)).cast("int")
+    dealt = rows.repartitionById(p.shards * p.pieces, F.col("shard") * p.pieces + piece).sortWithinPartitions(F.xxhash64("h", "time", F.lit("order")))
     return dealt.select("row.*")

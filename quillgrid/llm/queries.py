@@ -80,5 +80,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"{s}.{n}") for n, _ in license_scan.FIELDS])
 
 
+#: The columns of four queries that SQL can express (see sql.py), through the same operators.
+BASES = {
+    "divergence_base": (op1_divergence, ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")),
+    "piecewise_edits": (op5_piecewise, ("doc_id", "n_chars", "edited_sha256")),
+    "mixing_targets": (op9_mixing, ("doc_id", "size", "source_size", "target")),
+    "license_base": (op10_license_scan, ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")),
+}
+
+
+def selected(query: Callable, columns: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(spark, sf_dir).select(*columns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_divergence, op2_quality_fm, op3_language_id, op4_bpe_codec, op5_piecewise, op6_html_cut, op7_probminhash, op8_token_counts, op9_mixing, op10_license_scan)}
+    return {f.__name__: f for f in (op1_divergence, op2_quality_fm, op3_language_id, op4_bpe_codec, op5_piecewise, op6_html_cut, op7_probminhash, op8_token_counts, op9_mixing, op10_license_scan)} | {name: selected(*x) for name, x in BASES.items()}

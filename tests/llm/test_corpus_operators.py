@@ -75,6 +75,17 @@ def test_next_of_few_and_repeated(spark):
     assert piecewise.compared(make((1, "a"), (1, "a"), (1, "b"), (2, "c")), per_range=1).count() == 4
 
 
+def test_ids_of_other_kinds(spark):
+    from quillgrid.llm import piecewise
+
+    with pytest.raises(TypeError):
+        piecewise.compared(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
+    for kind in ("int", "double", "decimal(20,0)"):
+        docs = spark.createDataFrame([(i, "abcd" * i) for i in range(9)], "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+        got = sorted((int(x["doc_id"]), x["n_chars"], x["edited_sha256"]) for x in piecewise.compared(docs, per_range=2).collect())
+        assert got == [(i, 4 * i, hashlib.sha256(piecewise.edited("abcd" * i, "abcd" * ((i + 1) % 9)).encode()).hexdigest()) for i in range(9)]
+
+
 # Near-duplicates: operator 7
 
 
@@ -355,6 +366,88 @@ def test_mix(spark):
     assert all(counts.get(i, 0) == len(first[i]["shards"]) for i in first)
 
 
+@pytest.mark.parametrize("shards", [2, 16])
+def test_shards_of_the_mix(spark, shards):
+    """The tree's draws: each taken block lies whole in one shard for each time that it is taken, and shards are alike."""
+    from pyspark.sql import functions as F
+
+    from quillgrid.llm import mixing
+
+    r = random.Random(shards)
+    rows = [(i, " ".join("w" for _ in range(r.randint(5, 15))), r.choice("aaaabbc")) for i in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = int(1.5 * sum(len(t.split()) for _, t, _ in rows)) // shards
+    sizes = mixing.sized(docs, "text", "doc_id", "source")
+    p = mixing.plan(sizes, words)
+    assert p.shards == shards
+    blocks = p.blocks.collect()
+    units = [s for b in blocks for s in [*b["whole"], *([b["part"]] if b["part"] is not None else [])]]
+    per = np.bincount(units, minlength=shards)
+    assert len(per) == shards and per.max() - per.min() <= 1
+    rows_of = mixing.drawn(sizes, p).select("doc_id", "source", "size", "h", "shards_").collect()
+    at = {(b["source"], b["block"]): b for b in blocks}
+    count = {x["source"]: x["blocks"] for x in p.sources.collect()}
+    whole = 0
+    for x in rows_of:
+        b = at.get((x["source"], x["h"] % count[x["source"]]))
+        if b is None:
+            assert x["shards_"] == []
+        elif b["part"] is None:
+            whole += 1
+            assert x["shards_"] == list(b["whole"])
+        else:
+            assert x["shards_"] in (list(b["whole"]), [*b["whole"], b["part"]])
+    assert whole > 0.9 * len(rows)
+    got = {x["doc_id"]: x for x in mixing.taken(docs, shard_words=words).collect()}
+    for s in "abc":
+        mine = [x for x in got.values() if rows[x["doc_id"]][2] == s]
+        assert abs(sum(x["taken"] for x in mine) - mine[0]["target"]) <= 8
+    in_shard = np.zeros((shards, 3))
+    for x in got.values():
+        for k in x["shards"]:
+            in_shard[k, "abc".index(rows[x["doc_id"]][2])] += x["size"]
+    share = in_shard / in_shard.sum(1, keepdims=True)
+    assert abs(share - in_shard.sum(0) / in_shard.sum()).max() < 0.25 and in_shard.sum(1).max() < 1.4 * in_shard.sum(1).min()
+    out = mixing.mixed(docs, shard_words=words).withColumn("place", F.spark_partition_id()).collect()
+    assert len({x["place"] for x in out}) == shards
+    mixed_in = defaultdict(list)
+    for x in out:
+        mixed_in[x["doc_id"]].append(x["place"])
+    assert all(sorted(mixed_in[i]) == sorted(x["shards"]) for i, x in got.items())
+    first = [x["doc_id"] for x in out if x["place"] == 0]
+    assert abs(np.corrcoef(range(len(first)), first)[0, 1]) < 0.1
+
+
+def test_targets_by_rounds():
+    """Against sharing again and again until no source is above its limit."""
+    from quillgrid.llm.mixing import targets
+
+    r = random.Random(4)
+    for _ in range(300):
+        sizes = [r.choice([0, 1, 5, 100, 1000, 10**6]) * r.randint(1, 9) for _ in range(r.randint(1, 9))]
+        weight, out, rest, free = [(5, 2, 1)[i % 3] for i in range(len(sizes))], {}, 1.5 * sum(sizes), set(range(len(sizes)))
+        while free:
+            each = rest / sum(weight[i] for i in free)
+            full = {i for i in free if each * weight[i] > 2 * sizes[i]}
+            out |= {i: 2 * sizes[i] if full else each * weight[i] for i in full or free}
+            if not full:
+                break
+            rest -= sum(out[i] for i in full)
+            free -= full
+        assert targets(sizes) == pytest.approx([out[i] for i in range(len(sizes))])
+
+
+def test_oversized_shards_are_dealt_to_pieces(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillgrid.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_SHARDS", 2)
+    docs = spark.createDataFrame([(i, "a b c", "s") for i in range(3000)], "doc_id long, text string, source string")
+    out = mixing.mixed(docs, shard_words=2000).withColumn("place", F.spark_partition_id()).groupBy("place").count().collect()
+    assert len(out) > 4 and abs(sum(x["count"] for x in out) - 4500) <= 1
+
+
 def test_mix_of_little(spark):
     from quillgrid.llm import mixing
 
