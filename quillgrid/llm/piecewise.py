@@ -10,10 +10,12 @@ the signatures have a run of RUN characters in common.
 
 The query's edited text needs the next document by id. Ids are cut into ranges at quantiles of the id alone, each
 range's first document is also sent to the range before it, and one sorted pass over each range holds one document
-back. So each text is shuffled once, and no task holds more than a range.
+back. So each text is shuffled once; a range is sorted with spilling and read as a stream, so that a task's memory
+doesn't grow with it. MOST_RANGES bounds what the driver knows of the ranges, two numbers for each; from
+MOST_RANGES * RANGE documents on ranges grow.
 
 Defined results: a null text counts as empty, an empty text's fingerprint is ``1::``; two empty fingerprints have
-likeness 1, an empty and another one 0. Ids are numbers. Rows of equal id are ordered by text; a null id comes first. A lone document
+likeness 1, an empty and another one 0. Ids are numbers; others are an error. Rows of equal id are ordered by text; a null id comes first. A lone document
 is its own next one.
 """
 
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import SLICE
 
@@ -37,7 +40,7 @@ LENGTH = 64
 RUN = 7
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Documents of one range, about; a range is one sorted group of one task.
-RANGE = 2000
+RANGE = 6000
 MOST_RANGES = 20_000
 
 
@@ -133,6 +136,8 @@ SCHEMA = "doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string,
 def compared(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per_range: int = RANGE) -> DataFrame:
     """For each document its fingerprint, the edited text's, and their likeness; see the contract. Other columns are dropped."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    if not isinstance(rows.schema["id"].dataType, NumericType):
+        raise TypeError(f"ids must be numbers to have an order, {doc_id} is {rows.schema['id'].dataType.simpleString()}")
     kind = rows.schema["id"].dataType.simpleString()
     n = rows.count()
     if not n:
@@ -147,17 +152,12 @@ def compared(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per_ra
     firsts = sorted(placed.groupBy("part").agg(F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("null")).collect(), key=lambda r: r["part"])
     before = {firsts[i]["part"]: firsts[i - 1]["part"] for i in range(len(firsts))}  # the first range comes after the last
     lead = {r["part"]: None if r["null"] else r["id"] for r in firsts}
-    flat = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("part")]
-    is_lead = F.col("id").eqNullSafe(flat(lead).cast(kind)) if len(lead) < 200 else None
-    if is_lead is None:  # many ranges: a join with their table, of MOST_RANGES rows at most
-        marks = F.broadcast(docs.sparkSession.createDataFrame([(p, lead[p], before[p]) for p in lead], f"part int, lead {kind}, before int"))
-        placed = placed.join(marks, "part")
-        is_lead, into = F.col("id").eqNullSafe(F.col("lead")), F.col("before")
-    else:
-        into = flat(before)
+    marks = docs.sparkSession.createDataFrame([(p, lead[p], before[p]) for p in lead], f"part int, lead {kind}, before int")
+    placed = placed.join(F.broadcast(marks), "part")  # MOST_RANGES rows and one at most
+    is_lead, into = F.col("id").eqNullSafe(F.col("lead")), F.col("before")
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("extra"))
     sent = placed.select("id", "text", F.explode(F.when(is_lead, F.array(own, F.struct(into.cast("int").alias("part"), F.lit(1).alias("extra")))).otherwise(F.array(own))).alias("to"))
-    dealt = sent.select("to.part", "to.extra", "id", "text").repartition(max(1, len(firsts) // 2), "part").sortWithinPartitions("part", "extra", F.col("id").asc_nulls_first(), "text")
+    dealt = sent.select("to.part", "to.extra", "id", "text").repartitionById(len(cuts) + 2, "part").sortWithinPartitions("part", "extra", F.col("id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (part, id, text, fingerprint) of the document whose next one isn't known yet
