@@ -5,7 +5,8 @@ cost as much as the features. Features of a text: its distinct lower-cased words
 log-damped counts scaled to length 1; STATISTICS of its structure, each also as one of BINS indicator features; and
 the length as metadata. Labels, language, source and id are no features.
 
-The machine is fitted with AdaGrad on a bounded sample of SAMPLE labelled documents, drawn by a hash of the id.
+The machine is fitted with AdaGrad on a bounded sample of SAMPLE labelled documents, drawn by a hash of the id; the
+driver gets their features, one row for each id (of an id with several texts the smallest).
 Scoring reads every whole text.
 
 Defined results: null and empty texts have statistics of zero and are scored like any other. Label rows with a null
@@ -137,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text",
     """Fits on at most ``sample`` labelled documents whose id meets ``usable`` (an expression over the column ``id``)."""
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where(F.col("label").isNotNull() & usable)
     chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id", F.lit("quality")), "id").limit(sample)
-    picked = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id")  # of at most `sample` rows
+    picked = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))  # `sample` rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
