@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -39,6 +40,62 @@ def test_fingerprints():
         assert edit_distance(a, b) == table[-1]
 
 
+def test_fingerprints_by_brute_force():
+    """Chunks, signatures and likeness by their definitions, byte by byte."""
+    from quillgrid.llm.piecewise import ALPHABET, fingerprint, likeness
+
+    def chunks(data, block):
+        out, at = [], 0
+        while at < len(data):
+            for to in range(at + 1, len(data) + 1):
+                h = sum((data[to - 1 - k] * pow(0x01000193, k + 1, 1 << 32)) % (1 << 32) for k in range(7) if to - 1 - k >= 0) % (1 << 32)
+                h ^= h >> 15
+                h = h * 0x2C1B3C6D % (1 << 32)
+                h ^= h >> 12
+                if to == len(data) or to - at == 4 * block or (to - at >= max(1, block // 4) and h % block == block - 1):
+                    break
+            out.append(data[at:to])
+            at = to
+        return out
+
+    def brute_print(text):
+        block = 1
+        while block * 64 < len(text):
+            block *= 2
+        return ":".join([str(block), *("".join(ALPHABET[zlib.crc32(c) & 63] for c in chunks(text.encode(), b)) for b in (block, 2 * block))])
+
+    def brute_alike(a, b):
+        if a == b:
+            return 1.0
+        run = min(7, len(a), len(b))
+        if not run or not {a[i : i + run] for i in range(len(a) - run + 1)} & {b[i : i + run] for i in range(len(b) - run + 1)}:
+            return 0.0
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        return 2 * table[-1][-1] / (len(a) + len(b))
+
+    def brute_likeness(x, y):
+        (bx, x1, x2), (by, y1, y2) = ((int(p), q, r) for p, q, r in (x.split(":"), y.split(":")))
+        if x == y:
+            return 1.0
+        if bx == by:
+            return max(brute_alike(x1, y1), brute_alike(x2, y2)) if len(x1) > 16 else brute_alike(x1, y1)
+        return brute_alike(x1, y2) if bx == 2 * by else brute_alike(x2, y1) if by == 2 * bx else 0.0
+
+    r = random.Random(12)
+    texts = ["", "a", "é", "ab" * 90, "x" * 300]
+    for _ in range(25):
+        t = " ".join("".join(r.choice("abcdeé😀") for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 150)))
+        texts += [t, t[: len(t) * 2 // 3] + "other words", t + " " + t[:40]]
+    prints = [fingerprint(t) for t in texts]
+    assert prints == [brute_print(t) for t in texts]
+    for a in range(0, len(texts), 2):
+        for b in range(a, len(texts), 7):
+            assert likeness(prints[a], prints[b]) == pytest.approx(brute_likeness(prints[a], prints[b]), abs=1e-12)
+
+
 @pytest.mark.parametrize("per_range", [3, 10_000])
 def test_next_documents(spark, per_range):
     from quillgrid.llm import piecewise

@@ -315,6 +315,27 @@ def test_quality_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
 
 
+def test_machine_of_the_table_equals_one_place(spark, documents):
+    """The distributed fit against the same rows in one place, and scores against all pairs of features."""
+    import pyarrow.parquet as pq
+
+    from quillgrid.llm import queries
+    from quillgrid.llm.quality_fm import Features, fit_rows
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(5)
+    m = queries.quality_machine(spark, docs, DATA)
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{DATA}/labels.parquet").to_pylist()}
+    usable = sorted((d for d in documents if d["doc_id"] in labels and zlib.crc32(str(d["doc_id"]).encode()) % 4 != 2), key=lambda d: (len(str(d["doc_id"])), str(d["doc_id"])))
+    features = Features()
+    one = fit_rows([(i, x.astype(np.float32), labels[d["doc_id"]]) for d in usable for i, x in [features(d["text"])]])
+    assert np.allclose(m.w, one.w, atol=1e-4) and np.allclose(m.v, one.v, atol=1e-4) and m.w0 == pytest.approx(one.w0, abs=1e-4)
+    for d in documents[:12]:
+        ids, x = features(d["text"])
+        gram = m.v[ids].astype(float) @ m.v[ids].T
+        raw = m.w0 + float(m.w[ids] @ x) + float(x @ gram @ x - (np.diag(gram) * x * x).sum()) / 2
+        assert m.score(ids, x) == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-4)
+
+
 def test_quality_of_odd_rows(spark):
     from pyspark.sql import functions as F
 
@@ -366,6 +387,61 @@ def test_rules_keep_clean_and_drop_junk(spark):
     assert np.mean([r["kept"] for r in rows if not labels[r["doc_id"]]]) <= 0.1
 
 
+def test_verdicts_by_brute_force(spark, documents):
+    """References, distances and verdicts of a whole table by their definitions."""
+    import math
+
+    from quillgrid.llm import divergence as dv
+    from quillgrid.llm import queries
+
+    def shares(text):
+        kinds = Counter(min(int(dv.TABLE[min(ord(c), len(dv.TABLE) - 1)]), 10) for c in text)
+        return [kinds[k] / max(1, len(text)) for k in range(len(dv.CLASSES))]
+
+    def bucket(word):
+        return zlib.crc32(word.strip(".,;:!?").encode()) % dv.BUCKETS
+
+    langs = sorted({d["lang"] for d in documents if d["lang"] is not None and d["text"] is not None})
+    chars, counts = {}, {}
+    for x in langs:
+        mine = [d["text"] for d in documents if d["lang"] == x and d["text"] is not None]
+        steps = [[round(math.sqrt(v) * dv.STEPS) for v in shares(t)] for t in mine]
+        median = [(sorted(s[k] for s in steps)[(len(mine) + 1) // 2 - 1] / dv.STEPS) ** 2 for k in range(len(dv.CLASSES))]
+        chars[x] = [v / sum(median) for v in median]
+        counts[x] = Counter(bucket(w) for t in mine for w in dv.words_of(t.lower()))
+    common = sorted({b for c in counts.values() for b, n in c.items() if n / c.total() >= dv.COMMON})
+
+    def js(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q)]
+        return math.sqrt(max(0.0, sum((a * math.log2(a / z) if a else 0) + (b * math.log2(b / z) if b else 0) for a, b, z in zip(p, q, m)) / 2))
+
+    def cells(c):
+        return [c[b] / c.total() for b in common] + [1 - sum(c[b] for b in common) / c.total()]
+
+    words = {x: cells(c) for x, c in counts.items()}
+    got = {r["doc_id"]: r for r in queries.op1_divergence(spark, DATA).collect()}
+    for d in documents:
+        t, r = d["text"] or "", got[d["doc_id"]]
+        n = len(dv.words_of(t))
+        a = min(js(shares(t), chars[x]) for x in langs) if len(t) >= dv.MIN_CHARS else None
+        b = min(js(cells(Counter(bucket(w) for w in dv.words_of(t.lower()))), words[x]) for x in langs) if n >= dv.MIN_WORDS else None
+        assert (r["char_distance"], r["word_distance"]) == (a and pytest.approx(a, abs=1e-6), b and pytest.approx(b, abs=1e-6))
+        near = (a is None or a <= dv.CHAR_LIMIT + dv.CHAR_SLACK / math.sqrt(len(t))) and (b is None or b <= dv.WORD_LIMIT + dv.WORD_SLACK / math.sqrt(n))
+        assert r["kept"] == (not base_rule(t)[5] and near)
+
+
+def test_rules_of_odd_rows(spark):
+    from quillgrid.llm import divergence
+
+    docs = with_odd_rows(spark).selectExpr("*", "'en' as lang", "1 as Rules")
+    out, s = divergence.with_verdict(docs, divergence.references(docs))
+    assert s == "rules_" and out.columns[:-1] == docs.columns and out.count() == docs.count()
+    for r in out.collect():
+        assert tuple(r[s])[:6] == base_rule(r["text"])
+    none = divergence.references(docs.limit(0))
+    assert none.languages == [] and divergence.with_verdict(docs.limit(0), none)[0].count() == 0
+
+
 def test_every_label_has_a_reference(spark):
     from quillgrid.llm import divergence
 
