@@ -62,14 +62,16 @@ def fingerprint(file: C = "file", message: C = "message", source_lines: C | None
 
 
 def message_stem(linter: C = "linter", message: C = "message") -> Column:
-    """What is left of a message for pairing: trimmed, lower case, without its linter's name and end marks, cut at 80 bytes."""
+    """What is left of a message for pairing: trimmed, lower case, without its linter's name and end marks, cut at 80 bytes (a character that would be cut apart goes)."""
     trim = lambda c: F.regexp_replace(c, r"^[\s\x{85}]+|[\s\x{85}]+$", "")
     s = F.lower(trim(col(message)))
     prefix = F.concat(F.lower(col(linter)), F.lit(": "))
     s = F.when(F.startswith(s, prefix), F.substr(s, F.length(prefix) + 1)).otherwise(s)
     s = F.when(F.startswith(s, F.lit(": ")), F.substr(s, F.lit(3))).otherwise(s)
     s = F.regexp_replace(s, r"[.,;:!? \t\r\n]+$", "")
-    return F.when(F.octet_length(s) <= STEM_BYTES, s).otherwise(F.decode(F.substring(s.cast("binary"), 1, STEM_BYTES), "UTF-8"))
+    cut = lambda n: F.substring(s.cast("binary"), 1, n).cast("string")
+    whole = F.coalesce(*[F.when(F.is_valid_utf8(cut(n)), cut(n)) for n in range(STEM_BYTES, STEM_BYTES - 4, -1)])
+    return F.when(F.octet_length(s) <= STEM_BYTES, s).otherwise(whole)
 
 
 def human_bytes(n: C) -> Column:
@@ -160,9 +162,8 @@ def xml_escaped(c: C) -> Column:
 
 def json_string(c: C) -> Column:
     """A JSON string with <, > and & escaped."""
-    out = F.get_json_object(F.to_json(F.struct(col(c).alias("v"))), "$")  # {"v":"..."}
-    out = F.substring(out, 6, 1 << 30)
-    out = F.substr(out, F.lit(1), F.length(out) - 1)
+    whole = F.to_json(F.struct(col(c).alias("v")))  # {"v":"..."}
+    out = F.substr(whole, F.lit(6), F.length(whole) - 6)
     for a, b in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out

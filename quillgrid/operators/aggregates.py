@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fc
 from ..schema import SEVERITIES
+from .running import numbered, running
 
 
 def by_severity(findings: DataFrame) -> DataFrame:
@@ -54,12 +55,12 @@ def mean_p95(observations: DataFrame, bucket: str = "bucket", value: str = "v")
     values of a bucket would not fit a task.
     """
     counts = observations.groupBy(bucket, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(bucket).orderBy(value)
-    upto = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(bucket)))
+    totals = counts.groupBy(bucket).agg(F.sum("c").alias("n"), F.sum(F.col(value) * F.col("c")).alias("s"))
+    upto = running(counts, (bucket,), (value,), F.col("c"), "upto").join(totals.select(F.col(bucket).alias("b_"), "n"), F.col(bucket).eqNullSafe(F.col("b_"))).drop("b_")
     rank = F.least(F.floor(F.col("n") * 95 / 100), F.col("n") - 1)
-    return upto.groupBy(bucket).agg(
-        F.max("n").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.max("n")).cast("long").alias("mean"), F.min(F.when(F.col("upto") > rank, F.col(value))).alias("p95")
-    )
+    tail = upto.where(F.col("upto") > rank).groupBy(bucket).agg(F.min(value).alias("p95"))
+    named = totals.select(F.col(bucket).alias("b_"), "n", (F.col("s") / F.col("n")).cast("long").alias("mean"))
+    return tail.join(named, F.col(bucket).eqNullSafe(F.col("b_"))).select(bucket, "n", "mean", "p95")
 
 
 def scenario(observations: DataFrame, by: str, wall: str, rss: str) -> DataFrame:
@@ -71,12 +72,19 @@ def scenario(observations: DataFrame, by: str, wall: str, rss: str) -> DataFrame
 
 WINDOW = 128
 LEAST_SAMPLES = 10
+#: Observations of one task's part of a bucket.
+SPAN = 1 << 16
 
 
 def sliding_median(observations: DataFrame, fallback: int, window: int = WINDOW, least: int = LEAST_SAMPLES) -> DataFrame:
     """After each observation the integer median of the bucket's last ``window`` non-zero ones; the fallback below ``least``."""
-    w = Window.partitionBy("bucket").orderBy("seq").rowsBetween(-(window - 1), 0)
-    held = observations.where("v <> 0").withColumn("held", F.array_sort(F.collect_list("v").over(w)))
+    placed = numbered(observations.where("v <> 0"), ("bucket",), ("seq",), "n_").withColumn("n_", F.col("n_") - 1)
+    # spans of a bucket, each with the end of the one before, so that a large bucket isn't one task's
+    span = (F.col("n_") / SPAN).cast("long")
+    spans = F.when(F.pmod("n_", F.lit(SPAN)) >= SPAN - window + 1, F.array(span, span + 1)).otherwise(F.array(span))
+    spread = placed.select("*", span.alias("own_"), F.explode(spans).alias("span_"))
+    w = Window.partitionBy("bucket", "span_").orderBy("n_").rowsBetween(-(window - 1), 0)
+    held = spread.withColumn("held", F.array_sort(F.collect_list("v").over(w))).where("own_ = span_")
     return held.select("seq", "bucket", "v", F.when(F.size("held") < least, F.lit(fallback)).otherwise(int_median(F.col("held"))).cast("long").alias("estimate"))
 
 
@@ -87,8 +95,7 @@ def cascade(packages: Column, bytes_each: Column, budget: int) -> Column:
 
 def peak_in_flight(events: DataFrame, by: str, at: str = "at", delta: str = "delta") -> DataFrame:
     """Most that was in flight at once, from +1 and -1 events; ends come before starts of the same moment."""
-    running = F.sum(delta).over(Window.partitionBy(by).orderBy(at, delta))
-    return events.withColumn("running", running).groupBy(by).agg(F.greatest(F.max("running"), F.lit(0)).alias("peak"))
+    return running(events, (by,), (at, delta), F.col(delta), "running").groupBy(by).agg(F.greatest(F.max("running"), F.lit(0)).alias("peak"))
 
 
 def scheduler_stats(events: DataFrame) -> DataFrame:
@@ -106,10 +113,14 @@ def cache_counters(events: DataFrame) -> DataFrame:
 def set_digest(df: DataFrame, by: tuple[str, ...], *parts: str) -> DataFrame:
     """One digest for each group's rows whatever their order.
 
-    Rows are digested first, so what is gathered for a group is 64 characters a row.
+    Rows are digested first; then those of a group whose digests begin alike, and then these 256 digests, so that what
+    is gathered in one place is a 256th of a group, 64 characters a row.
     """
-    rows = df.select(*by, fc.digest(*parts).alias("row_"))
-    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("row_")), ""), 256).alias("digest"), F.count("*").alias("n"))
+    rows = df.select(*by, fc.digest(*parts).alias("row_")).withColumn("shard_", F.substring("row_", 1, 2))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    shards = rows.groupBy(*by, "shard_").agg(joined("row_").alias("part_"), F.count("*").alias("n"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("shard_", "part_"))), lambda x: x["part_"])
+    return shards.groupBy(*by).agg(F.sha2(F.array_join(in_order, ""), 256).alias("digest"), F.sum("n").alias("n"))
 
 
 def equivalence_classes(references: DataFrame) -> DataFrame:

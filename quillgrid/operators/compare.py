@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
+from . import running
 
 KEY = ("file", "line", "linter", "stem")
 
@@ -16,7 +17,7 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """Rows with ``nth`` among those of the same key."""
-    return keyed(rows).withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy(*(order or ("column", "message")))))
+    return running.numbered(keyed(rows), KEY, order or ("column", "message"), "nth")
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:

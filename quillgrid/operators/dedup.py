@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import numbered
+
 
 def first_of(df: DataFrame, keys: tuple[str, ...], order: tuple[str | Column, ...]) -> DataFrame:
     """The first row of each group by ``order``.
@@ -31,6 +37,52 @@ def package_preference(packages: DataFrame) -> DataFrame:
 
 
 def numbered_names(df: DataFrame, name: str = "name", order: str = "seq", by: tuple[str, ...] = ()) -> DataFrame:
-    """The nth repetition of a name gets #NN."""
-    k = F.row_number().over(Window.partitionBy(*by, name).orderBy(order)) - 1
-    return df.withColumn("unique_name", F.when(k == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("#"), F.lpad(k.cast("string"), 2, "0"))))
+    """Each row's unique name: the nth repetition of a name gets #NN, two digits at least; a taken name is passed over.
+
+    A row that is itself named like a repetition can take one's number, so the names of such a family (equal but for
+    numbers at the end) are given out one after another; all others by their number alone, however often they repeat.
+    """
+    stem = F.regexp_replace(name, r"(#\d+)+$", "")
+    rows = df.withColumn("stem_", stem)
+    odd = rows.where(F.col(name) != F.col("stem_")).select(*by, "stem_").distinct()
+    same = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in (*by, "stem_")])
+    plain = numbered(rows.join(odd, same(rows, odd), "left_anti"), (*by, name), (order,), "n_")
+    again = F.format_string("%s#%02d", F.col(name), F.col("n_") - 1)
+    told = plain.withColumn("unique_name", F.when((F.col("n_") == 1) & (F.col(name) != ""), F.col(name)).otherwise(again)).drop("n_", "stem_")
+
+    def fold(family: pd.DataFrame) -> pd.DataFrame:
+        family = family.sort_values(order, kind="stable")
+        return family.drop(columns=["stem_"]).assign(unique_name=unique_names(family[name].tolist()))
+
+    schema = told.schema
+    families = rows.join(odd, same(rows, odd), "left_semi").groupBy(*by, "stem_").applyInPandas(fold, schema)
+    return told.unionByName(families)
+
+
+def unique_names(names: list[str]) -> list[str]:
+    """In order of appearance."""
+    used: dict[str, int] = {}
+
+    def repetition(text: str) -> tuple[str, int] | None:
+        """What a name would be a repetition of, and the which."""
+        head, mark, digits = text.rpartition("#")
+        if not mark or not re.fullmatch(r"\d{2}|[1-9]\d{2,}", digits) or (digits == "00" and head):
+            return None
+        return head, int(digits)
+
+    out = []
+    for base in names:
+        while True:
+            n = used.get(base, 0)
+            used[base] = n + 1
+            if n == 0 and base:
+                of = repetition(base)
+                if of and of[1] < used.get(of[0], 0):
+                    continue
+                out.append(base)
+                break
+            name = f"{base}#{n:02d}"
+            if not used.get(name):
+                out.append(name)
+                break
+    return out

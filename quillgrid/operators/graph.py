@@ -1,21 +1,30 @@
 """Graph operators over edges (src depends on dst): closures, components, levels, cycles and updates.
 
 Closures grow by doubling: each round joins the pairs found so far with themselves, so a path of length n takes log n
-rounds, and cycles end by themselves. Rounds cut their lineage with checkpoint().
+rounds, and cycles end by themselves; only what must return a closure builds one. Walks, levels and colours take as many
+rounds as the longest path. Rounds cut their lineage with checkpoint().
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def ready(spark: SparkSession) -> None:
-    """A checkpoint folder: the cluster's, or a temporary one where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+    """A checkpoint folder: the cluster's; only in local mode a temporary one where none is set, elsewhere that is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if folder is None:
+            import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -62,18 +71,55 @@ def closure_minus_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return reached(edges, roots).join(roots.select("node"), "node", "left_anti")
 
 
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The edges whose ends both lie on longer and longer walks: no edge of a cycle goes, nearly all others do."""
+    n = edges.count()
+    while True:
+        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").checkpoint()
+        m = edges.count()
+        if m == n:
+            return edges
+        n = m
+
+
+def colours(edges: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node that reaches the node, itself included."""
+    now = nodes_of(edges).select("node", F.col("node").alias("colour")).checkpoint()
+    while True:
+        told = edges.join(now.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("told"))
+        new = now.join(told, "node", "left").select("node", F.least("colour", F.coalesce("told", "colour")).alias("colour"), (F.col("told") < F.col("colour")).alias("changed")).checkpoint()
+        now = new.select("node", "colour")
+        if new.where("changed").isEmpty():
+            return now
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component, size) of strongly connected components with several nodes; named by their smallest node."""
-    p = paths(edges)
-    both = p.alias("a").join(p.alias("b"), (F.col("a.root") == F.col("b.node")) & (F.col("a.node") == F.col("b.root"))).where("a.root <> a.node").select(F.col("a.root").alias("node"), F.col("a.node").alias("other"))
-    named = both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component"))
-    sizes = named.groupBy("component").agg(F.count("*").alias("size"))
-    return named.join(sizes, "component").select("node", "component", "size")
+    """(node, component, size) of strongly connected components with several nodes; named by their smallest node.
+
+    Nodes off all cycles are trimmed first. Of the rest each node takes the smallest node that reaches it as its colour;
+    the nodes of a colour that reach its namesake back are one component, and the others go into the next round. What is
+    held is a row for each node and edge, never a closure.
+    """
+    ready(edges.sparkSession)
+    left = trimmed(edges.select("src", "dst").where("src <> dst").distinct().checkpoint())
+    out = None
+    while not left.isEmpty():
+        of = colours(left)
+        side = lambda c: of.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_of"))  # noqa: B023,E731
+        inside = left.join(side("src"), "src").join(side("dst"), "dst").where("src_of = dst_of").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        found = reached(inside.checkpoint(), of.where("node = colour").select("node")).join(of, "node").checkpoint()
+        out = found if out is None else out.union(found).checkpoint()
+        gone = found.select("node")
+        left = trimmed(left.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst").checkpoint())
+    if out is None:
+        return nodes_of(edges).where("false").select("node", F.col("node").alias("component"), F.lit(0).cast("long").alias("size"))
+    sizes = out.groupBy("colour").agg(F.min("node").alias("component"), F.count("*").alias("size")).where("size > 1")
+    return out.join(sizes, "colour").select("node", "component", "size")
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
     """Nodes that reach themselves."""
-    return paths(edges).where("root = node").select("node")
+    return components(edges).select("node").union(edges.where("src = dst").select(F.col("src").alias("node"))).distinct()
 
 
 def has_cycle(edges: DataFrame) -> bool:

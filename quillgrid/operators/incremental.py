@@ -68,7 +68,14 @@ def entries(keys: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def publish(cache_path: str, new: DataFrame) -> None:
-    """Appends entries that the cache lacks; the first writer of a key wins. Partitioned by the key's first two digits."""
+    """Appends entries that the cache lacks; the first writer of a key wins. Partitioned by the key's first two digits.
+
+    Two writers at once may both append a key: each batch carries when it was written and by whom, and reading takes the
+    first, so that all readers see the same one.
+    """
+    import time
+    import uuid
+
     spark = new.sparkSession
     try:
         have = spark.read.parquet(cache_path).select("key")
@@ -76,13 +83,21 @@ def publish(cache_path: str, new: DataFrame) -> None:
     except Exception as e:  # no such table yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    new.dropDuplicates(["key"]).withColumn("shard", F.substring("key", 1, 2)).write.mode("append").partitionBy("shard").parquet(cache_path)
+    batch = new.dropDuplicates(["key"]).withColumns({"shard": F.substring("key", 1, 2), "written": F.lit(time.time_ns()), "writer": F.lit(uuid.uuid4().hex)})
+    batch.write.mode("append").partitionBy("shard").parquet(cache_path)
+
+
+def settled(cache: DataFrame) -> DataFrame:
+    """Of each key the entry that was written first."""
+    from .dedup import first_of
+
+    return first_of(cache, ("shard", "key"), ("written", "writer")).drop("written", "writer")
 
 
 def lookup(cache: DataFrame, keys: DataFrame) -> DataFrame:
     """Entries for the keys; the shard column prunes partitions at run time."""
     wanted = keys.select("key", F.substring("key", 1, 2).alias("shard")).distinct()
-    return cache.join(wanted, ["shard", "key"], "left_semi")
+    return settled(cache.join(wanted, ["shard", "key"], "left_semi"))
 
 
 def intact(bodies: DataFrame) -> DataFrame:

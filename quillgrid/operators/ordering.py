@@ -29,9 +29,14 @@ def top_per_bucket(df: DataFrame, bucket: str, value: str, n: int, *tie: str) ->
 
 
 def closest_names(wanted: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
-    """For each unknown name the known one (a small catalogue) of the least edit distance up to ``most``, then by name."""
-    pairs = wanted.join(known.select(F.col("name").alias("suggestion")), F.levenshtein("name", "suggestion", most) >= 0)
-    d = pairs.withColumn("distance", F.levenshtein("name", "suggestion"))
+    """For each unknown name the known one of the least edit distance up to ``most``, then by name.
+
+    Names meet by length, which differs by ``most`` at most, so this is an equi join and no name is compared with all.
+    """
+    lengths = F.sequence(F.greatest(F.char_length("name") - most, F.lit(0)), F.char_length("name") + most)
+    near = wanted.select("name", F.explode(lengths).alias("length_"))
+    pairs = near.join(known.select(F.col("name").alias("suggestion"), F.char_length("name").alias("length_")), "length_")
+    d = pairs.withColumn("distance", F.levenshtein("name", "suggestion", most)).where("distance >= 0")
     return d.groupBy("name").agg(F.min(F.struct("distance", "suggestion")).alias("best")).select("name", F.col("best.suggestion").alias("suggestion"), F.col("best.distance").alias("distance"))
 
 

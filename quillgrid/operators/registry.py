@@ -51,11 +51,19 @@ def unknown_names(known: DataFrame, names: list[str]) -> list[str]:
     return sorted(set(names) - have)
 
 
-def plan(resolved: DataFrame, custom: dict[str, list[str]]) -> tuple[list[rules.Rule], list[str], list[str]]:
-    """Rules to run on lines, plugins to start, and warnings about names that nothing runs."""
-    rows = {r["name"]: r["status"] for r in resolved.collect()}
-    native = [rules.TEXT_RULES[n]() for n, s in sorted(rows.items()) if s == "enabled" and n in rules.TEXT_RULES]
-    return native, sorted(custom), [f"{n}: no analyzer" for n, s in sorted(rows.items()) if s == "no-analyzer"]
+def plan(resolved: DataFrame, custom: dict[str, list[str]], settings: dict[str, dict] | None = None) -> tuple[list[rules.Rule | rules.TableRule], list[str], list[str]]:
+    """Rules to run (see rules.run), plugins to start, and warnings about enabled names that nothing runs or whose settings don't fit."""
+    known = rules.TEXT_RULES | rules.TABLE_RULES
+    native, warnings = [], []
+    for n, status in sorted((r["name"], r["status"]) for r in resolved.collect()):
+        if status == "no-analyzer":
+            warnings.append(f"{n}: no analyzer")
+        elif status == "enabled":
+            try:
+                native.append(known[n](**(settings or {}).get(n, {})))
+            except (KeyError, TypeError) as e:
+                warnings.append(f"{n}: {'no rule' if isinstance(e, KeyError) else e}")
+    return native, sorted(custom), warnings
 
 
 def listing(resolved: DataFrame) -> DataFrame:

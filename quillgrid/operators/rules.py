@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +55,11 @@ def bidi_lines() -> Rule:
     return Rule("bidichk", F.col("content").rlike(BIDI), F.lit("bidirectional control character"))
 
 
-def forbidden(patterns: tuple[str, ...]) -> Rule:
+#: What is forbidden where nothing else is configured: printing.
+FORBIDDEN = (r"\\b(fmt\\.)?[Pp]rint(f|ln)?\\(",)
+
+
+def forbidden(patterns: tuple[str, ...] = FORBIDDEN) -> Rule:
     pattern = "|".join(f"(?:{p})" for p in patterns)
     return Rule("forbidigo", F.col("content").rlike(pattern), F.concat(F.lit("use of "), F.regexp_extract("content", pattern, 0), F.lit(" is forbidden")))
 
@@ -87,18 +92,65 @@ def repeated_literals(lines: DataFrame, least_length: int = 3, least_count: int
 
 
 def repeated_blocks(lines: DataFrame, window: int) -> DataFrame:
-    """Runs of ``window`` equal lines in several places (shingles of lines, joined by their digest instead of in pairs)."""
+    """Runs of ``window`` equal lines in several places: key, number, and the first place (shingles of lines, grouped by their digest instead of in pairs)."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("file").orderBy("line").rowsBetween(0, window - 1)
     blocks = lines.select("file", "line", F.collect_list("content").over(w).alias("block")).where(F.size("block") == window)
     keyed = blocks.select("file", "line", F.sha2(F.to_json("block"), 256).alias("key"))
-    places = F.array_sort(F.collect_list(F.struct("file", "line")))
-    return keyed.groupBy("key").agg(F.count("*").alias("n"), places.alias("places")).where("n > 1")
+    first = F.min(F.struct("file", "line"))
+    return keyed.groupBy("key").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("key", "n", "first.file", "first.line")
+
+
+@dataclass(frozen=True)
+class TableRule:
+    """A named rule over whole tables: a function of lines and files that gives findings."""
+
+    name: str
+    run: Callable[[DataFrame, DataFrame], DataFrame]
+
 
+PLACE = ("linter", "message", "severity", "file", "package", "line", "column")
+
+
+def literal_findings(lines: DataFrame, least_length: int = 3, least_count: int = 3) -> DataFrame:
+    """One finding for each repeated line text, where it stands first."""
+    found = repeated_literals(lines, least_length, least_count).join(lines.select("file", "line", "package"), ["file", "line"])
+    return found.select(F.lit("goconst").alias("linter"), F.concat(F.lit("text has "), F.col("n").cast("string"), F.lit(" occurrences")).alias("message"), F.lit("warning").alias("severity"), "file", "package", "line", F.lit(0).alias("column"))
+
+
+def block_findings(lines: DataFrame, window: int) -> DataFrame:
+    """One finding for each repeated block, where it stands first."""
+    found = repeated_blocks(lines, window).join(lines.select("file", "line", "package"), ["file", "line"])
+    return found.select(F.lit("dupl").alias("linter"), F.concat(F.lit(f"{window} lines stand in "), F.col("n").cast("string"), F.lit(" places")).alias("message"), F.lit("warning").alias("severity"), "file", "package", "line", F.lit(0).alias("column"))
+
+
+def run(planned: list[Rule | TableRule], lines: DataFrame, files: DataFrame) -> tuple[DataFrame | None, list[str]]:
+    """Findings of all rules, and a warning for each that can't be built: one failing rule doesn't stop the others."""
+    out, warnings, plain = [], [], []
+    for r in planned:
+        try:
+            if isinstance(r, Rule):
+                findings(lines, r).schema  # noqa: B018  resolves its columns
+                plain.append(r)
+            else:
+                out.append(r.run(lines, files).select(*PLACE))
+        except Exception as e:  # whatever a rule raises
+            warnings.append(f"{r.name}: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
+    if plain:
+        out.insert(0, findings(lines, *plain).select(*PLACE))
+    return (reduce(DataFrame.unionByName, out) if out else None), warnings
+
+
+#: Rules over whole tables; their settings are keyword arguments.
+TABLE_RULES: dict[str, Callable[..., TableRule]] = {
+    "goheader": lambda pattern: TableRule("goheader", lambda lines, files: header_missing(files, pattern)),
+    "goconst": lambda **k: TableRule("goconst", lambda lines, files: literal_findings(lines, **k)),
+    "dupl": lambda window=15: TableRule("dupl", lambda lines, files: block_findings(lines, window)),
+}
 
 #: name -> constructor with defaults, for the registry.
-TEXT_RULES: dict[str, Callable[[], Rule]] = {
+TEXT_RULES: dict[str, Callable[..., Rule]] = {
     "lll": long_lines,
     "godox": keyword_lines,
     "dupword": repeated_tokens,
@@ -106,4 +158,5 @@ TEXT_RULES: dict[str, Callable[[], Rule]] = {
     "bidichk": bidi_lines,
     "whitespace": trailing_space,
     "godot": sentence_end,
+    "forbidigo": forbidden,
 }

@@ -76,12 +76,19 @@ def package_edges(s, d):
 
 
 FRAMED = "strlen({0}) || ':' || {0}"
+
+
+def set_digest(by, name, rows):
+    """SQL of an order-insensitive digest: of rows (by, r), by the first two digits of r, then of these digests."""
+    return f"SELECT {by}, sha256(string_agg(d, '' ORDER BY s)) AS {name}, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {by}, left(r, 2) AS s, sha256(string_agg(r, '' ORDER BY r)) AS d, count(*) AS n FROM ({rows}) GROUP BY {by}, left(r, 2)) GROUP BY {by}"
+
+
 ROWDIGEST = f"sha256({FRAMED.format('file')} || {FRAMED.format('hash')})"
-SOURCES = f"{DOCS}, hashed AS (SELECT package, file, sha256(text) AS hash FROM docs), sources AS (SELECT package, sha256(string_agg(r, '' ORDER BY r)) AS source FROM (SELECT package, {ROWDIGEST} AS r FROM hashed) GROUP BY package)"
+SOURCES = f"{DOCS}, hashed AS (SELECT package, file, sha256(text) AS hash FROM docs), sources AS ({set_digest('package', 'source', f'SELECT package, {ROWDIGEST} AS r FROM hashed')})"
 PACKAGES = """p AS (SELECT DISTINCT package, split_part(package, '/', 1) AS src0, split_part(package, '/', 2) AS lang FROM docs),
 edges AS (SELECT package AS src, src0 || '/en' AS dst FROM p WHERE lang <> 'en' UNION ALL SELECT package, 'src0/en' FROM p WHERE lang = 'en' AND src0 <> 'src0'),
 below AS (SELECT src AS package, dst AS dep FROM edges UNION SELECT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src)"""
-DEPS = f"""deps AS (SELECT s.package, coalesce(d.deps, repeat('0', 64)) AS deps FROM sources s LEFT JOIN (SELECT package, sha256(string_agg(r, '' ORDER BY r)) AS deps FROM (SELECT b.package, sha256({FRAMED.format('dep')} || {FRAMED.format('s.source')}) AS r FROM below b JOIN sources s ON s.package = b.dep) GROUP BY package) d USING (package))"""
+DEPS = f"""deps AS (SELECT s.package, coalesce(d.deps, repeat('0', 64)) AS deps FROM sources s LEFT JOIN ({set_digest('package', 'deps', f"SELECT b.package, sha256({FRAMED.format('dep')} || {FRAMED.format('s.source')}) AS r FROM below b JOIN sources s ON s.package = b.dep")}) d USING (package))"""
 KEYSQL = "sha256(" + " || ".join(FRAMED.format(x) for x in ("'1'", "'result'", "package", "source", "deps", "'rules'", "'filter'", "'tool'", "'env'")) + ")"
 
 
@@ -94,6 +101,13 @@ def keys(s, d):
     return incremental.result_keys(src, incremental.closure_digests(package_edges(s, d), src), "rules", "filter", "tool", "env")
 
 
+def loops(s, d):
+    """A graph of several cycles of different lengths with long ways into them: customers modulo 300, each with two successors."""
+    x = table(s, d, "customer").select((F.col("c_custkey") % 300).alias("x")).distinct()
+    return x.select(F.col("x").alias("src"), ((F.col("x") * F.col("x") + 1) % 300).alias("dst")).union(x.where("x % 4 = 0").select("x", F.floor(F.col("x") / 2).alias("dst"))).distinct()
+
+
+LOOPS = "x AS (SELECT DISTINCT c_custkey % 300 AS x FROM customer), loops AS (SELECT x AS src, (x * x + 1) % 300 AS dst FROM x UNION SELECT x, x // 2 FROM x WHERE x % 4 = 0)"
 CLOSURE = "WITH RECURSIVE {t}, r AS (SELECT {a} AS root, {b} AS node FROM {g} UNION SELECT r.root, {g}.{y} FROM r JOIN {g} ON {g}.{x} = r.node)"
 
 
@@ -151,7 +165,7 @@ QUERIES = [
     Query("collect_dedup", lambda s, d: collected(s, d, 0).select("run_id", "ordinal", "linter", "message", "file", "line"), f"WITH {RUNS}, {SUPERSEDED}, {RESULTS} SELECT run_id, ordinal, linter, message, file, line FROM kept"),
     Query("collect_verdict", lambda s, d: collected(s, d, 1), f"WITH {RUNS}, {SUPERSEDED}, {RESULTS} SELECT (SELECT count(*) FROM kept) AS findings, (SELECT count(*) FROM kept WHERE linter <> 'N') AS enforced, (SELECT count(*) FROM kept WHERE linter = 'N') AS ignored, (SELECT count(*) FROM results WHERE linter = 'unused' AND run_id IN (SELECT run_id FROM gone)) AS superseded"),
     Query("first_row_per_key", lambda s, d: dedup.first_of(log(s, d).select("seq", "linter", "file", "line"), ("file", "line", "linter"), ("seq",)), f"WITH {LOG} SELECT seq, linter, file, line FROM log QUALIFY row_number() OVER (PARTITION BY file, line, linter ORDER BY seq) = 1"),
-    Query("numbered_names", lambda s, d: dedup.numbered_names(log(s, d).select("seq", F.col("file").alias("name"))).select("seq", "unique_name"), f"WITH {LOG} SELECT seq, CASE k WHEN 0 THEN file ELSE file || '#' || CASE WHEN k < 100 THEN lpad(CAST(k AS VARCHAR), 2, '0') ELSE left(CAST(k AS VARCHAR), 2) END END AS unique_name FROM (SELECT seq, file, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS k FROM log)"),
+    Query("numbered_names", lambda s, d: dedup.numbered_names(log(s, d).select("seq", F.col("linter").alias("name"))).select("seq", "unique_name"), f"WITH {LOG} SELECT seq, CASE WHEN k = 0 THEN linter ELSE printf('%s#%02d', linter, k) END AS unique_name FROM (SELECT seq, linter, row_number() OVER (PARTITION BY linter ORDER BY seq) - 1 AS k FROM log)"),
     Query("sliding_median_128", lambda s, d: aggregates.sliding_median(log(s, d).select("seq", F.col("linter").alias("bucket"), "v"), 500), f"""WITH {LOG}, o AS (SELECT seq, linter AS bucket, v FROM log WHERE v <> 0), h AS (SELECT *, list_sort(list(v) OVER (PARTITION BY bucket ORDER BY seq ROWS 127 PRECEDING)) AS l FROM o)
 SELECT seq, bucket, v, CASE WHEN len(l) < 10 THEN 500 WHEN len(l) % 2 = 1 THEN l[len(l) // 2 + 1] ELSE l[len(l) // 2] + (l[len(l) // 2 + 1] - l[len(l) // 2]) // 2 END AS estimate FROM h"""),
     Query("evict_over_budget", evict_over_budget, f"WITH {ACCESS} SELECT key FROM (SELECT key, sum(size) OVER (ORDER BY mtime DESC, key) AS run FROM cached) WHERE run >= (SELECT sum(size) // 2 FROM cached)"),
@@ -173,16 +187,21 @@ SELECT name FROM named WHERE name NOT IN (SELECT p_name FROM f) AND name NOT IN
     Query("reverse_closure", lambda s, d: graph.reverse_closure(turns(s, d)), closure_sql(TURNS, "turns", "dst", "src", "SELECT root, node FROM r UNION SELECT src, src FROM turns UNION SELECT dst, dst FROM turns")),
     Query("closure_minus_roots", lambda s, d: graph.closure_minus_roots(turns(s, d), turns(s, d).where("src like '%/3'").select(F.col("src").alias("node"))), f"WITH RECURSIVE {TURNS}, r AS (SELECT dst AS node FROM turns WHERE src LIKE '%/3' UNION SELECT dst FROM r JOIN turns ON src = node) SELECT node FROM r WHERE node NOT IN (SELECT src FROM turns WHERE src LIKE '%/3')"),
     Query("dependency_levels", lambda s, d: graph.levels(turns(s, d)), f"WITH {TURNS}, n AS (SELECT src AS node FROM turns UNION SELECT dst FROM turns) SELECT node, CAST(split_part(node, '/', 2) AS INTEGER) - min(CAST(split_part(node, '/', 2) AS INTEGER)) OVER (PARTITION BY split_part(node, '/', 1)) AS level FROM n"),
-    Query("strong_components", lambda s, d: graph.components(trade(s, d)), closure_sql(TRADE, "trade", "src", "dst", ", both_ways AS (SELECT a.root AS node, a.node AS other FROM r a JOIN r b ON a.root = b.node AND a.node = b.root WHERE a.root <> a.node), c AS (SELECT node, least(node, min(other)) AS component FROM both_ways GROUP BY node) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c").replace(") , both", "), both")),
-    Query("cycle_members", lambda s, d: graph.cycle_members(trade(s, d)), closure_sql(TRADE, "trade", "src", "dst", "SELECT node FROM r WHERE root = node")),
-    Query("cycle_breaking", lambda s, d: graph.without_cycle_edges(trade(s, d), trade(s, d).select(F.col("src").alias("node"))), closure_sql(TRADE, "trade", "src", "dst", "SELECT src, dst FROM trade t WHERE NOT EXISTS (SELECT 1 FROM r WHERE root = t.dst AND node = t.src)")),
+    Query("strong_components", lambda s, d: graph.components(loops(s, d)), closure_sql(LOOPS, "loops", "src", "dst", ", both_ways AS (SELECT a.root AS node, a.node AS other FROM r a JOIN r b ON a.root = b.node AND a.node = b.root WHERE a.root <> a.node), c AS (SELECT node, least(node, min(other)) AS component FROM both_ways GROUP BY node) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c").replace(") , both", "), both")),
+    Query("cycle_members", lambda s, d: graph.cycle_members(loops(s, d)), closure_sql(LOOPS, "loops", "src", "dst", "SELECT node FROM r WHERE root = node")),
+    Query("cycle_breaking", lambda s, d: graph.without_cycle_edges(loops(s, d), loops(s, d).where("src % 3 <> 0").select(F.col("src").alias("node"))), closure_sql(LOOPS, "loops", "src", "dst", "SELECT src, dst FROM loops t WHERE src = dst OR src % 3 = 0 OR NOT EXISTS (SELECT 1 FROM r WHERE root = t.dst AND node = t.src)")),
+    Query("trade_components", lambda s, d: graph.components(trade(s, d)), closure_sql(TRADE, "trade", "src", "dst", ", both_ways AS (SELECT a.root AS node, a.node AS other FROM r a JOIN r b ON a.root = b.node AND a.node = b.root WHERE a.root <> a.node), c AS (SELECT node, least(node, min(other)) AS component FROM both_ways GROUP BY node) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c").replace(") , both", "), both")),
     Query("stale_after_edit", lambda s, d: graph.stale(turns(s, d), table(s, d, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("package"), F.col("role").alias("file")), s.createDataFrame([("assistant",)], "file string")), f"WITH RECURSIVE {TURNS}, r AS (SELECT DISTINCT conv_id || '/' || turn AS node FROM conversations WHERE role = 'assistant' UNION SELECT src FROM r JOIN turns ON dst = node) SELECT node FROM r"),
     Query("reverse_dependencies", lambda s, d: graph.reverse_dependencies(turns(s, d), turns(s, d).where("dst like '%/0'").select(F.col("dst").alias("node"))), f"WITH {TURNS} SELECT DISTINCT src AS node FROM turns WHERE dst LIKE '%/0'"),
     Query("file_set_digest", sources, f"WITH {SOURCES} SELECT package, source FROM sources"),
     Query("dep_closure_digest", deps, f"WITH {SOURCES}, {PACKAGES}, {DEPS} SELECT package, deps FROM deps"),
     Query("cache_key", keys, f"WITH {SOURCES}, {PACKAGES}, {DEPS} SELECT package, {KEYSQL} AS key FROM sources JOIN deps USING (package)"),
-    Query("run_equivalence_digest", lambda s, d: aggregates.set_digest(results(s, d).withColumn("ordinal", F.col("ordinal").cast("string")), ("run_id",), "linter", "message", "ordinal"), "SELECT run_id, sha256(string_agg(r, '' ORDER BY r)) AS digest, count(*) AS n FROM (SELECT l_orderkey AS run_id, sha256(" + " || ".join(FRAMED.format(x) for x in ("linter", "message", "ordinal")) + ") AS r FROM (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'unused' ELSE l_returnflag END AS linter, l_linestatus AS message, CAST(l_linenumber AS VARCHAR) AS ordinal FROM lineitem)) GROUP BY run_id"),
-    Query("shard_paths", lambda s, d: keys(s, d).select("package", fc.shard_path(F.sha2("package", 256)).alias("path")), f"WITH {DOCS} SELECT DISTINCT package, left(sha256(package), 2) || '/' || sha256(package) AS path FROM docs"),
+    Query(
+        "run_equivalence_digest",
+        lambda s, d: aggregates.set_digest(results(s, d).withColumns({c: F.col(c).cast("string") for c in ("line", "column")}), ("run_id",), "file", "line", "column", "linter", "message", "severity"),
+        set_digest("run_id", "digest", "SELECT l_orderkey AS run_id, sha256(" + " || ".join(FRAMED.format(x) for x in ("file", "line", "'0'", "linter", "message", "'error'")) + ") AS r FROM (SELECT l_orderkey, CAST(l_partkey % 16 AS VARCHAR) AS file, CAST(l_linenumber AS VARCHAR) AS line, CASE WHEN l_returnflag = 'R' THEN 'unused' ELSE l_returnflag END AS linter, l_linestatus AS message FROM lineitem)"),
+    ),
+    Query("shard_paths", lambda s, d: keys(s, d).select("package", fc.shard_path("key").alias("path")), f"WITH {SOURCES}, {PACKAGES}, {DEPS} SELECT package, left(key, 2) || '/' || key AS path FROM (SELECT package, {KEYSQL} AS key FROM sources JOIN deps USING (package))"),
     Query("overlay_read", lambda s, d: joins.with_overlay(documents(s, d).select(F.col("file").alias("path"), "text"), documents(s, d).where("package = 'src1/de'").select(F.col("file").alias("path"), F.lit("staged").alias("text"))).select("path", F.md5("text").alias("hash")), f"WITH {DOCS} SELECT file AS path, md5(CASE WHEN package = 'src1/de' THEN 'staged' ELSE text END) AS hash FROM docs"),
     Query("csv_items", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(fc.csv_items(F.concat(F.lit(" "), F.replace("p_type", F.lit(" "), F.lit(", ")), F.lit(",,"))), "|").alias("items")), "SELECT p_partkey, replace(p_type, ' ', '|') AS items FROM part"),
     Query("release_tags", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(fc.release_tags(F.col("p_size")), ",").alias("tags")), "SELECT p_partkey, array_to_string(list_transform(range(1, p_size + 1), lambda i: 'go1.' || i), ',') AS tags FROM part"),

@@ -1,12 +1,17 @@
 """Report formats. Each makes a table (part, name, seq, value): the pieces of the report in that order, to be written one after another.
 
-Rows are rendered by Column expressions, so a large report is written in parallel; :func:`render` joins a small one on
-the driver. Findings need ``seq`` for their order; ``source_lines`` and ``fixes`` are optional.
+Rows are rendered by Column expressions, and no format runs anything while it is built: what depends on all rows (their
+number, column widths) is an aggregate in the same plan. :func:`write` and :func:`render` join a report on the driver,
+for reports that fit it; :func:`write_parts` writes one of any size as ordered part files. Findings need ``seq`` for
+their order, from 1; ``source_lines`` and ``fixes`` are optional.
+
+The texts of SARIF, Checkstyle, Code Climate, JUnit and TeamCity are fixed by these formats.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +19,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as fc
 
 TOOL = "quillgrid"
+#: Findings whose order one task looks at.
+SPAN = 1 << 16
 SARIF_SCHEMA = "https://schemastore.azurewebsites.net/schemas/json/sarif-2.1.0-rtm.6.json"
 
 
@@ -25,14 +32,16 @@ def full(findings: DataFrame) -> DataFrame:
     return out.withColumn("severity", F.coalesce("severity", F.lit(""))).withColumn("source_lines", F.coalesce("source_lines", F.array().cast("array<string>")))
 
 
-def parts(rows: DataFrame, value: Column, head: str = "", tail: str = "", between: str = "") -> DataFrame:
-    """Head, rows, tail; ``between`` goes before every row but the first."""
+def parts(rows: DataFrame, value: Column, head: str | Column = "", tail: str | Column = "", between: str = "") -> DataFrame:
+    """Head, rows, tail; ``between`` goes before every row but that with seq 1. Head and tail may use ``n``, the number of rows."""
     name = F.col("name") if "name" in rows.columns else F.lit("")
     body = rows.select(F.lit(1).alias("part"), name.alias("name"), F.col("seq").cast("long").alias("seq"), value.alias("value"))
     if between:
-        least = rows.agg(F.min("seq")).first()[0]
-        body = body.withColumn("value", F.concat(F.when(F.col("seq") == F.lit(least), F.lit("")).otherwise(F.lit(between)), "value"))
-    return body.unionByName(rows.sparkSession.createDataFrame([(0, "", 0, head), (2, "", 0, tail)], "part int, name string, seq long, value string"))
+        body = body.withColumn("value", F.concat(F.when(F.col("seq") == 1, F.lit("")).otherwise(F.lit(between)), "value"))
+    counted = isinstance(head, Column) or isinstance(tail, Column)
+    ends = rows.agg(F.count("*").alias("n")) if counted else rows.sparkSession.range(1)
+    edge = lambda k, v: F.struct(F.lit(k).alias("part"), F.lit("").alias("name"), F.lit(0).cast("long").alias("seq"), (v if isinstance(v, Column) else F.lit(v)).alias("value"))
+    return body.unionByName(ends.select(F.inline(F.array(edge(0, head), edge(2, tail)))))
 
 
 def text(findings: DataFrame) -> DataFrame:
@@ -48,14 +57,15 @@ def text(findings: DataFrame) -> DataFrame:
 def tab(findings: DataFrame) -> DataFrame:
     """Aligned columns; a message of several lines ends a block of common widths."""
     f = full(findings).withColumn("pos", fc.position())
-    widths = [F.max(F.char_length(c)).alias(f"w_{c}") for c in ("pos", "linter")]
-    if f.where(F.instr("message", "\n") > 0).isEmpty():
-        pos, linter = f.agg(*widths).first()
-        sized = f.withColumn("w_pos", F.lit(pos)).withColumn("w_linter", F.lit(linter))
-    else:  # blocks follow each other in one sequence
-        breaks = F.sum(F.when(F.instr("message", "\n") > 0, 1).otherwise(0)).over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-        blocks = f.withColumn("block", F.coalesce(breaks, F.lit(0)))
-        sized = blocks.join(blocks.groupBy("block").agg(*widths), "block")
+    # a block is named by the number of such messages before it; they are summed by spans of the order, then over the spans
+    ends = F.when(F.instr("message", "\n") > 0, 1).otherwise(0)
+    placed = f.withColumn("span_", F.floor(F.col("seq") / SPAN)).withColumn("ends_", ends)
+    spans = placed.groupBy("span_").agg(F.sum("ends_").alias("in_"))
+    before = spans.select(F.col("span_").alias("span2_"), (F.sum("in_").over(Window.orderBy("span_")) - F.col("in_")).alias("before_"))  # a row for each SPAN findings
+    own = F.sum("ends_").over(Window.partitionBy("span_").orderBy("seq")) - F.col("ends_")
+    blocks = placed.withColumn("own_", own).join(before, F.col("span_") == F.col("span2_")).withColumn("block", F.col("own_") + F.col("before_"))
+    widths = blocks.groupBy("block").agg(*[F.max(F.char_length(c)).alias(f"w_{c}") for c in ("pos", "linter")])
+    sized = blocks.join(widths, "block")
     pad = lambda c: F.rpad(c, F.col(f"w_{c}") + 2, " ")
     return parts(sized, F.concat(pad("pos"), pad("linter"), "message", F.lit("\n")))
 
@@ -84,16 +94,22 @@ def json(findings: DataFrame) -> DataFrame:
     return parts(f, obj, '{"issues":[', "]}\n", ",")
 
 
+#: Characters of HTML text and attributes that are written as references, the ampersand first.
+HTML_MARKS = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;"), ("+", "&#43;"))
+
+
 def html(findings: DataFrame, tool: str = TOOL) -> DataFrame:
+    """A page with one row for each finding; an empty severity counts as error."""
     f = full(findings)
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(F.replace(fc.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&#34;")), F.lit("'"), F.lit("&#39;")), F.lit("+"), F.lit("&#43;"))
-    row = F.concat(F.lit("<tr>\n<td>"), esc(fc.position()), F.lit("</td>\n<td>"), esc("linter"), F.lit('</td>\n<td class="sev-'), esc("severity"), F.lit('">'), esc("severity"), F.lit("</td>\n<td>"), esc("message"), F.lit("</td>\n<td><pre>"), esc(F.array_join("source_lines", "\n")), F.lit("</pre></td>\n</tr>\n"))
-    n = f.count()
-    head = f'<!doctype html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n<title>{tool} report</title>\n</head>\n<body>\n<h1>{tool} report</h1>\n<div class="summary">{n} diagnostics</div>\n\n'
-    if not n:
-        return parts(f, row, head, '<p class="empty">No diagnostics.</p>\n\n</body>\n</html>\n')
-    table = "<table>\n<thead><tr><th>Position</th><th>Linter</th><th>Severity</th><th>Message</th><th>Code</th></tr></thead>\n<tbody>\n"
-    return parts(f, row, head + table, "</tbody>\n</table>\n\n</body>\n</html>\n")
+    esc = lambda c: reduce(lambda s, kv: F.replace(s, F.lit(kv[0]), F.lit(kv[1])), HTML_MARKS, fc.col(c))
+    severity = F.when(F.col("severity") == "", "error").otherwise(F.col("severity"))
+    cells = [(fc.position(), "where"), (F.col("linter"), "rule"), (severity, "severity"), (F.trim("message"), "message"), (F.array_join("source_lines", "\n"), "source")]
+    row = F.concat(F.lit('<tr data-severity="'), esc(severity), F.lit('">'), *[F.concat(F.lit(f'<td class="{k}">'), esc(c), F.lit("</td>")) for c, k in cells], F.lit("</tr>\n"))
+    n = F.col("n")
+    told = F.concat(n.cast("string"), F.when(n == 1, " finding").otherwise(" findings"))
+    style = "td { vertical-align: top; padding: 0 1em 0 0 } td.source { font-family: monospace; white-space: pre-wrap } tr[data-severity=error] td.severity { font-weight: bold }"
+    head = F.concat(F.lit(f'<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>{tool}: findings</title><style>{style}</style></head>\n<body><p id="total">'), told, F.lit("</p>\n"), F.when(n > 0, "<table><tbody>\n").otherwise(""))
+    return parts(f, row, head, F.concat(F.when(n > 0, "</tbody></table>\n").otherwise(""), F.lit("</body></html>\n")))
 
 
 def by_file(f: DataFrame, head: Column, item: Column, tail: str) -> DataFrame:
@@ -109,7 +125,7 @@ def checkstyle(findings: DataFrame) -> DataFrame:
     error = F.concat(F.lit('    <error column="'), number("column"), F.lit('" line="'), number("line"), F.lit('" message="'), x("message"), F.lit('" severity="'), x(fc.sanitised("severity", ("ignore", "info", "warning", "error"), "error")), F.lit('" source="'), x("linter"), F.lit('"></error>\n'))
     blocks = by_file(f, F.concat(F.lit('  <file name="'), x("file"), F.lit('">\n')), error, "  </file>\n")
     top = '<?xml version="1.0" encoding="UTF-8"?>\n<checkstyle version="5.0">'
-    return parts(blocks, F.col("value"), top + ("" if f.isEmpty() else "\n"), "</checkstyle>\n")
+    return parts(blocks, F.col("value"), F.concat(F.lit(top), F.when(F.col("n") > 0, "\n").otherwise("")), "</checkstyle>\n")
 
 
 def junit(findings: DataFrame, extended: bool = False) -> DataFrame:
@@ -119,7 +135,7 @@ def junit(findings: DataFrame, extended: bool = False) -> DataFrame:
     more = F.concat(F.lit(' file="'), x("file"), F.lit('" line="'), number("line"), F.lit('"')) if extended else F.lit("")
     case = F.concat(F.lit('    <testcase name="'), x("linter"), F.lit('" classname="'), x(pos), F.lit('"'), more, F.lit('>\n      <failure message="'), x(F.concat(pos, F.lit(": "), "message")), F.lit('" type="'), x("severity"), F.lit('"><![CDATA['), F.replace(content, F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]></failure>\n    </testcase>\n"))
     head = F.concat(F.lit('  <testsuite name="'), x("file"), F.lit('" tests="'), number("n"), F.lit('" errors="0" failures="'), number("n"), F.lit('">\n'))
-    return parts(by_file(f, head, case, "  </testsuite>\n"), F.col("value"), "<testsuites>" + ("" if f.isEmpty() else "\n"), "</testsuites>")
+    return parts(by_file(f, head, case, "  </testsuite>\n"), F.col("value"), F.concat(F.lit("<testsuites>"), F.when(F.col("n") > 0, "\n").otherwise("")), "</testsuites>")
 
 
 def teamcity_rows(findings: DataFrame) -> DataFrame:
@@ -197,33 +213,44 @@ def render(findings: DataFrame, name: str, **options) -> str:
     return "".join(r["value"] for r in pieces.toLocalIterator())
 
 
+def sequenced(findings: DataFrame) -> DataFrame:
+    """Findings with ``seq`` in canonical order, numbered range by range."""
+    from ..operators.ordering import CANONICAL
+    from ..operators.running import numbered
+
+    return numbered(findings.drop("seq"), (), CANONICAL, "seq")
+
+
 def write(findings: DataFrame, outputs: dict[str, str], top: str | None = None) -> None:
     """A report for each format -> path, in canonical order; with ``top`` paths must lie inside it. Without outputs, text is printed."""
+    import os
+    import sys
+    import tempfile
+
     from ..functions.paths import confined
-    from ..operators.ordering import CANONICAL
 
-    w = Window.orderBy(*CANONICAL)  # a report is one sequence
-    ordered = findings.drop("seq").withColumn("seq", F.row_number().over(w).cast("long")).cache()
+    ordered = sequenced(findings).cache()
     try:
         for name, path in (outputs or {"text": "stdout"}).items():
-            body = render(ordered, name)
+            pieces = (r["value"] for r in printer(name)(ordered).orderBy("part", "name", "seq").toLocalIterator())
             if path in ("stdout", "stderr"):
-                import sys
-
-                getattr(sys, path).write(body)
+                getattr(sys, path).writelines(pieces)
             else:
                 target = confined(path, top) if top else path
-                import os
-                import tempfile
-
                 fd, part = tempfile.mkstemp(dir=os.path.dirname(target) or ".")
                 with os.fdopen(fd, "w", encoding="utf-8") as f:
-                    f.write(body)
+                    f.writelines(pieces)  # partition by partition
                 os.replace(part, target)
     finally:
         ordered.unpersist()
 
 
+def write_parts(findings: DataFrame, name: str, folder: str, **options) -> None:
+    """A report as part files in a folder of any store, in their names' order; each piece ends its line, so that one after another they are the report."""
+    pieces = printer(name)(sequenced(findings), **options).where("value <> ''").orderBy("part", "name", "seq")
+    pieces.select(F.regexp_replace("value", "\n$", "").alias("value")).write.text(folder)
+
+
 def verdict_lines(verdict: DataFrame) -> str:
     r = verdict.first()
     return "".join(f"{k}={v}\n" for k, v in [("schema", 1), *((k, r[k]) for k in ("findings", "enforced", "ignored", "superseded"))])

@@ -100,10 +100,36 @@ def test_diffs_round_trip(a, b):
         assert diff.apply_unified(a, diff.unified("f", a, b)) == b
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text("abc", max_size=12), st.text("abc", max_size=12))
+def test_common_runs_are_longest(a, b):
+    runs = diff.common_runs(a, b)
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    assert sum(n for _, _, n in runs) == table[-1][-1] and all(a[i : i + n] == b[j : j + n] for i, j, n in runs)
+    assert all(p[0] + p[2] <= q[0] and p[1] + p[2] <= q[1] for p, q in zip(runs, runs[1:]))
+
+
+def test_unified_texts():
+    assert diff.unified("f", "a\nb\nc\n", "a\nx\nc\n", 1) == "--- f\n+++ f\n@@ -1,3 +1,3 @@\n a\n-b\n+x\n c\n"
+    assert diff.unified("f", "", "a\n") == "--- f\n+++ f\n@@ -0,0 +1 @@\n+a\n" and diff.unified("f", "a\n", "a\n") == ""
+    a = [f"{i}\n" for i in range(20)]
+    far, near = diff.unified("f", "".join(a), "".join(a[:2] + a[3:15] + a[16:])), diff.unified("f", "".join(a), "".join(a[:2] + a[3:8] + a[9:]))
+    assert far.count("@@ -") == 2 and near.count("@@ -") == 1
+
+
 def test_merging_edits():
-    assert diff.merged_edits([(0, 1, "x")], [(0, 1, "x"), (2, 3, "y")]) == [(0, 1, "x"), (2, 3, "y")]
-    assert diff.merged_edits([(0, 2, "x")], [(1, 3, "y")]) is None
+    merge = diff.merged_edits
+    assert merge([(0, 1, "x")], [(0, 1, "x"), (2, 3, "y")]) == [(0, 1, "x"), (2, 3, "y")]
+    assert merge([(1, 1, "x")], [(1, 1, "y")]) == [(1, 1, "x"), (1, 1, "y")]  # two insertions at one point
+    assert merge([(2, 2, "x")], [(2, 4, "y")]) == [(2, 2, "x"), (2, 4, "y")] and merge([(2, 4, "y")], [(2, 2, "x")]) == [(2, 2, "x"), (2, 4, "y")]
+    assert merge([(0, 2, "")], [(1, 2, "")]) == [(0, 1, ""), (1, 2, "")]  # partly before: split, then equal
+    assert merge([(0, 4, "")], [(2, 2, "y")]) == [(0, 2, ""), (2, 2, "y"), (2, 4, "")]
+    assert merge([(0, 2, "x")], [(1, 3, "y")]) is None and merge([(0, 2, "x")], [(0, 2, "y")]) is None and merge([(0, 1, "x")], [(0, 2, "x")]) is None
     assert diff.fixed("abc", [[(0, 1, "x")], [(0, 1, "y")], [(2, 3, "z")]]) == ("xbz", 1)
+    assert diff.fixed("abc", [[(1, 1, "x")], [(1, 1, "y")], [(0, 3, "")], [(0, 0, "z")]]) == ("zxy", 0)
     with pytest.raises(ValueError):
         diff.apply_edits("ab", [(0, 2, ""), (1, 2, "")])
     assert diff.position_of("a\né😀x", 8) == (2, 7, 3)

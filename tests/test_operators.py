@@ -42,6 +42,32 @@ def test_rule_conditions(spark):
     assert suppress.validate(R(path="(")) and suppress.validate(R(path="a", path_except="b")) and not suppress.validate(R(path="a", text="b"))
 
 
+def test_one_failing_rule_is_a_warning(spark):
+    lines = frame(spark, "file string, package string, line int, content string", *[(f, "p", i, "some text") for f in "ab" for i in range(1, 4)])
+    files = frame(spark, "file string, package string, text string", ("a", "p", "// x"), ("b", "p", "y"))
+
+    def broken(lines, files):
+        raise RuntimeError("no way")
+
+    bad = [rules.TableRule("mine", broken), rules.Rule("none", F.col("missing") > 0, F.lit("m"))]
+    found, warnings = rules.run([rules.long_lines(5), *bad, rules.TABLE_RULES["goheader"]("//"), rules.TABLE_RULES["goconst"](), rules.TABLE_RULES["dupl"](2)], lines, files)
+    assert sorted(w.split(":")[0] for w in warnings) == ["mine", "none"] and "no way" in " ".join(warnings)
+    assert ids(found.groupBy("linter").count(), "linter", "count") == [("dupl", 1), ("goconst", 1), ("goheader", 1), ("lll", 6)]
+    assert rules.run(bad, lines, files)[0] is None
+
+
+def test_bloom_membership(spark):
+    members = spark.range(3000).selectExpr("concat('m', id) as k")
+    others = spark.range(20000).selectExpr("concat('o', id) as k")
+    bits, hashes = suppress.bloom_size(3000)
+    held = suppress.bloom(members, "k", bits, hashes)
+    assert (bits, hashes) == (28756, 7) and len(held) == 4 * -(-bits // 32)
+    passed = lambda df: df.where(suppress.may_hold(held, F.col("k"), bits, hashes)).count()
+    assert passed(members) == 3000 and 60 < passed(others) < 400  # 1 in 100 is wanted
+    assert suppress.possible_members(members.union(others), members.limit(10), "k").join(members.limit(10), "k", "left_semi").count() == 10
+    assert suppress.possible_members(members, members.limit(0), "k").count() == 0
+
+
 def test_presets_name_their_linters(spark):
     f = frame(spark, FINDING, (1, "errcheck", "Error return value of `f.Close` is not checked", "error", "a", 1, 0), (2, "lll", "G104", "error", "a", 2, 0), (3, "gosec", "G104", "error", "a", 3, 0))
     c = suppress.Config(presets=("std-error-handling", "legacy"), once_per_line=False, generated="disable")
@@ -150,11 +176,14 @@ def test_cache_first_writer_wins(spark, tmp_path):
     f = frame(spark, "package string, " + FINDING, ("a", 1, "lll", "m", "error", "f", 1, 0))
     incremental.publish(path, incremental.entries(k, f))
     incremental.publish(path, incremental.entries(k.limit(1), f))
-    cache = spark.read.parquet(path)
+    cache = incremental.settled(spark.read.parquet(path))
     assert sorted((r["key"], len(r["findings"])) for r in cache.collect()) == [("aa1", 1), ("bb2", 0)]
     hits, misses = incremental.split_cached(k, cache)
     assert ids(hits, "package") == ["a", "b"] and ids(misses, "package") == ["c"]
-    assert incremental.lookup(cache, k.where("package = 'b'")).count() == 1
+    assert incremental.lookup(spark.read.parquet(path), k.where("package = 'b'")).count() == 1
+    two = [incremental.entries(k.limit(1), f.withColumn("message", F.lit(m))).withColumns({"shard": F.substring("key", 1, 2), "written": F.lit(t), "writer": F.lit("w")}) for m, t in (("late", 2), ("early", 1))]
+    race = two[0].unionByName(two[1])  # two writers that didn't see each other
+    assert [r["findings"][0]["message"] for r in incremental.settled(race).collect()] == ["early"]
 
 
 def test_eviction(spark):
@@ -172,6 +201,11 @@ def test_names(spark):
     native, custom, warnings = registry.plan(r, {"mine": ["prog"]})
     assert [x.name for x in native] == ["lll"] and custom == ["mine"] and len(warnings) == 5
     assert registry.unknown_names(c, ["lll", "nope", "gosimple"]) == ["nope"]
+    every = registry.resolve(c, "all", [], [])
+    native, _, warnings = registry.plan(every, {}, {"goheader": {"pattern": "// "}, "lll": {"limit": 5}, "dupl": {"width": 3}})
+    enabled = {x["name"] for x in every.where("status = 'enabled'").collect()}
+    assert {x.name for x in native} | {w.split(":")[0] for w in warnings if "no analyzer" not in w} == enabled  # nothing enabled vanishes
+    assert any(w.startswith("dupl: ") for w in warnings) and "goheader" in {x.name for x in native} and any(w.startswith("goheader") for w in registry.plan(every, {})[2])
     with pytest.raises(ValueError, match="nope"):
         sets.selected(c, ["lll", "nope"])
     members = frame(spark, "name string, default_on boolean", ("a", True), ("b", False), ("c", True))
@@ -181,6 +215,36 @@ def test_names(spark):
     assert ids(sets.member_set(members, "disable-all", n("b"), n("c")), "name") == ["b"]
 
 
+def test_unique_names(spark):
+    names = ["a", "a", "a#01", "a", "a#02", "b#07", "", "", "b#07", "x#1", "x#00", "b"]
+    df = frame(spark, "seq long, name string", *enumerate(names)).repartition(4)
+    got = {r["seq"]: r["unique_name"] for r in dedup.numbered_names(df).collect()}
+    assert [got[i] for i in range(len(names))] == ["a", "a#01", "a#01#01", "a#02", "a#02#01", "b#07", "#00", "#01", "b#07#01", "x#1", "x#00", "b"]
+    many = {r["seq"]: r["unique_name"] for r in dedup.numbered_names(spark.range(130).selectExpr("id as seq", "'n' as name").repartition(5)).collect()}
+    assert many == {0: "n", **{k: f"n#{k:02d}" for k in range(1, 130)}}
+    by = frame(spark, "seq long, parent string, name string", (1, "p", "t"), (2, "q", "t"), (3, "p", "t"), (4, None, "t"), (5, None, "t"))
+    assert ids(dedup.numbered_names(by, by=("parent",)), "seq", "unique_name") == [(1, "t"), (2, "t"), (3, "t#01"), (4, "t"), (5, "t#01")]
+
+
+def test_running_over_parts(spark):
+    from quillgrid.operators import running
+
+    rows = [(("hot", None, "x")[0 if i % 3 else i % 2 + 1], i, i % 7 - 3) for i in range(900)]
+    df = frame(spark, "k string, o long, v int", *rows).repartition(7)
+    got = {(r["k"], r["o"]): (r["s"], r["n"]) for r in running.numbered(running.running(df, ("k",), ("o",), F.col("v"), "s"), ("k",), (F.col("o").desc(),), "n").collect()}
+    for k in ("hot", None, "x"):
+        mine = sorted((o, v) for x, o, v in rows if x == k)
+        for j, (o, _) in enumerate(mine):
+            assert got[k, o] == (sum(v for _, v in mine[: j + 1]), len(mine) - j)
+    long = frame(spark, "seq long, bucket string, v long", *[(i, "a", i * 37 % 101 + 1) for i in range(700)])
+    whole = {r["seq"]: r["estimate"] for r in aggregates.sliding_median(long, 0).collect()}
+    old, aggregates.SPAN = aggregates.SPAN, 150
+    try:
+        assert {r["seq"]: r["estimate"] for r in aggregates.sliding_median(long, 0).collect()} == whole and len(whole) == 700
+    finally:
+        aggregates.SPAN = old
+
+
 def test_first_of_keeps_nulls(spark):
     df = frame(spark, "k string, o int, v string", ("a", 2, "x"), ("a", 1, None), (None, 5, "y"))
     assert sorted(map(tuple, dedup.first_of(df, ("k",), ("o",)).collect()), key=str) == [("a", 1, None), (None, 5, "y")]

@@ -75,14 +75,35 @@ def test_empty_reports(spark):
     none = spark.createDataFrame([], DDL)
     assert writers.render(none, "text") == "" and json.loads(writers.render(none, "json")) == {"issues": []}
     assert writers.render(none, "junit-xml") == "<testsuites></testsuites>" and writers.render(none, "checkstyle").endswith('<checkstyle version="5.0"></checkstyle>\n')
-    assert "No diagnostics." in writers.render(none, "html") and json.loads(writers.render(none, "code-climate")) == []
+    assert '<p id="total">0 findings</p>' in writers.render(none, "html") and "<table>" not in writers.render(none, "html") and json.loads(writers.render(none, "code-climate")) == []
     with pytest.raises(ValueError):
         writers.printer("nope")
 
 
-def test_html_escapes(found):
+def test_html(spark, found):
     text = writers.render(found, "html")
-    assert "<td>value of `f` &lt;is&gt; not &amp; checked</td>" in text and "it&#39;s" in text and "3 diagnostics" in text
+    assert '<td class="message">value of `f` &lt;is&gt; not &amp; checked</td>' in text and "it&#39;s" in text and "3 findings</p>" in text
+    assert text.count('<tr data-severity="error">') == 2 and text.count("<tr ") == 3 and '<td class="severity">error</td>' in text  # an empty severity too
+    one = spark.createDataFrame([(1, "l", " m+ ", "info", "f", 1, 0, ["<x>"])], DDL)
+    text = writers.render(one, "html")
+    assert '<p id="total">1 finding</p>' in text and '<tr data-severity="info"><td class="where">f:1</td><td class="rule">l</td><td class="severity">info</td><td class="message">m&#43;</td><td class="source">&lt;x&gt;</td></tr>' in text
+
+
+def test_reports_in_parts(spark, found, tmp_path):
+    many = spark.createDataFrame([(9, f"l{i % 7}", f"m{i}", "error", f"f{i % 13}", i, 0, []) for i in range(500)], DDL).repartition(6)
+    for name, df in (("text", many), ("tab", many), ("junit-xml", many), ("json", many), ("sarif", many), ("html", found)):
+        writers.write_parts(df, name, str(tmp_path / name))
+        files = sorted(x for x in (tmp_path / name).iterdir() if x.name.startswith("part-"))
+        whole = "".join(x.read_text() for x in files)
+        want = writers.render(writers.sequenced(df), name)
+        assert (json.loads(whole) == json.loads(want)) if name in ("json", "sarif") else whole.rstrip("\n") == want.rstrip("\n")
+
+
+def test_building_a_report_runs_nothing(spark, found):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    for name in writers.FORMATS:
+        writers.printer(name)(found)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
 
 
 def test_order_of_input_does_not_matter(spark, found):
