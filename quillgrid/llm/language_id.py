@@ -45,7 +45,10 @@ LEAST = (3, 2)
 MOST_LETTERS = 200
 #: Words from which a mean score counts as sure as it will.
 SURE = 12
-MEMO = 120_000
+#: Words, and their languages, that a task remembers.
+MEMO, MEMO_ENTRIES = 120_000, 4_000_000
+#: Entries up to which the n-grams' table is unpacked, with a row of all languages for each.
+UNPACKED = 4_000_000
 #: Counts that a task of the fit holds at once.
 HELD = 300_000
 
@@ -58,7 +61,20 @@ def no_letters() -> str:
     return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(lows, highs, strict=True))
 
 
-letters_of = re.compile(rf"[^\W\d_{no_letters()}]+").findall
+nearly_letters = re.compile(r"[^\W\d_]+").findall
+other_numeral = re.compile(f"[{no_letters()}]").search
+only_letters = re.compile(rf"[^\W\d_{no_letters()}]+").findall
+
+
+def letters_of(text: str) -> list[str]:
+    """The runs of letters."""
+    return only_letters(text) if other_numeral(text) else nearly_letters(text)
+
+
+def letter_counts(text: str) -> Counter:
+    """As letters_of, counted; the short class, which is much quicker, does where none of its words holds another numeral."""
+    found = Counter(nearly_letters(text))
+    return Counter(only_letters(text)) if other_numeral("".join(found)) else found
 
 
 @dataclass
@@ -167,56 +183,86 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
     return Model(languages, of(0), of(1))
 
 
-Found = tuple[int, np.ndarray, np.ndarray]
-
-
 class Scorer:
+    """Scores texts. Words stand in flat arrays: of remembered word i the entries from start[i], size[i] of them; kind 0 is known, 1 cut, 2 without a letter ever seen."""
+
     def __init__(self, m: Model):
         self.m, self.n = m, len(m.languages)
         self.words, self.grams = ({k: i for i, k in enumerate(e.keys)} for e in (m.words, m.grams))
         self.longest = max(map(len, m.grams.keys), default=1)
-        self.memo: dict[str, Found] = {}
-
-    def word(self, w: str) -> Found:
-        """0 if known, 1 if cut, 2 if no letter of it was ever seen; languages, and log frequencies over that of half an occurrence."""
-        e = self.m.words
-        if (i := self.words.get(w)) is not None:
-            return 0, e.at[e.start[i] : e.start[i + 1]], e.over[e.start[i] : e.start[i + 1]]
-        marked, at, cuts, e = f"<{w}>", 0, [], self.m.grams
-        while at < len(marked):
-            for n in range(min(self.longest, len(marked) - at), 0, -1):
-                if (i := self.grams.get(marked[at : at + n])) is not None:
-                    cuts.append(i)
-                    at += n
+        # known words stand in the model's own arrays; what is found for others comes behind them
+        self.first = len(m.words.at)
+        self.start, self.size, self.kind = np.zeros(MEMO, np.int64), np.zeros(MEMO, np.int64), np.zeros(MEMO, np.int64)
+        self.at, self.over = m.words.at, m.words.over
+        self.every, self.rows = np.arange(self.n), None
+        if len(m.grams.keys) * self.n <= UNPACKED:
+            self.rows = np.zeros((len(m.grams.keys), self.n))
+            self.rows[np.repeat(np.arange(len(m.grams.keys)), np.diff(m.grams.start)), m.grams.at] = m.grams.over
+        self.memo: dict[str, int] = {}
+        self.used = self.first
+        #: Words that are looked up at a time.
+        self.slice = max(1, min(MEMO, MEMO_ENTRIES // max(1, self.n)) // 2)
+
+    def remember(self, w: str) -> int:
+        i, self.memo[w] = len(self.memo), len(self.memo)
+        if (k := self.words.get(w)) is not None:
+            self.start[i], self.kind[i] = (lo := self.m.words.start[k]), 0
+            self.size[i] = self.m.words.start[k + 1] - lo
+            return i
+        cuts = self.cuts(w)
+        if not cuts:
+            self.size[i], self.kind[i] = 0, 2
+            return i
+        at, over = self.mean(cuts)
+        end = self.used + len(at)
+        if end > len(self.at):
+            more = max(end, 2 * len(self.at)) - len(self.at)
+            self.at, self.over = np.concatenate([self.at, np.zeros(more, np.int64)]), np.concatenate([self.over, np.zeros(more)])
+        self.at[self.used : end], self.over[self.used : end] = at, over
+        self.start[i], self.size[i], self.kind[i], self.used = self.used, len(at), 1, end
+        return i
+
+    def cuts(self, w: str) -> list[int]:
+        """The n-grams of an unseen word, from the left, always the longest; a letter that was never seen says nothing."""
+        marked, at, out, find, end = f"<{w}>", 0, [], self.grams.get, len(w) + 2
+        while at < end:
+            for to in range(min(at + self.longest, end), at, -1):
+                if (i := find(marked[at:to])) is not None:
+                    out.append(i)
+                    at = to
                     break
             else:
-                at += 1  # a letter that was never seen says nothing
-        if not cuts:
-            return 2, np.array([], np.int64), np.array([])
+                at += 1
+        return out
+
+    def mean(self, cuts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Languages, and the mean over the cuts of log frequencies over that of half an occurrence."""
+        if self.rows is not None:
+            return self.every, self.rows[cuts].sum(0) / len(cuts)
+        e = self.m.grams
         sums = np.bincount(np.concatenate([e.at[e.start[i] : e.start[i + 1]] for i in cuts]), np.concatenate([e.over[e.start[i] : e.start[i + 1]] for i in cuts]))
         at = np.flatnonzero(sums)
-        return 1, at, sums[at] / len(cuts)
+        return at, sums[at] / len(cuts)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(letters_of((text or "").lower()))
+        counts = letter_counts((text or "").lower())
         if not counts or not self.n:
             return UNKNOWN, 0.0
-        memo = self.memo
-        if len(memo) + len(counts) > MEMO:
-            memo.clear()
-        kinds, at, over, times = [0, 0, 0], [], [], []
-        for w, n in counts.items():
-            f = memo.get(w)
-            if f is None:
-                f = self.word(w)
-                if len(memo) < MEMO and len(w) <= MOST_LETTERS:
-                    memo[w] = f
-            kinds[f[0]] += n
-            at.append(f[1])
-            over.append(f[2])
-            times.append(n)
-        total = sum(times)
-        sums = np.bincount(np.concatenate(at), np.concatenate(over) * np.repeat(times, [len(x) for x in at]), self.n)
+        words, sums, kinds = list(counts), np.zeros(self.n), np.zeros(3)
+        for k in range(0, len(words), self.slice):
+            some = words[k : k + self.slice]
+            if len(self.memo) + len(some) > MEMO or self.used - self.first + len(some) * self.n > MEMO_ENTRIES:
+                self.memo.clear()
+                self.used = self.first
+            ids = list(map(self.memo.get, some))
+            if None in ids:
+                ids = [self.remember(w) if i is None else i for w, i in zip(some, ids)]
+            ids = np.array(ids)
+            times, size = np.array([counts[w] for w in some], float), self.size[ids]
+            place = np.repeat(self.start[ids] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            sums += np.bincount(self.at[place], self.over[place] * np.repeat(times, size), self.n)
+            kinds += np.bincount(self.kind[ids], times, 3)
+        total = counts.total()
         mean = (sums + kinds[0] * self.m.words.none + kinds[1] * self.m.grams.none) / total
         odds = np.exp((mean - mean.max()) * min(SURE, total))
         best = int(mean.argmax())

@@ -216,12 +216,16 @@ def test_letters_are_of_category_l(documents):
     assert score("½a")[0] != "und"
 
 
-def test_language_equals_brute_force(documents):
+@pytest.mark.parametrize("unpacked", [0, 4_000_000])
+def test_language_equals_brute_force(documents, monkeypatch, unpacked):
     """Scores by the definition, with a table of all languages for each word and n-gram."""
     import math
 
     from quillgrid.llm import language_id as li
 
+    monkeypatch.setattr(li, "UNPACKED", unpacked)
+    monkeypatch.setattr(li, "MEMO", 4000)
+
     rows = [(d["lang"], d["text"]) for d in documents[:60]]
     languages = sorted({x for x, t in rows if x and t})
     words = {x: Counter(w for y, t in rows if y == x and t for w in li.letters_of(t.lower())) for x in languages}
