@@ -137,6 +137,20 @@ class Transducer:
         return n + grown
 
 
+    def count(self, word: bytes) -> int:
+        """The tokens of a whole word."""
+        if len(self.go) > TRANSITIONS:
+            self.reset()
+        at, n, go = 0, 0, self.go.get  # BEGIN is state 0
+        for b in word[:-1]:
+            at, grown = go(at << 8 | b) or self.step(at, b)
+            n += grown
+        grown = self.stop.get(at << 8 | word[-1])
+        if grown is None:
+            grown = self.stop[at << 8 | word[-1]] = self.last(self.states[at], word[-1], self.ends)[1]
+        return n + grown
+
+
 #: The bytes that it is entered with, whether they end their word, the tokens after them, and the exit state.
 StateMap = tuple[bytes, bool, int, State]
 
@@ -146,21 +160,21 @@ class Counter:
         self.split, self.machine, self.chunk = Splitter(v.special), Transducer(v), chunk
         self.memo, self.pieces = Generations(MEMO), Generations(MEMO)
 
-    def piece(self, p: str | int) -> tuple[int, int]:
-        """Tokens and bytes of a piece; a special token is one token of one byte."""
+    def piece(self, p: str | int) -> int:
+        """Bytes << 32 | tokens of a piece, so that sums of pieces are sums of both; a special token is one token of one byte."""
         if isinstance(p, int):
-            return 1, 1
+            return 1 << 32 | 1
         k = self.pieces.young.get(p) or self.pieces.old.get(p)
         if k is None:
             raw = p.encode("utf-8", "surrogatepass")
-            k = self.machine.finish(BEGIN, raw), len(raw)
+            k = len(raw) << 32 | self.machine.count(raw)
             if len(p) < 200:
                 self.pieces.put(p, k)
         return k
 
     def run(self, w: str) -> int:
-        """Of a run without white space: its bytes << 32 | its tokens, so that sums of runs are sums of both."""
-        return sum([n << 32 | k for k, n in map(self.piece, self.split(w))])
+        """As piece(), of a run without white space."""
+        return sum(map(self.piece, self.split(w)))
 
     def runs(self, words: list[str]) -> list[int]:
         found = list(map(self.memo.young.get, words))
@@ -186,7 +200,8 @@ class Counter:
         for i in np.flatnonzero(~whole).tolist():
             at = int(ends[i] - sizes[i])
             for p in self.split(words[i]):
-                k, size = self.piece(p)
+                both = self.piece(p)
+                k, size = both & 0xFFFFFFFF, both >> 32
                 lo, hi = at // self.chunk, (at + size - 1) // self.chunk
                 if lo == hi:
                     inside[lo] += k
