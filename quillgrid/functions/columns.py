@@ -269,3 +269,34 @@ def snake_case(name: C) -> Column:
     """fooBarIDs -> foo_bar_ids."""
     parts = F.regexp_replace(F.regexp_replace(col(name), "([a-z0-9])([A-Z])", "$1_$2"), "([A-Z]+)([A-Z][a-z])", "$1_$2")
     return F.regexp_replace(F.lower(parts), "_i_ds(_|$)", "_ids$1")
+
+
+def place_of(text: C, offset: C) -> Column:
+    """(line, column) from 1 of a byte offset at a character's start; columns count bytes."""
+    head = F.substr(col(text).cast("binary"), F.lit(1), col(offset)).cast("string")
+    return F.struct((F.regexp_count(head, F.lit("\n")) + 1).alias("line"), (F.octet_length(F.substring_index(head, "\n", -1)) + 1).alias("column"))
+
+
+def explanation(comment: C) -> Column:
+    """What stands behind a second // of a suppression directive, trimmed; "" if there is nothing."""
+    return F.trim(F.regexp_extract(F.regexp_replace(col(comment), r"^(//|/\*)", ""), r"//([\s\S]*)$", 1))
+
+
+def span_mismatch(function: C, span: C) -> Column:
+    """Whether a span isn't named like its function."""
+    return snake_case(function) != col(span)
+
+
+#: Seconds of a unit of durations.
+UNIT_SECONDS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 1e-3, "us": 1e-6, "µs": 1e-6, "ns": 1e-9}
+
+
+def duration_seconds(text: C) -> Column:
+    """Seconds of a duration such as -1h2m3.5s; null if it is none."""
+    units = F.create_map(*[F.lit(x) for kv in UNIT_SECONDS.items() for x in kv])
+    body = F.regexp_replace(col(text), "^[+-]", "")
+    pieces = F.regexp_extract_all(body, F.lit(r"((?:\d+\.?\d*|\.\d+)(?:h|ms|us|µs|ns|m|s))"), F.lit(1))
+    value = lambda p: F.regexp_extract(p, r"^([\d.]+)", 1).cast("double") * units[F.regexp_extract(p, r"([a-zµ]+)$", 1)]
+    total = F.aggregate(F.transform(pieces, value), F.lit(0.0), lambda a, x: a + x)
+    sign = F.when(F.startswith(col(text), F.lit("-")), -1.0).otherwise(1.0)
+    return F.when(col(text).isin("", "0"), 0.0).when((F.size(pieces) > 0) & (F.array_join(pieces, "") == body), sign * total)

@@ -144,3 +144,11 @@ def tag_expression(text: str, tags: set[str]) -> bool:
     if at < len(tokens):
         raise ValueError(f"constraint goes on: {text}")
     return value
+
+
+def absolute_column(path: Column, root: str) -> Column:
+    """As :func:`absolute`, of a column."""
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    parts = F.aggregate(F.filter(F.split(whole, "/"), lambda x: ~x.isin("", ".")), F.array().cast("array<string>"), step)
+    return F.when(path == "", "").otherwise(F.concat(F.lit("/"), F.array_join(parts, "/")))

@@ -191,3 +191,42 @@ def reverse_dependencies(edges: DataFrame, of: DataFrame, transitive: bool = Fal
     if transitive:
         return closure_minus_roots(back, of)
     return of.join(back.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
+
+
+def required(requires: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node): the roots and all that they require, directly or not; ``requires`` is (node, needs array)."""
+    return reached(requires.select(F.col("node").alias("src"), F.explode("needs").alias("dst")), roots)
+
+
+def fact_producers(requires: DataFrame, roots: DataFrame, declaring: DataFrame) -> DataFrame:
+    """Of what the roots require, themselves included, those nodes that declare facts (node)."""
+    return required(requires, roots).join(declaring.select("node").distinct(), "node", "left_semi")
+
+
+def action_states(requires: DataFrame, failed: DataFrame) -> DataFrame:
+    """(node, state) of each action of a graph, run once: failed, skipped if something that it needs failed, else done."""
+    edges = requires.select(F.col("node").alias("src"), F.explode("needs").alias("dst"))
+    hit = reached(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), failed)
+    bad = failed.select("node").distinct().withColumn("failed", F.lit(True))
+    told = requires.select("node").distinct().join(hit.withColumn("hit", F.lit(True)), "node", "left").join(bad, "node", "left")
+    return told.select("node", F.when(F.col("failed"), "failed").when(F.col("hit"), "skipped").otherwise("done").alias("state"))
+
+
+def reachable_symbols(edges: DataFrame, exported: DataFrame, imported: DataFrame) -> DataFrame:
+    """(decl, symbol): the imported symbols (node) that each exported declaration (node) refers to, directly or not.
+
+    Declarations that refer to each other in a circle reach the same, so circles are one node first; then only pairs that
+    begin at an exported declaration are walked.
+    """
+    ready(edges.sparkSession)
+    circles = components(edges).select("node", "component")
+    of = lambda df, c: df.join(circles.select(F.col("node").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
+    short = of(of(edges.select("src", "dst"), "src"), "dst").where("src <> dst").distinct().checkpoint()
+    front = of(exported.select(F.col("node").alias("decl"), "node"), "node").select("decl", "node").distinct().checkpoint()
+    seen = front
+    while not front.isEmpty():
+        step = front.join(short.select(F.col("src").alias("node"), "dst"), "node").select("decl", F.col("dst").alias("node")).distinct()
+        front = step.join(seen, ["decl", "node"], "left_anti").checkpoint()
+        seen = seen.union(front).checkpoint()
+    outside = of(imported.select(F.col("node").alias("symbol"), "node"), "node")
+    return seen.join(outside, "node").where("decl <> symbol").select("decl", "symbol")

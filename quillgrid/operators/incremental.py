@@ -172,3 +172,31 @@ def metrics(counters: DataFrame, severities: DataFrame) -> str:
 
     tiers = {r["tier"]: {k: r[k] for k in ("hits", "misses", "stores", "errors")} for r in counters.collect()}
     return json.dumps({"cache": tiers, "findings": {r["severity"]: r["n"] for r in severities.collect()}}, sort_keys=True)
+
+
+def analyzer_set_digest(analyzers: DataFrame) -> DataFrame:
+    """One row: the digest of all enabled analyzers (name, version, scope, salt), in whatever order they are listed."""
+    return set_digest(analyzers, (), "name", "version", "scope", "salt").select("digest", "n")
+
+
+def reachable_keys(edges: DataFrame, local: DataFrame) -> DataFrame:
+    """(package, key): a package's own key (package, source) with the keys of all that it reaches."""
+    return local.join(closure_digests(edges, local), "package").select("package", F.when(F.col("deps").isNotNull(), fc.digest("package", "source", "deps")).alias("key"))
+
+
+def decoded(cache: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
+    """Entries (key, version, body as JSON text) that can be used, and one row: errors, the number of those that can't be read.
+
+    An entry of another version is purged without an error; one whose body is no JSON list is an error and then a miss.
+    """
+    parsed = cache.where(F.col("version") == version).withColumn("findings", F.try_parse_json("body"))
+    is_list = F.coalesce(F.schema_of_variant("findings").startswith("ARRAY"), F.lit(False))
+    return parsed.where(is_list), parsed.agg(F.count_if(~is_list).alias("errors"))
+
+
+def cleaned(cache: DataFrame, tier: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What is left of a cache (key, tier, size) after cleaning it, or one tier of it; and one row: the bytes and files that go."""
+    from .aggregates import disk_use
+
+    gone = F.lit(True) if tier is None else F.col("tier") == tier
+    return cache.where(~gone), disk_use(cache.where(gone))

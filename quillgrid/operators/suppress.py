@@ -195,6 +195,11 @@ def is_intermediate_variant(for_test: str = "for_test", path: str = "path") -> C
     return (F.coalesce(t, F.lit("")) != "") & (t != p) & (t != F.regexp_replace(p, "_test$", ""))
 
 
+def without_intermediate_variants(packages: DataFrame) -> DataFrame:
+    """Packages (path, for_test) but those rebuilt only for another package's test."""
+    return packages.where(~is_intermediate_variant())
+
+
 def hermetic(linters: DataFrame, toolchain: tuple[str, ...]) -> DataFrame:
     return linters.where(~F.col("linter").isin(*toolchain))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, log_queries
+from . import corpus_queries, inventory_queries, log_queries
 
-ALL = [*corpus_queries.QUERIES, *log_queries.QUERIES]
+ALL = [*corpus_queries.QUERIES, *log_queries.QUERIES, *inventory_queries.QUERIES]
 QUERIES = {q.name: q.run for q in ALL}
 ORACLES = {q.name: q.sql for q in ALL if q.sql}

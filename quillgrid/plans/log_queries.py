@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fc
 from ..operators import aggregates, collect, compare, dedup, graph, incremental, joins, ordering, sets
 from ..sources.corpus import documents, table
-from .tables import DOCS, LOG, RUNS, TRADE, TURNS, Query, log, runs, trade, turns
+from .tables import DOCS, LOG, RUNS, TURNS, Query, log, runs, turns
 
 CALLS = """k AS (SELECT file, line, linter, count(*) FILTER (seq % 3 <> 0) AS na, count(*) FILTER (seq % 4 <> 0) AS nb FROM log GROUP BY ALL)"""
 
@@ -102,12 +102,12 @@ def keys(s, d):
 
 
 def loops(s, d):
-    """A graph of several cycles of different lengths with long ways into them: customers modulo 300, each with two successors."""
-    x = table(s, d, "customer").select((F.col("c_custkey") % 300).alias("x")).distinct()
-    return x.select(F.col("x").alias("src"), ((F.col("x") * F.col("x") + 1) % 300).alias("dst")).union(x.where("x % 4 = 0").select("x", F.floor(F.col("x") / 2).alias("dst"))).distinct()
+    """A graph of several cycles of different lengths with long ways into them: customers modulo 129, each leading to its square, every fourth also to its half."""
+    x = table(s, d, "customer").select((F.col("c_custkey") % 129).alias("x")).distinct()
+    return x.select(F.col("x").alias("src"), (F.col("x") * F.col("x") % 129).alias("dst")).union(x.where("x % 4 = 0").select("x", F.floor(F.col("x") / 2).alias("dst"))).distinct()
 
 
-LOOPS = "x AS (SELECT DISTINCT c_custkey % 300 AS x FROM customer), loops AS (SELECT x AS src, (x * x + 1) % 300 AS dst FROM x UNION SELECT x, x // 2 FROM x WHERE x % 4 = 0)"
+LOOPS = "x AS (SELECT DISTINCT c_custkey % 129 AS x FROM customer), loops AS (SELECT x AS src, x * x % 129 AS dst FROM x UNION SELECT x, x // 2 FROM x WHERE x % 4 = 0)"
 CLOSURE = "WITH RECURSIVE {t}, r AS (SELECT {a} AS root, {b} AS node FROM {g} UNION SELECT r.root, {g}.{y} FROM r JOIN {g} ON {g}.{x} = r.node)"
 
 
@@ -170,7 +170,7 @@ QUERIES = [
 SELECT seq, bucket, v, CASE WHEN len(l) < 10 THEN 500 WHEN len(l) % 2 = 1 THEN l[len(l) // 2 + 1] ELSE l[len(l) // 2] + (l[len(l) // 2 + 1] - l[len(l) // 2]) // 2 END AS estimate FROM h"""),
     Query("evict_over_budget", evict_over_budget, f"WITH {ACCESS} SELECT key FROM (SELECT key, sum(size) OVER (ORDER BY mtime DESC, key) AS run FROM cached) WHERE run >= (SELECT sum(size) // 2 FROM cached)"),
     Query("evict_by_age", lambda s, d: incremental.aged_out(cached(s, d), F.lit("1998-01-31 00:00:00").cast("timestamp"), 30).select("key"), f"WITH {ACCESS} SELECT key FROM cached WHERE mtime < TIMESTAMP '1998-01-01 00:00:00'"),
-    Query("evict_least_recent", lambda s, d: incremental.least_recent(log(s, d).select(F.col("file").alias("key"), F.col("ts").alias("at"), F.lit(1).cast("long").alias("size")), 100).select("key"), f"WITH {LOG}, last AS (SELECT file AS key, max(ts) AS seen FROM log GROUP BY file) SELECT key FROM (SELECT key, row_number() OVER (ORDER BY seen DESC, key) AS run FROM last) WHERE run >= 101"),
+    Query("evict_least_recent", lambda s, d: incremental.least_recent(log(s, d).select(F.col("file").alias("key"), F.col("ts").alias("at"), F.lit(1).cast("long").alias("size")), 5).select("key"), f"WITH {LOG}, last AS (SELECT file AS key, max(ts) AS seen FROM log GROUP BY file) SELECT key FROM (SELECT key, row_number() OVER (ORDER BY seen DESC, key) AS run FROM last) WHERE run >= 6"),
     Query("mean_p95", lambda s, d: aggregates.mean_p95(log(s, d).where("v is not null").select(F.col("linter").alias("bucket"), "v")), f"WITH {LOG}, g AS (SELECT linter AS bucket, count(*) AS n, CAST(trunc(sum(v) / count(*)) AS BIGINT) AS mean, list_sort(list(v)) AS l FROM log WHERE v IS NOT NULL GROUP BY linter) SELECT bucket, n, mean, l[least(n * 95 // 100, n - 1) + 1] AS p95 FROM g"),
     Query("scenario_stats", lambda s, d: aggregates.scenario(log(s, d).select("linter", "v", "line"), "linter", "v", "line"), f"WITH {LOG}, g AS (SELECT linter, count(*) AS n, sum(v) AS sv, max(v) AS max_wall, min(v) AS min_wall, sum(line) AS sl, max(line) AS max_rss, list_sort(list(v)) AS l FROM log GROUP BY linter) SELECT linter, n, CAST(floor(sv / n) AS BIGINT) AS mean_wall, max_wall, min_wall, CAST(floor(sl / n) AS BIGINT) AS mean_rss, max_rss, l[least(n * 95 // 100, n - 1) + 1] AS p95_wall FROM g"),
     Query("top32_per_bucket", lambda s, d: ordering.top_per_bucket(log(s, d).select("linter", "v", "seq"), "linter", "v", 32, "seq"), f"WITH {LOG} SELECT linter, v, seq, CAST(row_number() OVER (PARTITION BY linter ORDER BY v DESC, seq) AS INTEGER) AS rank FROM log QUALIFY rank <= 32"),
@@ -190,7 +190,6 @@ SELECT name FROM named WHERE name NOT IN (SELECT p_name FROM f) AND name NOT IN
     Query("strong_components", lambda s, d: graph.components(loops(s, d)), closure_sql(LOOPS, "loops", "src", "dst", ", both_ways AS (SELECT a.root AS node, a.node AS other FROM r a JOIN r b ON a.root = b.node AND a.node = b.root WHERE a.root <> a.node), c AS (SELECT node, least(node, min(other)) AS component FROM both_ways GROUP BY node) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c").replace(") , both", "), both")),
     Query("cycle_members", lambda s, d: graph.cycle_members(loops(s, d)), closure_sql(LOOPS, "loops", "src", "dst", "SELECT node FROM r WHERE root = node")),
     Query("cycle_breaking", lambda s, d: graph.without_cycle_edges(loops(s, d), loops(s, d).where("src % 3 <> 0").select(F.col("src").alias("node"))), closure_sql(LOOPS, "loops", "src", "dst", "SELECT src, dst FROM loops t WHERE src = dst OR src % 3 = 0 OR NOT EXISTS (SELECT 1 FROM r WHERE root = t.dst AND node = t.src)")),
-    Query("trade_components", lambda s, d: graph.components(trade(s, d)), closure_sql(TRADE, "trade", "src", "dst", ", both_ways AS (SELECT a.root AS node, a.node AS other FROM r a JOIN r b ON a.root = b.node AND a.node = b.root WHERE a.root <> a.node), c AS (SELECT node, least(node, min(other)) AS component FROM both_ways GROUP BY node) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c").replace(") , both", "), both")),
     Query("stale_after_edit", lambda s, d: graph.stale(turns(s, d), table(s, d, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("package"), F.col("role").alias("file")), s.createDataFrame([("assistant",)], "file string")), f"WITH RECURSIVE {TURNS}, r AS (SELECT DISTINCT conv_id || '/' || turn AS node FROM conversations WHERE role = 'assistant' UNION SELECT src FROM r JOIN turns ON dst = node) SELECT node FROM r"),
     Query("reverse_dependencies", lambda s, d: graph.reverse_dependencies(turns(s, d), turns(s, d).where("dst like '%/0'").select(F.col("dst").alias("node"))), f"WITH {TURNS} SELECT DISTINCT src AS node FROM turns WHERE dst LIKE '%/0'"),
     Query("file_set_digest", sources, f"WITH {SOURCES} SELECT package, source FROM sources"),

@@ -52,15 +52,6 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     return t.join(before, ["conv_id", "turn"]).select(name(F.col("turn")).alias("src"), name(F.col("turn") - 1).alias("dst"))
 
 
-def trade(spark: SparkSession, d: str) -> DataFrame:
-    """A graph with cycles: from each supplier nation to the customer nation with most lines from it (the smaller key of equal ones)."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("src"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("dst"))
-    pairs = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey").join(s, "l_suppkey").join(o, "l_orderkey").join(c, "o_custkey").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return pairs.groupBy("src").agg(F.max(F.struct("n", (-F.col("dst")).alias("dst"))).alias("m")).select(F.col("src").cast("string").alias("src"), (-F.col("m.dst")).cast("string").alias("dst"))
-
-
 DOCS = "docs AS (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS file, source || '/' || lang AS package, text FROM documents)"
 LINES = f"""{DOCS}, cut AS (SELECT file, package, string_split(text, chr(10)) AS l FROM docs),
 lines AS (SELECT file, package, line, content FROM (SELECT file, package, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS line, unnest(l) AS content, len(l) AS n FROM cut) WHERE content <> '' OR line < n),
@@ -78,6 +69,3 @@ RUNS = f"""runs AS (SELECT o_orderkey AS run_id, CAST(o_custkey AS VARCHAR) AS p
 JOIN (SELECT l_orderkey, list(DISTINCT CAST(l_partkey % {RUN_FILES} AS VARCHAR)) AS files FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
 TURNS = """t AS (SELECT DISTINCT conv_id, turn FROM conversations),
 turns AS (SELECT a.conv_id || '/' || a.turn AS src, a.conv_id || '/' || (a.turn - 1) AS dst FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"""
-TRADE = """pairs AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey
-JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey GROUP BY ALL),
-trade AS (SELECT CAST(src AS VARCHAR) AS src, CAST(arg_max(dst, {'n': n, 'd': -dst}) AS VARCHAR) AS dst FROM pairs GROUP BY src)"""

@@ -20,14 +20,11 @@ def duck():
     return con
 
 
-def rows(frame, columns):
-    x = frame[columns].astype(object)
-    return sorted(map(tuple, x.where(x.notna(), None).astype(str).values.tolist()))
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows(spark, duck, name):
-    got, wanted = QUERIES[name](spark, DATA).toPandas(), duck.sql(ORACLES[name]).df()
+    got, wanted = QUERIES[name](spark, DATA), duck.sql(ORACLES[name].strip())
     columns = sorted(wanted.columns)
     assert sorted(got.columns) == columns
-    assert rows(got, columns) == rows(wanted, columns)
+    mine, theirs = got.select(*columns).collect(), wanted.select(*[f'"{c}"' for c in columns]).fetchall()
+    assert sorted(map(str, map(tuple, mine))) == sorted(map(str, theirs))
+    assert mine  # a query that finds nothing would agree with any that finds nothing
