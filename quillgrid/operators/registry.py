@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import inspect
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules
+from . import go_rules, rules
 
-#: Names whose rule needs only text, lines, sets or counts, and has a form here.
-NATIVE = ("asciicheck", "bidichk", "dupword", "forbidigo", "goconst", "godot", "godox", "goheader", "lll", "whitespace", "dupl")
-#: Names that need a Go parser or type checker: known, but nothing here runs them.
-UNWIRED = tuple(
+#: Names whose rule needs only text, lines, sets, counts or syntax, and has a form here. Two more line rules, trailing-space and sentence-end, are this engine's own and chosen by hand.
+NATIVE = tuple(sorted({*rules.TEXT_RULES, *rules.TABLE_RULES, *go_rules.GO_RULES, *go_rules.MODULE_RULES, "typecheck"} - {"trailing-space", "sentence-end"}))
+#: The names of all rules but the text and table rules; those that no rule above has need types, and nothing here runs them.
+NAMES = tuple(
     "asasalint bodyclose canonicalheader containedctx contextcheck copyloopvar cyclop decorder depguard dogsled durationcheck embeddedstructfieldcheck errcheck errchkjson errname errorlint exhaustive exhaustruct exptostd fatcontext forcetypeassert funcorder funlen ginkgolinter gocheckcompilerdirectives gochecknoglobals gochecknoinits gochecksumtype gocognit gocritic gocyclo godoclint gomoddirectives gomodguard goprintffuncname gosec gosmopolitan govet grouper iface importas inamedparam ineffassign interfacebloat intrange iotamixing ireturn loggercheck maintidx makezero mirror misspell mnd modernize musttag nakedret nestif nilerr nilnesserr nilnil nlreturn noctx noinlineerr nolintlint nonamedreturns nosprintfhostport paralleltest perfsprint prealloc predeclared promlinter protogetter reassign recvcheck revive rowserrcheck sloglint spancheck sqlclosecheck staticcheck tagalign tagliatelle testableexamples testifylint testpackage thelper tparallel tracecheck typecheck unconvert unparam unqueryvet unused usestdlibvars usetesting varnamelen wastedassign wrapcheck wsl wsl_v5 zerologlint".split()
 )
+UNWIRED = tuple(n for n in NAMES if n not in NATIVE)
 FORMATTERS = ("gci", "gofmt", "gofumpt", "goimports", "golines", "swaggo")
 STANDARD = ("errcheck", "govet", "ineffassign", "staticcheck", "typecheck", "unused")
 ALIASES = {"gosimple": "staticcheck", "stylecheck": "staticcheck"}
@@ -54,15 +56,26 @@ def unknown_names(known: DataFrame, names: list[str]) -> list[str]:
 def plan(resolved: DataFrame, custom: dict[str, list[str]], settings: dict[str, dict] | None = None) -> tuple[list[rules.Rule | rules.TableRule], list[str], list[str]]:
     """Rules to run (see rules.run), plugins to start, and warnings about enabled names that nothing runs or whose settings don't fit."""
     known = rules.TEXT_RULES | rules.TABLE_RULES
-    native, warnings = [], []
+    native, warnings, syntax, reads = [], [], {}, False
     for n, status in sorted((r["name"], r["status"]) for r in resolved.collect()):
         if status == "no-analyzer":
             warnings.append(f"{n}: no analyzer")
+        elif status == "enabled" and n == "typecheck":
+            reads = True  # comes with reading the files
+        elif status == "enabled" and n not in known:
+            given = (settings or {}).get(n, {})
+            fit = set(given) <= set(inspect.signature((go_rules.GO_RULES | go_rules.MODULE_RULES)[n]).parameters)
+            if fit:
+                syntax[n] = given
+            else:
+                warnings.append(f"{n}: unknown settings: {', '.join(sorted(given))}")
         elif status == "enabled":
             try:
                 native.append(known[n](**(settings or {}).get(n, {})))
             except (KeyError, TypeError) as e:
                 warnings.append(f"{n}: {'no rule' if isinstance(e, KeyError) else e}")
+    if syntax or reads:
+        native.append(rules.TableRule("syntax", lambda lines, files: go_rules.findings(files, syntax)))
     return native, sorted(custom), warnings
 
 

@@ -65,11 +65,11 @@ def forbidden(patterns: tuple[str, ...] = FORBIDDEN) -> Rule:
 
 
 def trailing_space() -> Rule:
-    return Rule("whitespace", F.col("content").rlike(r"[ \t]+$"), F.lit("trailing white space"), severity="info")
+    return Rule("trailing-space", F.col("content").rlike(r"[ \t]+$"), F.lit("trailing white space"), severity="info")
 
 
 def sentence_end() -> Rule:
-    return Rule("godot", ~F.col("content").rlike(r"[.!?:]\s*$") & (F.trim("content") != ""), F.lit("line doesn't end a sentence"), severity="info")
+    return Rule("sentence-end", ~F.col("content").rlike(r"[.!?:]\s*$") & (F.trim("content") != ""), F.lit("line doesn't end a sentence"), severity="info")
 
 
 def findings(lines: DataFrame, *rules: Rule) -> DataFrame:
@@ -156,7 +156,7 @@ TEXT_RULES: dict[str, Callable[..., Rule]] = {
     "dupword": repeated_tokens,
     "asciicheck": nonascii_lines,
     "bidichk": bidi_lines,
-    "whitespace": trailing_space,
-    "godot": sentence_end,
+    "trailing-space": trailing_space,
+    "sentence-end": sentence_end,
     "forbidigo": forbidden,
 }

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillgrid.operators import aggregates, collect, compare, dedup, graph, incremental, joins, registry, rules, sets, suppress
+from quillgrid.operators import aggregates, collect, compare, dedup, go_rules, graph, incremental, joins, registry, rules, sets, suppress
 from quillgrid.sources import corpus, plugins, readers
 
 FINDING = "seq long, linter string, message string, severity string, file string, line int, column int"
@@ -27,7 +27,7 @@ def test_lines_have_no_empty_tail(spark):
 def test_rules_on_marks(spark):
     lines = frame(spark, "file string, package string, line int, content string", ("f", "p", 1, "a ‮b"), ("f", "p", 2, "// TODO: x"), ("f", "p", 3, "\tx" * 70), ("f", "p", 4, "end  "))
     got = rules.findings(lines, rules.bidi_lines(), rules.keyword_lines(), rules.long_lines(tab_width=4), rules.trailing_space())
-    assert ids(got, "line", "linter") == [(1, "bidichk"), (2, "godox"), (3, "lll"), (4, "whitespace")]
+    assert ids(got, "line", "linter") == [(1, "bidichk"), (2, "godox"), (3, "lll"), (4, "trailing-space")]
 
 
 def test_rule_conditions(spark):
@@ -197,14 +197,16 @@ def test_names(spark):
     c = registry.catalog(spark)
     assert c.count() == 118 and c.where("shape = 'formatter'").count() == 6
     r = registry.resolve(c, "standard", ["lll", "gosimple"], ["govet"])
-    assert {x["name"]: x["status"] for x in r.where("status <> 'disabled'").collect()} == {"lll": "enabled", "errcheck": "no-analyzer", "ineffassign": "no-analyzer", "staticcheck": "no-analyzer", "typecheck": "no-analyzer", "unused": "no-analyzer"}
+    assert {x["name"]: x["status"] for x in r.where("status <> 'disabled'").collect()} == {"lll": "enabled", "errcheck": "no-analyzer", "ineffassign": "no-analyzer", "staticcheck": "no-analyzer", "typecheck": "enabled", "unused": "no-analyzer"}
     native, custom, warnings = registry.plan(r, {"mine": ["prog"]})
-    assert [x.name for x in native] == ["lll"] and custom == ["mine"] and len(warnings) == 5
+    assert [x.name for x in native] == ["lll", "syntax"] and custom == ["mine"] and len(warnings) == 4
     assert registry.unknown_names(c, ["lll", "nope", "gosimple"]) == ["nope"]
     every = registry.resolve(c, "all", [], [])
     native, _, warnings = registry.plan(every, {}, {"goheader": {"pattern": "// "}, "lll": {"limit": 5}, "dupl": {"width": 3}})
     enabled = {x["name"] for x in every.where("status = 'enabled'").collect()}
-    assert {x.name for x in native} | {w.split(":")[0] for w in warnings if "no analyzer" not in w} == enabled  # nothing enabled vanishes
+    syntax = set(go_rules.GO_RULES) | set(go_rules.MODULE_RULES) | {"typecheck"}
+    assert {x.name for x in native} - {"syntax"} | {w.split(":")[0] for w in warnings if "no analyzer" not in w} == enabled - syntax  # nothing enabled vanishes
+    assert "syntax" in {x.name for x in native} and len(enabled & syntax) > 50
     assert any(w.startswith("dupl: ") for w in warnings) and "goheader" in {x.name for x in native} and any(w.startswith("goheader") for w in registry.plan(every, {})[2])
     with pytest.raises(ValueError, match="nope"):
         sets.selected(c, ["lll", "nope"])
