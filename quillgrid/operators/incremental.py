@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
 from .aggregates import set_digest
-from .graph import paths
+from .graph import paths, ready
 
 ZERO = "0" * 64
 KEEP_DAYS = 30
@@ -200,3 +202,30 @@ def cleaned(cache: DataFrame, tier: str | None = None) -> tuple[DataFrame, DataF
 
     gone = F.lit(True) if tier is None else F.col("tier") == tier
     return cache.where(~gone), disk_use(cache.where(gone))
+
+
+def analysed(files: DataFrame, edges: DataFrame, analyse: Callable[[DataFrame], DataFrame], cache_path: str, analyzers: str, filter_: str = "", tool: str = "", env: str = "") -> DataFrame:
+    """Findings of all packages, of which only those are analysed whose key the cache lacks; what is new is published.
+
+    ``analyse`` gives findings (with package) for files (package, file, text). A package whose key can't be computed is
+    analysed each time and never cached.
+    """
+    src = source_digests(files)
+    keys = result_keys(src, closure_digests(edges, src), analyzers, filter_, tool, env)
+    spark = files.sparkSession
+    try:
+        cache = settled(spark.read.parquet(cache_path))
+    except Exception as e:  # no such table yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        cache = None
+    missing = keys if cache is None else keys.join(cache.select("key"), "key", "left_anti")
+    ready(spark)
+    missing = missing.select("package", "key").checkpoint()
+    fresh = analyse(files.join(missing.select("package"), "package", "left_semi")).checkpoint()
+    if not missing.isEmpty():
+        publish(cache_path, entries(missing, fresh))
+    if cache is None:
+        return fresh
+    known = cache.join(keys, ["key", "package"], "left_semi").select("package", F.explode("findings").alias("f")).select("package", "f.*")
+    return known.unionByName(fresh, allowMissingColumns=True)

@@ -186,6 +186,26 @@ def test_cache_first_writer_wins(spark, tmp_path):
     assert [r["findings"][0]["message"] for r in incremental.settled(race).collect()] == ["early"]
 
 
+def test_only_what_changed_is_analysed(spark, tmp_path):
+    files = [("a", "a/x", "long line here"), ("b", "b/x", "short"), ("c", "c/x", "another long line")]
+    edges = frame(spark, "src string, dst string", ("a", "b"))
+    seen = []
+
+    def analyse(some):
+        seen.append(ids(some, "package"))
+        return rules.findings(corpus.lines(some), rules.long_lines(8))
+
+    def run(rows, salt="r"):
+        found = incremental.analysed(frame(spark, "package string, file string, text string", *rows), edges, analyse, str(tmp_path / "cache"), salt)
+        return ids(found, "package", "message")
+
+    want = [("a", "line is 14 characters"), ("c", "line is 17 characters")]
+    assert run(files) == want and run(files) == want and seen == [["a", "b", "c"], []]
+    edited = [files[0], ("b", "b/x", "short no more"), files[2]]  # a depends on b
+    assert run(edited) == [want[0], ("b", "line is 13 characters"), want[1]] and seen[-1] == ["a", "b"]
+    assert run(files) == want and seen[-1] == [] and run(files, "other") == want and seen[-1] == ["a", "b", "c"]
+
+
 def test_eviction(spark):
     c = frame(spark, "key string, mtime timestamp, size long", *[(str(i), __import__("datetime").datetime(2020, 1, i), 10) for i in range(1, 6)])
     assert ids(incremental.over_budget(c, 30, buckets=2), "key") == ["1", "2", "3"]
