@@ -300,3 +300,30 @@ def duration_seconds(text: C) -> Column:
     total = F.aggregate(F.transform(pieces, value), F.lit(0.0), lambda a, x: a + x)
     sign = F.when(F.startswith(col(text), F.lit("-")), -1.0).otherwise(1.0)
     return F.when(col(text).isin("", "0"), 0.0).when((F.size(pieces) > 0) & (F.array_join(pieces, "") == body), sign * total)
+
+
+def first_or(a: C, default: C) -> Column:
+    """The first element of an array, or the default of an empty one."""
+    return F.coalesce(F.get(col(a), 0), col(default))
+
+
+def every(a: C, holds) -> Column:
+    return F.forall(col(a), holds)
+
+
+def some(a: C, holds) -> Column:
+    return F.exists(col(a), holds)
+
+
+def is_empty(a: C) -> Column:
+    return F.size(col(a)) == 0
+
+
+def any_entry(m: C) -> Column:
+    """The entry of a map's smallest key, null for an empty one: an arbitrary one, but always the same."""
+    return F.get(F.array_sort(F.map_entries(col(m))), 0)
+
+
+def without_keys(m: C, gone) -> Column:
+    """A map without the entries whose key and value ``gone`` holds for."""
+    return F.map_filter(col(m), lambda k, v: ~gone(k, v))

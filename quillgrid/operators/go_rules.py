@@ -762,3 +762,69 @@ def findings(files: DataFrame, planned: dict[str, dict]) -> DataFrame:
 
     mine = files.where(F.col("file").rlike(r"(\.go|(^|/)go\.mod)$")).select("file", "package", "text")
     return mine.mapInPandas(run, FINDING)
+
+
+SYMBOL = "file string, package string, name string, kind string, receiver string, line int, end_line int"
+
+
+def declared(s: Source) -> Iterator[tuple[str, str, str, int, int]]:
+    """(name, kind, receiver, line, end line) of the outermost declarations."""
+    for d in s.declarations:
+        if d.keyword == "type":
+            kinds = {id(n): k for k in ("struct", "interface") for n, _, _ in types(s, k)}
+            names = [s.tokens[a] for a, _ in (golex.specs_of(s.tokens, d.at + 2, d.end) if d.grouped else [(d.at + 1, d.end + 1)])]
+            yield from ((n.text, kinds.get(id(n), "type"), "", n.line, s.tokens[d.end].end_line) for n in names)
+        elif d.keyword in ("var", "const"):
+            yield from ((n.text, d.keyword, "", n.line, n.line) for n in d.names)
+    for f in s.functions:
+        base = [t.text for t in f.receiver if t.kind == "name"]
+        yield f.name, "method" if f.receiver else "func", base[-1] if base else "", f.line, f.end_line
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """The outermost declarations of Go files (file, package, text); files that can't be read have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for f, p, t in zip(batch["file"], batch["package"], batch["text"], strict=True):
+                try:
+                    rows += [(f, p, *x) for x in declared(golex.read(f, t or ""))]
+                except golex.Unreadable:
+                    continue
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SYMBOL.split(", ")])
+
+    return files.where(F.endswith("file", F.lit(".go"))).select("file", "package", "text").mapInPandas(run, SYMBOL)
+
+
+TEST = "file string, package string, name string, kind string, line int"
+
+
+def tests_in(s: Source) -> Iterator[tuple[str, str, int]]:
+    """(name, kind, line) of tests, benchmarks, fuzz targets and examples, and of sub-tests that are run by a literal name."""
+    from .dedup import unique_names
+
+    for f in s.functions:
+        kind = re.match("(Test|Benchmark|Fuzz|Example)([A-Z_0-9]|$)", f.name)
+        if f.receiver or kind is None or not s.file.endswith("_test.go"):
+            continue
+        yield f.name, kind[1].lower(), f.line
+        runs = [(s.tokens[i + 2], s.tokens[i]) for i in range(*f.body) if s.tokens[i] == "Run" and s.tokens[i - 1] == "." and s.tokens[i + 1] == "(" and s.tokens[i + 2].kind == "str"] if f.body else []
+        for name, (_, t) in zip(unique_names([n.text[1:-1].replace(" ", "_") for n, _ in runs]), runs, strict=True):
+            yield f"{f.name}/{name}", "subtest", t.line
+
+
+def tests(files: DataFrame) -> DataFrame:
+    """The index of tests of Go files (file, package, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for f, p, t in zip(batch["file"], batch["package"], batch["text"], strict=True):
+                try:
+                    rows += [(f, p, *x) for x in tests_in(golex.read(f, t or ""))]
+                except golex.Unreadable:
+                    continue
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TEST.split(", ")])
+
+    return files.where(F.endswith("file", F.lit("_test.go"))).select("file", "package", "text").mapInPandas(run, TEST)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as fc
 from . import go_rules, rules
 
 #: Names whose rule needs only text, lines, sets, counts or syntax, and has a form here. Two more line rules, trailing-space and sentence-end, are this engine's own and chosen by hand.
@@ -81,3 +82,29 @@ def plan(resolved: DataFrame, custom: dict[str, list[str]], settings: dict[str,
 
 def listing(resolved: DataFrame) -> DataFrame:
     return resolved.select("name", (F.col("status") != "disabled").alias("enabled"), (F.col("shape") == "formatter").alias("formatter")).orderBy("name")
+
+
+#: Rules that need the toolchain that a hermetic run doesn't have: none here reads more than its files.
+TOOLCHAIN: tuple[str, ...] = ()
+
+
+def select_roots(resolved: DataFrame, mode: str = "full", producers: tuple[str, ...] = (), hermetic: bool = True) -> tuple[list[str], list[str]]:
+    """(names to run, names left out) of the enabled ones for one package.
+
+    Rules of module scope never run for a package; in module mode nothing else does. A hermetic run leaves out what needs
+    the toolchain; facts_only keeps the producers of facts.
+    """
+    enabled = sorted(r["name"] for r in resolved.where("status = 'enabled'").collect())
+    module = set(go_rules.MODULE_RULES)
+    keep = {
+        "module": lambda n: n in module,
+        "full": lambda n: n not in module,
+        "facts_only": lambda n: n not in module and n in producers,
+    }[mode]
+    roots = [n for n in enabled if keep(n) and not (hermetic and n in TOOLCHAIN)]
+    return roots, [n for n in enabled if n not in roots]
+
+
+def families(spark: SparkSession) -> DataFrame:
+    """(family, member) of the names that stand for many checks, as far as the members are listed here."""
+    return spark.createDataFrame([("govet", m) for m in fc.GOVET_MEMBERS], "family string, member string")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import codec, paths
 from ..functions import columns as fc
-from ..functions import paths
 from ..operators import aggregates, compare, graph, incremental, joins, ordering, sets, suppress
 from ..sinks import writers
 from ..sources import corpus, readers
@@ -199,6 +199,9 @@ QUERIES = [
     Query("error_texts", lambda s, d: checks(s, d).select("seq", fc.error_parts(F.concat(fc.position("file", "line", F.col("seq") % 2), F.lit(": "), "message")).alias("e")).select("seq", "e.file", "e.line", F.coalesce("e.column", F.lit(0)).alias("column"), "e.message"), f"WITH {CHECKS_TABLE} SELECT seq, file, line, CAST(seq % 2 AS INTEGER) AS \"column\", message FROM checks"),
     Query("durations", lambda s, d: table(s, d, "part").select("p_partkey", fc.duration_seconds(F.concat(F.when(F.col("p_partkey") % 5 == 0, "-").otherwise(""), F.col("p_size").cast("string"), F.lit("h"), (F.col("p_partkey") % 60).cast("string"), F.lit("m1.5s"), F.when(F.col("p_partkey") % 7 == 0, "x").otherwise(""))).alias("seconds")), "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN (CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE 1 END) * (p_size * 3600.0::DOUBLE + p_partkey % 60 * 60.0::DOUBLE + 1.5) END AS seconds FROM part"),
     Query("symbol_lookup", lambda s, d: sets.symbols(table(s, d, "part").select(F.col("p_brand").alias("package"), F.col("p_name").alias("name"), "p_partkey"), "Brand#13", "s", prefix=True).select("p_partkey"), "SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' AND starts_with(p_name, 's')"),
+    Query("iterator_helpers", lambda s, d: table(s, d, "part").select("p_partkey", F.split("p_name", " ").alias("w")).select("p_partkey", fc.first_or("w", F.lit("")).alias("first"), fc.every("w", lambda x: F.length(x) > 4).alias("every"), fc.some("w", lambda x: F.length(x) > 4).alias("some"), fc.is_empty(F.filter("w", lambda x: F.length(x) > 5)).alias("none")), "SELECT p_partkey, w[1] AS first, len(list_filter(w, lambda x: length(x) > 4)) = len(w) AS every, len(list_filter(w, lambda x: length(x) > 4)) > 0 AS some, len(list_filter(w, lambda x: length(x) > 5)) = 0 AS none FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)"),
+    Query("map_helpers", lambda s, d: table(s, d, "part").select("p_partkey", F.create_map(F.lit("b"), F.col("p_brand"), F.lit("a"), F.col("p_type"), F.lit("c"), F.col("p_name")).alias("m")).select("p_partkey", fc.any_entry("m")["value"].alias("one"), F.array_join(F.array_sort(F.map_keys(fc.without_keys("m", lambda k, v: F.length(v) > 8))), ",").alias("left")), "SELECT p_partkey, p_type AS one, array_to_string(list_filter(['a', 'b', 'c'], lambda k: length(CASE k WHEN 'a' THEN p_type WHEN 'b' THEN p_brand ELSE p_name END) <= 8), ',') AS left FROM part"),
+    Query("sealed_entries", lambda s, d: table(s, d, "part").select("p_partkey", F.md5(codec.sealed_column(7, F.col("p_name").cast("binary"), F.col("p_type").cast("binary"))).alias("body")), "SELECT p_partkey, md5(unhex('5147524407' || lpad(lower(to_hex(strlen(p_name))), 2, '0') || repeat('00', 7) || hex(p_name) || lpad(lower(to_hex(strlen(p_type))), 2, '0') || repeat('00', 7) || hex(p_type))) AS body FROM part"),
     # caches
     Query("cache_entries", lambda s, d: wide_entries(s, d).select("key", "package", F.size("findings").alias("n")), f"{SEQUENCED.split(', once AS')[0]} SELECT sha256(package) AS key, package, CAST(CASE WHEN package LIKE 'src1%' THEN (SELECT count(*) FROM findings f WHERE f.package = p.package) ELSE 0 END AS INTEGER) AS n FROM (SELECT DISTINCT package FROM docs) p"),
     Query("analyzer_keys", lambda s, d: table(s, d, "part").select("p_partkey", incremental.analyzer_key(*[F.col(c) for c in ("p_name", "p_brand", "p_type", "p_name")], F.lit("types"), F.lit("1"), F.lit("salt"), F.lit("tool")).alias("key")), f"""SELECT p_partkey, {framed('p_name', 'p_brand', 'p_type', 'p_name', "'types'", "'1'", "'salt'", "'tool'")} AS key FROM part"""),

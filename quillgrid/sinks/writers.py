@@ -259,3 +259,8 @@ def verdict_lines(verdict: DataFrame) -> str:
 def quiet(lines: DataFrame) -> DataFrame:
     """A log without third-party noise."""
     return lines.where(~fc.is_noise("value"))
+
+
+def write_facts(facts: DataFrame, path: str, version: int) -> None:
+    """Facts (package, analyzer, object, fact_type, value) with their format's version, a folder for each package."""
+    facts.withColumn("version", F.lit(version)).repartition("package").sortWithinPartitions("package", "analyzer", "object").write.mode("append").partitionBy("package").parquet(path)

@@ -118,3 +118,12 @@ def params(args: list[str]) -> list[str]:
         else:
             out.append(a)
     return out
+
+
+def remote_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, body, output_id) of a remote cache in any store: files named by the digest of what they hold, and of each key a file ``<key>.id`` that names one."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    ids = named.where(F.endswith("name", F.lit(".id"))).select(F.regexp_replace("name", r"\.id$", "").alias("key"), F.trim(F.col("content").cast("string")).alias("output_id"))
+    bodies = named.where(~F.endswith("name", F.lit(".id"))).select(F.col("name").alias("output_id"), F.col("content").alias("body"))
+    return ids.join(bodies, "output_id").select("key", "body", "output_id")
