@@ -123,10 +123,14 @@ def set_digest(df: DataFrame, by: tuple[str, ...], *parts: str) -> DataFrame:
     return shards.groupBy(*by).agg(F.sha2(F.array_join(in_order, ""), 256).alias("digest"), F.sum("n").alias("n"))
 
 
+def reference_sets(references: DataFrame) -> DataFrame:
+    """(decl, key): the digest of each declaration's set of references (decl, ref; ref null for none)."""
+    return references.groupBy("decl").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("ref")), "\u0000"), 256).alias("key"))
+
+
 def equivalence_classes(references: DataFrame) -> DataFrame:
-    """Declarations (decl, ref; ref null for none) with the same set of references are one class, named by its first."""
-    sets = references.groupBy("decl").agg(F.array_join(F.array_sort(F.collect_set("ref")), "\u0000").alias("refs"))
-    return sets.groupBy("refs").agg(F.min("decl").alias("class"), F.count("*").alias("n"), F.array_sort(F.collect_list("decl")).alias("decls")).drop("refs")
+    """(class, n): declarations with the same set of references are one class, named by its first; members are told by reference_sets."""
+    return reference_sets(references).groupBy("key").agg(F.min("decl").alias("class"), F.count("*").alias("n")).select("class", "n")
 
 
 def inverted_index(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ rounds as the longest path. Rounds cut their lineage with checkpoint().
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,15 +57,31 @@ def reverse_closure(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
     return forward_closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes)
 
 
+class Seen:
+    """What a walk has found, round by round: each round's rows stay where they were written, and are put together again only now and then."""
+
+    def __init__(self, first: DataFrame, parts: int = 12):
+        self.parts, self.most = [first], parts
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.union, self.parts)
+
+    def add(self, more: DataFrame) -> None:
+        self.parts.append(more)
+        if len(self.parts) > self.most:
+            self.parts = [self.all().checkpoint()]
+
+
 def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node) reachable from the roots (node), roots included: a frontier walk, for few roots."""
     ready(edges.sparkSession)
-    seen = frontier = roots.select("node").distinct().checkpoint()
+    frontier = roots.select("node").distinct().checkpoint()
+    seen = Seen(frontier)
     while not frontier.isEmpty():
         step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").checkpoint()
-        seen = seen.union(frontier).checkpoint()
-    return seen
+        frontier = step.join(seen.all(), "node", "left_anti").checkpoint()
+        seen.add(frontier)
+    return seen.all()
 
 
 def closure_minus_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -223,10 +240,10 @@ def reachable_symbols(edges: DataFrame, exported: DataFrame, imported: DataFrame
     of = lambda df, c: df.join(circles.select(F.col("node").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
     short = of(of(edges.select("src", "dst"), "src"), "dst").where("src <> dst").distinct().checkpoint()
     front = of(exported.select(F.col("node").alias("decl"), "node"), "node").select("decl", "node").distinct().checkpoint()
-    seen = front
+    seen = Seen(front)
     while not front.isEmpty():
         step = front.join(short.select(F.col("src").alias("node"), "dst"), "node").select("decl", F.col("dst").alias("node")).distinct()
-        front = step.join(seen, ["decl", "node"], "left_anti").checkpoint()
-        seen = seen.union(front).checkpoint()
+        front = step.join(seen.all(), ["decl", "node"], "left_anti").checkpoint()
+        seen.add(front)
     outside = of(imported.select(F.col("node").alias("symbol"), "node"), "node")
-    return seen.join(outside, "node").where("decl <> symbol").select("decl", "symbol")
+    return seen.all().join(outside, "node").where("decl <> symbol").select("decl", "symbol")

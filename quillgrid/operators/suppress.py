@@ -253,9 +253,19 @@ def may_hold(filter_: bytes, value: Column, bits: int, hashes: int) -> Column:
     return F.forall(bloom_places(value, bits, hashes), is_set)
 
 
+#: Rules of a table at most.
+RULE_TABLE = 10_000
+
+
 def without_rule_hits(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules kept as a table (RULE schema) instead of configuration: the findings that none of them hits."""
+    """Rules kept as a table (RULE schema) instead of configuration: the findings that none of them hits.
+
+    Patterns have no key to join by, so each finding is held against each rule: a table of more than RULE_TABLE rules is
+    an error, and a smaller one is sent to all tasks.
+    """
     r = rules.where("coalesce(source, '') = ''")
+    if (n := r.limit(RULE_TABLE + 1).count()) > RULE_TABLE:
+        raise ValueError(f"more than {RULE_TABLE} rules: {n}")
     given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     conditions = [
         (F.size("linters") == 0) | F.array_contains("linters", F.col("linter")) | F.array_contains("linters", fc.family()),
@@ -264,7 +274,7 @@ def without_rule_hits(findings: DataFrame, rules: DataFrame) -> DataFrame:
         ~given("text") | F.expr("message rlike text"),
         (F.size("linters") > 0) | given("path") | given("path_except") | given("text"),
     ]
-    return findings.join(r.select("linters", "path", "path_except", "text"), reduce(lambda a, b: a & b, conditions), "left_anti")
+    return findings.join(F.broadcast(r.select("linters", "path", "path_except", "text")), reduce(lambda a, b: a & b, conditions), "left_anti")
 
 
 def numbered(findings: DataFrame, *order: str) -> DataFrame:
