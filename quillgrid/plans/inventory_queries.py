@@ -57,7 +57,7 @@ def listed(s, d):
 
 
 def objects(s, d):
-    return table(s, d, "lineitem").select((F.col("l_partkey") % 50).cast("string").alias("file"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 5).cast("string").alias("name"), (F.col("l_returnflag") == "R").alias("used"), (F.col("l_linestatus") == "F").alias("is_type_param"), "l_orderkey")
+    return table(s, d, "lineitem").select(F.col("l_partkey").cast("string").alias("file"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 5).cast("string").alias("name"), (F.col("l_returnflag") == "R").alias("used"), (F.col("l_linestatus") == "F").alias("is_type_param"), "l_orderkey")
 
 
 def parts_graph(s, d):
@@ -162,7 +162,7 @@ QUERIES = [
     Query("text_places", lambda s, d: documents(s, d).where("text is not null").select("file", fc.place_of("text", F.octet_length(F.left("text", F.floor(F.char_length("text") / 2).cast("int")))).alias("p")).select("file", "p.line", "p.column"), f"WITH {DOCS}, h AS (SELECT file, left(text, length(text) // 2) AS head FROM docs WHERE text IS NOT NULL) SELECT file, CAST(length(head) - length(replace(head, chr(10), '')) + 1 AS INTEGER) AS line, CAST(strlen(string_split(head, chr(10))[-1]) + 1 AS INTEGER) AS \"column\" FROM h"),
     # joins
     Query("dependency_overrides", lambda s, d: joins.dependency_overrides(graph.forward_closure(package_edges(s, d)).withColumn("key", F.md5("node")), package_edges(s, d).where("dst = 'src0/en'").select(F.md5("src").alias("key"), F.concat(F.lit("facts of "), "src").alias("facts"))).select("root", "node", "facts"), f"WITH {DOCS}, {PACKAGES}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), c AS (SELECT package AS root, dep AS node FROM below UNION SELECT node, node FROM n) SELECT root, node, CASE WHEN node IN (SELECT src FROM edges WHERE dst = 'src0/en') THEN 'facts of ' || node END AS facts FROM c"),
-    Query("unused_objects", lambda s, d: joins.unused_objects(objects(s, d)).select("file", "line", "name", "l_orderkey"), "WITH o AS (SELECT CAST(l_partkey % 50 AS VARCHAR) AS file, l_linenumber AS line, CAST(l_suppkey % 5 AS VARCHAR) AS name, l_returnflag = 'R' AS used, l_linestatus = 'F' AS tp, l_orderkey FROM lineitem) SELECT file, line, name, l_orderkey FROM o WHERE NOT used AND NOT tp AND NOT EXISTS (SELECT 1 FROM o u WHERE u.used AND u.file = o.file AND u.line = o.line AND u.name = o.name)"),
+    Query("unused_objects", lambda s, d: joins.unused_objects(objects(s, d)).select("file", "line", "name", "l_orderkey"), "WITH o AS (SELECT CAST(l_partkey AS VARCHAR) AS file, l_linenumber AS line, CAST(l_suppkey % 5 AS VARCHAR) AS name, l_returnflag = 'R' AS used, l_linestatus = 'F' AS tp, l_orderkey FROM lineitem) SELECT file, line, name, l_orderkey FROM o WHERE NOT used AND NOT tp AND NOT EXISTS (SELECT 1 FROM o u WHERE u.used AND u.file = o.file AND u.line = o.line AND u.name = o.name)"),
     Query("routed_facts", lambda s, d: joins.routed_facts(turns(s, d).withColumn("kind", F.when(F.col("src").rlike("[02468]$"), "embed").otherwise("dep")), turns(s, d).select(F.col("dst").alias("package"), F.concat(F.lit("f"), "dst").alias("facts"))), f"WITH {TURNS}, k AS (SELECT *, CASE WHEN regexp_matches(src, '[02468]$') THEN 'embed' ELSE 'dep' END AS kind FROM turns), own AS (SELECT DISTINCT src, dst AS package, 'f' || dst AS facts FROM k WHERE kind = 'dep') SELECT * FROM own UNION SELECT k.src, own.package, own.facts FROM k JOIN own ON own.src = k.dst WHERE kind = 'embed'"),
     # aggregates
     Query("cascade_projection", lambda s, d: table(s, d, "part").select("p_partkey", aggregates.cascade(F.col("p_size").cast("long"), F.col("p_partkey").cast("long"), 20_000).alias("c")).select("p_partkey", "c.projected", "c.exceeds"), "SELECT p_partkey, CAST(p_size AS BIGINT) * p_partkey AS projected, CAST(p_size AS BIGINT) * p_partkey > 20000 AS exceeds FROM part"),
