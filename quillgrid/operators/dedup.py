@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -60,29 +62,19 @@ def numbered_names(df: DataFrame, name: str = "name", order: str = "seq", by: tu
 
 
 def unique_names(names: list[str]) -> list[str]:
-    """In order of appearance."""
-    used: dict[str, int] = {}
-
-    def repetition(text: str) -> tuple[str, int] | None:
-        """What a name would be a repetition of, and the which."""
-        head, mark, digits = text.rpartition("#")
-        if not mark or not re.fullmatch(r"\d{2}|[1-9]\d{2,}", digits) or (digits == "00" and head):
-            return None
-        return head, int(digits)
-
-    out = []
-    for base in names:
+    """In order of appearance: of what a name is offered, itself first (an empty one isn't), then with its numbers, the first that is free."""
+    spent: Counter = Counter()  # of each name, how many offers are used up; a name that was given out has one at least
+
+    def offers(name: str) -> Iterator[str]:
         while True:
-            n = used.get(base, 0)
-            used[base] = n + 1
-            if n == 0 and base:
-                of = repetition(base)
-                if of and of[1] < used.get(of[0], 0):
-                    continue
-                out.append(base)
-                break
-            name = f"{base}#{n:02d}"
-            if not used.get(name):
-                out.append(name)
-                break
-    return out
+            k, spent[name] = spent[name], spent[name] + 1
+            yield f"{name}#{k:02d}" if k or not name else name
+
+    def is_free(offer: str, name: str) -> bool:
+        if offer != name:
+            return not spent[offer]
+        head, mark, digits = name.rpartition("#")  # a name that looks like a number of another one is free if that number wasn't reached
+        number = bool(mark) and re.fullmatch(r"\d{2}|[1-9]\d{2,}", digits) is not None and (digits != "00" or not head)
+        return not number or int(digits) >= spent[head]
+
+    return [next(o for o in offers(n) if is_free(o, n)) for n in names]

@@ -33,6 +33,17 @@ HTTP_METHODS = {"GET": "http.MethodGet", "HEAD": "http.MethodHead", "POST": "htt
 #: Words that are often misspelled; more can be given.
 MISSPELLED = {"recieve": "receive", "seperate": "separate", "occured": "occurred", "langauge": "language", "teh": "the", "adress": "address", "definately": "definitely", "enviroment": "environment", "existance": "existence", "neccessary": "necessary", "occurence": "occurrence", "paramater": "parameter", "refered": "referred", "succesful": "successful", "sucess": "success", "transfered": "transferred", "untill": "until", "wich": "which", "beggining": "beginning", "lenght": "length"}
 
+#: Messages that exclusion patterns are written against.
+MESSAGES = {
+    "init": "init function",
+    "blanks": "declaration has {} blank identifiers",
+    "leading": "unnecessary leading newline",
+    "trailing": "unnecessary trailing newline",
+    "malformed": "nolintlint: directive is malformed; expected `//nolint:<linter>[,<linter>]* [// explanation]`",
+    "unspecific": "nolintlint: directive must name at least one specific linter (e.g. `//nolint:errcheck`)",
+    "unexplained": "nolintlint: directive {} must have an explanation (e.g. `// explain why`)",
+}
+
 here = lambda t: (t.line, t.column)
 
 
@@ -58,7 +69,7 @@ def is_test(f: Function) -> bool:
 def gochecknoinits(s: Source) -> Iterator[Hit]:
     for f in s.functions:
         if f.name == "init" and not f.receiver:
-            yield *here(s.tokens[f.at]), "init function"
+            yield *here(s.tokens[f.at]), MESSAGES["init"]
 
 
 def gochecknoglobals(s: Source) -> Iterator[Hit]:
@@ -419,7 +430,7 @@ def dogsled(s: Source, max_blank_identifiers: int = 2) -> Iterator[Hit]:
             k = next((k for k in range(i, j + 1) if s.tokens[k].text in ("=", ":=")), None)
             n = sum(text_of(p) == "_" for p in fields(s.tokens[i:k])) if k is not None else 0
             if n > max_blank_identifiers:
-                yield *here(s.tokens[i]), f"declaration has {n} blank identifiers"
+                yield *here(s.tokens[i]), MESSAGES["blanks"].format(n)
 
 
 def copyloopvar(s: Source) -> Iterator[Hit]:
@@ -618,12 +629,13 @@ def nolintlint(s: Source, require_specific: bool = False, require_explanation: b
         listed = head[1:].strip()
         names = [] if listed.lower() == "all" else [x.strip().lower() for x in listed.split(",")] if listed else []
         if head and (not listed or "" in names):
-            yield *here(c), "nolintlint: directive is malformed; expected `//nolint:<linter>[,<linter>]* [// explanation]`"
+            yield *here(c), MESSAGES["malformed"]
             continue
         if require_specific and not names:
-            yield *here(c), "nolintlint: directive must name at least one specific linter (e.g. `//nolint:errcheck`)"
+            yield *here(c), MESSAGES["unspecific"]
         if require_explanation and not why.strip() and not (names and allow_no_explanation and set(names) <= set(allow_no_explanation)):
-            yield *here(c), f'nolintlint: directive "//nolint{":" if names else ""}{",".join(names)}" must have an explanation (e.g. `// explain why`)'
+            told = "//nolint" + (":" + ",".join(names) if names else "")
+            yield *here(c), MESSAGES["unexplained"].format(f'"{told}"')
 
 
 def whitespace(s: Source) -> Iterator[Hit]:
@@ -636,9 +648,9 @@ def whitespace(s: Source) -> Iterator[Hit]:
             if top.line < c.line and c.end_line < bottom.line:
                 first, last = min(first, c.line), max(last, c.end_line)
         if top.line + 1 < first:
-            yield top.line, top.column + 1, "unnecessary leading newline"
+            yield top.line, top.column + 1, MESSAGES["leading"]
         if bottom.line - 1 > last:
-            yield *here(bottom), "unnecessary trailing newline"
+            yield *here(bottom), MESSAGES["trailing"]
 
 
 def tracecheck(s: Source, pattern: str = r"\w+\.Start(Span)?") -> Iterator[Hit]:
