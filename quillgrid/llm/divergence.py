@@ -4,9 +4,12 @@ Each document's histogram of character classes, and its histogram of common word
 every language by the Jensen-Shannon distance (base 2, square root, 0 to 1); the nearest language counts. References
 are counted over all documents that have a language, as sums that don't depend on the partitioning: for each
 character class how many documents have which share of it (in STEPS steps of the share's root), of which the median
-is the reference, so that a minority of odd documents doesn't bend it; and the words of each of BUCKETS hash buckets
-(of lower-cased words), of which the buckets with at least COMMON of a language's words are its common words and the
-rest is one more cell.
+is the reference, so that a minority of odd documents doesn't bend it; and the common words, those that make at least
+COMMON of a language's words (lower-cased, without marks at their ends), of which each is a cell and the rest is one more.
+
+A task hands on the words that make at least SEEN of those it has counted for a language since it last did so; a rarer
+one counts among the rest there. So the share of a common word is at most SEEN too low, and what is counted, shuffled
+and sent to the driver has a bound of 1 / SEEN words for each language and task, and 1 / COMMON for each language.
 
 A document with too few characters or words to have a shape is not judged by that histogram (minimum-length guards),
 and the thresholds give way by a slack over sqrt(n) for short ones.
@@ -18,7 +21,6 @@ for no reference but are judged. Without any reference the base rule alone decid
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -31,17 +33,18 @@ from pyspark.sql import functions as F
 from .common import SLICE, ensure_checkpoint_dir, fresh_name, struct_udf, with_struct, words_of
 
 CLASSES = ("lower", "upper", "digit", "space", "line end", "sentence mark", "quote or bracket", "exclamation mark", "symbol", "beyond ASCII lower", "beyond ASCII other")
-BUCKETS = 1 << 15
 STEPS = 250
 CELLS = len(CLASSES) * (STEPS + 1)
-#: Share of a language's words from which a bucket is common.
-COMMON = 0.002
+#: Share of a language's words from which a word is common, and from which a task tells it.
+COMMON, SEEN = 0.002, 0.0001
+#: Distinct words of a language that a task counts before it hands them on.
+DISTINCT = 50_000
+MARKS = ".,;:!?"
 #: Languages whose counts a task holds at once; with more it hands them on.
 HELD = 100
 MIN_CHARS, MIN_WORDS = 40, 30
 CHAR_LIMIT, WORD_LIMIT, CHAR_SLACK, WORD_SLACK = 0.12, 0.42, 2.0, 0.5
 WINDOW = 5
-MEMO = 250_000
 
 
 def class_table() -> np.ndarray:
@@ -64,26 +67,6 @@ def class_counts(text: str) -> np.ndarray:
     return np.bincount(TABLE[np.minimum(codes, len(TABLE) - 1)], minlength=len(CLASSES))
 
 
-class Buckets:
-    """The bucket of a lower-cased word."""
-
-    def __init__(self):
-        self.memo: dict[str, int] = {}
-
-    def __call__(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, ids = self.memo, []
-        for k in counts:
-            i = memo.get(k)
-            if i is None:
-                i = zlib.crc32(k.strip(".,;:!?").encode("utf-8", "surrogatepass")) % BUCKETS
-                if len(k) < 100:
-                    memo[k] = i
-            ids.append(i)
-        return np.array(ids, int), np.fromiter(counts.values(), float, len(counts))
-
-
 def repeat_words(words: list[str], window: int = WINDOW) -> int:
     """Words in windows that occur twice or more in the text, the first included. Exact: windows are ranked, not hashed."""
     n = len(words) - window + 1
@@ -116,7 +99,7 @@ def repeat_words(words: list[str], window: int = WINDOW) -> int:
 class References:
     languages: list[str]
     chars: np.ndarray  # languages x classes, shares
-    cells: np.ndarray  # bucket -> cell, the last cell for what isn't common
+    cells: dict[str, int]  # common word -> cell; the last cell is for the rest
     words: np.ndarray  # languages x cells, shares
 
 
@@ -126,40 +109,52 @@ def step_cells(text: str) -> np.ndarray:
     return np.arange(len(CLASSES)) * (STEPS + 1) + np.round(np.sqrt(c / max(1, c.sum())) * STEPS).astype(int)
 
 
-def references_of(languages: list[str], steps: np.ndarray, buckets: np.ndarray) -> References:
-    """steps: languages x (classes x (STEPS + 1)) documents; buckets: languages x BUCKETS words."""
-    shares = lambda x: x / np.maximum(1e-12, x.sum(1, keepdims=True))
-    sums = np.cumsum(steps.reshape(len(languages), len(CLASSES), STEPS + 1), axis=2)
-    chars = ((sums < (sums[:, :, -1:] + 1) // 2).sum(2) / STEPS) ** 2
-    common = np.flatnonzero((shares(buckets) >= COMMON).any(0)) if len(languages) else np.array([], int)
-    cells = np.full(BUCKETS, len(common), int)
-    cells[common] = np.arange(len(common))
-    words = np.concatenate([buckets[:, common], (buckets.sum(1) - buckets[:, common].sum(1))[:, None]], 1)
-    return References(languages, shares(chars), cells, shares(words))
+def medians(steps: np.ndarray) -> np.ndarray:
+    """Shares of the classes from a table of documents by class and step."""
+    sums = np.cumsum(steps.reshape(len(CLASSES), STEPS + 1), axis=1)
+    shares = ((sums < (sums[:, -1:] + 1) // 2).sum(1) / STEPS) ** 2
+    return shares / max(1e-12, shares.sum())
+
+
+def references_of(chars: dict[str, np.ndarray], totals: dict[str, int], counts: list[tuple[str, str, int]]) -> References:
+    """Of each language its class shares and its words in all, and (language, word, number) of words that are common in some language."""
+    languages = sorted(chars)
+    place = {x: i for i, x in enumerate(languages)}
+    cells = {w: i for i, w in enumerate(sorted({w for _, w, _ in counts}))}
+    words = np.zeros((len(languages), len(cells) + 1))
+    for x, w, n in counts:
+        words[place[x], cells[w]] = n / totals[x]
+    words[:, -1] = np.maximum(0, 1 - words[:, :-1].sum(1))
+    return References(languages, np.array([chars[x] for x in languages]).reshape(len(languages), len(CLASSES)), cells, words)
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> References:
-    """Counts over all documents and labels; the driver gets of each label its class medians and its words of common buckets."""
+    """Counts over all documents and labels; the driver gets of each label its class medians and the numbers of common words."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars = defaultdict(lambda: np.zeros(CELLS, np.int64))
-        words, counters, find = defaultdict(lambda: np.zeros(BUCKETS, np.int64)), defaultdict(Counter), Buckets()
+        counters: dict[str, Counter] = defaultdict(Counter)
+
+        def told(x: str, words: list, cells: list, n: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"lang": pa.array([x] * len(n), pa.string()), "word": pa.array(words, pa.string()), "cell": pa.array(cells, pa.int32()), "n": pa.array(n, pa.int64())})
 
-        def flush(x: str) -> None:
-            ids, n = find(counters.pop(x))
-            words[x] += np.bincount(ids, n, BUCKETS).astype(np.int64)
+        def words_told(x: str) -> pa.RecordBatch:
+            stripped: Counter = Counter()
+            for w, n in counters.pop(x).items():
+                stripped[w.strip(MARKS)] += n
+            total = stripped.total()
+            often = [(w, n) for w, n in stripped.items() if w and n >= SEEN * total]
+            return told(x, ["", *(w for w, _ in often)], [None] * (len(often) + 1), [total, *(n for _, n in often)])  # "" is all words
 
         def handed() -> Iterator[pa.RecordBatch]:
             for x in list(counters):
-                flush(x)
-            for x in chars:
-                at, steps = np.flatnonzero(words[x]), np.flatnonzero(chars[x])
-                cell = np.concatenate([-1 - steps, at]).astype(np.int32)
-                n = np.concatenate([chars[x][steps], words[x][at]])
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([x] * len(cell), pa.string()), "cell": pa.array(cell), "n": pa.array(n)})
+                yield words_told(x)
+            for x, steps in chars.items():
+                at = np.flatnonzero(steps)
+                yield told(x, [None] * len(at), at.tolist(), steps[at].tolist())
             chars.clear()
-            words.clear()
 
         for whole in batches:
             for k in range(0, whole.num_rows, SLICE):
@@ -170,49 +165,25 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
                     chars[x][step_cells(t)] += 1
                     c = counters[x]
                     c.update(words_of(t.lower()))
-                    if len(c) > 50_000:
-                        flush(x)
+                    if len(c) > DISTINCT:
+                        yield words_told(x)
         yield from handed()
 
-    def dense(r: dict) -> tuple[np.ndarray, np.ndarray]:
-        cell, n = np.array(r["cells"]), np.array(r["ns"])
-        steps, buckets = np.zeros((1, CELLS)), np.zeros((1, BUCKETS))
-        steps[0, -1 - cell[cell < 0]] = n[cell < 0]
-        buckets[0, cell[cell >= 0]] = n[cell >= 0]
-        return steps, buckets
-
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                r = b.slice(k, 1).to_pylist()[0]
-                one = references_of([r["lang"]], *dense(r))
-                common = np.flatnonzero(one.cells < one.words.shape[1] - 1)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([r["lang"]]), "chars": pa.array([one.chars[0].tolist()]), "common": pa.array([common.astype(np.int32).tolist()], pa.list_(pa.int32()))})
-
-    sums = rows.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    ensure_checkpoint_dir(docs.sparkSession)
-    packed = sums.groupBy("lang").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns")).checkpoint()
-    shape = sorted(packed.mapInArrow(shapes, "lang string, chars array<double>, common array<int>").collect(), key=lambda r: r["lang"])
-    if not shape:
-        return references_of([], np.zeros((0, CELLS)), np.zeros((0, BUCKETS)))
-    common = np.unique(np.concatenate([np.array(r["common"], int) for r in shape]))
-
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                r = b.slice(k, 1).to_pylist()[0]
-                n = dense(r)[1][0]
-                row = np.append(n[common], n.sum() - n[common].sum()) / max(1e-12, n.sum())
-                at = np.flatnonzero(row)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([r["lang"]]), "cells": pa.array([at.astype(np.int32).tolist()], pa.list_(pa.int32())), "shares": pa.array([row[at].tolist()], pa.list_(pa.float64()))})
-
-    names = [r["lang"] for r in shape]
-    place = {x: i for i, x in enumerate(names)}
-    cells, words = np.full(BUCKETS, len(common), int), np.zeros((len(names), len(common) + 1))
-    cells[common] = np.arange(len(common))
-    for r in packed.mapInArrow(shares, "lang string, cells array<int>, shares array<double>").collect():
-        words[place[r["lang"]], np.array(r["cells"], int)] = r["shares"]
-    return References(names, np.array([r["chars"] for r in shape]), cells, words)
+            for r in b.to_pylist():
+                steps = np.zeros(CELLS)
+                steps[r["cells"]] = r["ns"]
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([r["lang"]], pa.string()), "chars": pa.array([medians(steps).tolist()])})
+
+    ensure_checkpoint_dir(spark)
+    sums = rows.mapInArrow(run, "lang string, word string, cell int, n long").groupBy("lang", "word", "cell").agg(F.sum("n").alias("n")).checkpoint()
+    packed = sums.where("cell is not null").groupBy("lang").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns"))  # CELLS entries at most
+    chars = {r["lang"]: np.array(r["chars"]) for r in packed.mapInArrow(shapes, "lang string, chars array<double>").collect()}
+    totals = sums.where("word = ''").select("lang", F.col("n").alias("total"))
+    common = sums.where("word <> ''").join(totals, "lang").where(F.col("n") >= COMMON * F.col("total")).select("word").distinct()
+    counts = [tuple(r) for r in sums.join(common, "word").select("lang", "word", "n").collect()]  # 1 / COMMON words for each label at most, and their numbers in other labels
+    return references_of(chars, {r["lang"]: r["total"] for r in totals.collect()}, counts)
 
 
 def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -226,7 +197,7 @@ def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 class Rules:
     def __init__(self, r: References):
-        self.r, self.find = r, Buckets()
+        self.r = r
 
     def __call__(self, text: str | None) -> tuple:
         text = text or ""
@@ -240,8 +211,9 @@ class Rules:
             c = class_counts(text)
             char_js = float(distances(c / c.sum(), self.r.chars).min())
         if n >= MIN_WORDS and self.r.languages:
-            ids, k = self.find(Counter(words_of(text.lower())))
-            c = np.bincount(self.r.cells[ids], k, self.r.words.shape[1])
+            counts, rest = Counter(words_of(text.lower())), len(self.r.cells)
+            find = self.r.cells.get
+            c = np.bincount([find(w.strip(MARKS), rest) for w in counts], list(counts.values()), rest + 1)
             word_js = float(distances(c / c.sum(), self.r.words).min())
         kept = not failed and (char_js is None or char_js <= CHAR_LIMIT + CHAR_SLACK / np.sqrt(len(text))) and (word_js is None or word_js <= WORD_LIMIT + WORD_SLACK / np.sqrt(n))
         return n, sum(map(len, words)), len(symbols_of(text)), len(lines) - len(set(lines)), repeats, failed, bool(kept), char_js, word_js
