@@ -11,11 +11,13 @@ the signatures have a run of RUN characters in common.
 The query's edited text needs the next document by id. Ids are cut into ranges at quantiles of the id alone, each
 range's first document is also sent to the range before it, and one sorted pass over each range holds one document
 back. So each text is shuffled once; a range is sorted with spilling and read as a stream, so that a task's memory
-doesn't grow with it. MOST_RANGES bounds what the driver knows of the ranges, two numbers for each; from
+doesn't grow with it. An id that so many rows carry that it is several quantiles is cut into as many ranges by a hash of
+the text. MOST_RANGES bounds what the driver knows of the ranges, two numbers for each; from
 MOST_RANGES * RANGE documents on ranges grow.
 
 Defined results: a null text counts as empty, an empty text's fingerprint is ``1::``; two empty fingerprints have
-likeness 1, an empty and another one 0. Ids are numbers; others are an error. Rows of equal id are ordered by text; a null id comes first. A lone document
+likeness 1, an empty and another one 0. Ids are numbers; others are an error. Rows of equal id are
+ordered by a hash of the text, then by the text; a null id comes first. A lone document
 is its own next one.
 """
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,21 +146,34 @@ def compared(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per_ra
     if not n:
         return docs.sparkSession.createDataFrame([], SCHEMA.format(kind=kind))
     parts = max(1, min(MOST_RANGES, -(-n // per_range)))
-    cuts = sorted(set(rows.approxQuantile("id", [i / parts for i in range(1, parts)], min(0.5, 0.2 / parts)))) if parts > 1 else []
-    placed = rows
+    quantiles = rows.approxQuantile("id", [i / parts for i in range(1, parts)], min(0.5, 0.2 / parts)) if parts > 1 else []
+    copies, cuts = Counter(quantiles), sorted(set(quantiles))
+    near = rows.select("*", F.coalesce(F.col("id").cast("double"), F.lit(-float("inf"))).alias("at"), F.xxhash64("text").alias("h"))
+    often = {v for v, k in copies.items() if k > 1}
+    if often:  # of large ids several can be one double: such are not one id
+        told = near.where(F.col("at").isin(*often)).groupBy("at").agg(F.min("id").alias("low"), F.max("id").alias("high")).collect()
+        often = {r["at"] for r in told if r["low"] == r["high"]}
+    # the k-th bucket begins at the k-th cut; its rows of just that id are `copies` ranges, the last of them with all other rows
+    shares = [1, *(copies[v] if v in often else 1 for v in cuts), 1]
+    table = [(k, None if k in (0, len(cuts) + 1) else cuts[k - 1], m, sum(shares[:k])) for k, m in enumerate(shares)]
+    buckets = docs.sparkSession.createDataFrame(table, "bucket int, cut double, shares int, offset int")
     if cuts:
-        cutter = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="at", outputCol="part", handleInvalid="keep")
-        placed = cutter.transform(rows.withColumn("at", F.coalesce(F.col("id").cast("double"), F.lit(-float("inf"))))).drop("at")
-    placed = placed.withColumn("part", F.col("part").cast("int") if cuts else F.lit(0))
-    firsts = sorted(placed.groupBy("part").agg(F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("null")).collect(), key=lambda r: r["part"])
-    before = {firsts[i]["part"]: firsts[i - 1]["part"] for i in range(len(firsts))}  # the first range comes after the last
-    lead = {r["part"]: None if r["null"] else r["id"] for r in firsts}
-    marks = docs.sparkSession.createDataFrame([(p, lead[p], before[p]) for p in lead], f"part int, lead {kind}, before int")
-    placed = placed.join(F.broadcast(marks), "part")  # MOST_RANGES rows and one at most
-    is_lead, into = F.col("id").eqNullSafe(F.col("lead")), F.col("before")
+        cutter = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="at", outputCol="bucket", handleInvalid="keep")
+        near = cutter.transform(near).withColumn("bucket", F.col("bucket").cast("int"))
+    else:
+        near = near.withColumn("bucket", F.lit(0))
+    span = F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("shares")).cast("int"), F.col("shares") - 1)
+    part = F.col("offset") + F.when(F.col("at") == F.col("cut"), span).otherwise(F.col("shares") - 1)
+    placed = near.join(F.broadcast(buckets), "bucket").select("id", "text", "h", part.alias("part"))  # MOST_RANGES rows and two at most
+    order = F.struct(F.col("id").isNotNull().alias("known"), "id", "h")
+    firsts = sorted(placed.groupBy("part").agg(F.min(order).alias("first")).collect(), key=lambda r: r["part"])
+    leads = [(r["part"], r["first"]["id"], r["first"]["h"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)]  # the first range comes after the last
+    marks = docs.sparkSession.createDataFrame(leads, f"part int, lead {kind}, lead_h long, before int")
+    placed = placed.join(F.broadcast(marks), "part")  # as many at most
+    is_lead, into = F.col("id").eqNullSafe(F.col("lead")) & (F.col("h") == F.col("lead_h")), F.col("before")
     own = F.struct(F.col("part").alias("part"), F.lit(0).alias("extra"))
-    sent = placed.select("id", "text", F.explode(F.when(is_lead, F.array(own, F.struct(into.cast("int").alias("part"), F.lit(1).alias("extra")))).otherwise(F.array(own))).alias("to"))
-    dealt = sent.select("to.part", "to.extra", "id", "text").repartitionById(len(cuts) + 2, "part").sortWithinPartitions("part", "extra", F.col("id").asc_nulls_first(), "text")
+    sent = placed.select("id", "text", "h", F.explode(F.when(is_lead, F.array(own, F.struct(into.cast("int").alias("part"), F.lit(1).alias("extra")))).otherwise(F.array(own))).alias("to"))
+    dealt = sent.select("to.part", "to.extra", "id", "text", "h").repartitionById(sum(shares), "part").sortWithinPartitions("part", "extra", F.col("id").asc_nulls_first(), "h", "text").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (part, id, text, fingerprint) of the document whose next one isn't known yet

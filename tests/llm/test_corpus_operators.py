@@ -132,6 +132,25 @@ def test_next_of_few_and_repeated(spark):
     assert piecewise.compared(make((1, "a"), (1, "a"), (1, "b"), (2, "c")), per_range=1).count() == 4
 
 
+def test_one_id_of_many_rows(spark):
+    """Half of the rows carry one id: they lie in several ranges, and each row's next one is still the next of a single order."""
+    from pyspark.sql import functions as F
+
+    from quillgrid.llm import piecewise
+
+    rows = [(7 if i % 2 else i, f"text {i} " * (i % 4 + 1)) for i in range(400)] + [(7, "again"), (7, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ordered = [tuple(r) for r in docs.withColumn("h", F.xxhash64("text")).orderBy("doc_id", "h", "text").select("doc_id", "text").collect()]
+    want = sorted((i, hashlib.sha256(piecewise.edited(t, ordered[(k + 1) % len(ordered)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(ordered))
+    out = piecewise.compared(docs, per_range=20)
+    assert sorted((r["doc_id"], r["edited_sha256"]) for r in out.collect()) == want
+    spread = out.withColumn("place", F.spark_partition_id()).where("doc_id = 7").groupBy("place").count().collect()
+    assert len(spread) > 5 and max(r["count"] for r in spread) < 80
+    big = [(2**60 + i, f"t{i} " * 9) for i in range(60)]  # one double
+    got = {r["doc_id"]: r["edited_sha256"] for r in piecewise.compared(spark.createDataFrame(big, "doc_id long, text string"), per_range=5).collect()}
+    assert got == {i: hashlib.sha256(piecewise.edited(t, big[(k + 1) % 60][1]).encode()).hexdigest() for k, (i, t) in enumerate(big)}
+
+
 def test_ids_of_other_kinds(spark):
     from quillgrid.llm import piecewise
 
