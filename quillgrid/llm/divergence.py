@@ -7,9 +7,11 @@ character class how many documents have which share of it (in STEPS steps of the
 is the reference, so that a minority of odd documents doesn't bend it; and the common words, those that make at least
 COMMON of a language's words (lower-cased, without marks at their ends), of which each is a cell and the rest is one more.
 
-A task hands on the words that make at least SEEN of those it has counted for a language since it last did so; a rarer
-one counts among the rest there. So the share of a common word is at most SEEN too low, and what is counted, shuffled
-and sent to the driver has a bound of 1 / SEEN words for each language and task, and 1 / COMMON for each language.
+Words are counted in two passes. In the first, a task hands on the words that make at least SEEN of those it has counted
+for a language since it last did so, which finds all words that may be common: the share of one is at most SEEN too low.
+In the second, these are counted again, all of them, so that the references don't depend on how rows are dealt. What is
+shuffled has a bound of 1 / SEEN words for each language and task, what the driver gets one of 1 / (COMMON - SEEN) for
+each language.
 
 A document with too few characters or words to have a shape is not judged by that histogram (minimum-length guards),
 and the thresholds give way by a slack over sqrt(n) for short ones.
@@ -133,41 +135,50 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars = defaultdict(lambda: np.zeros(CELLS, np.int64))
-        counters: dict[str, Counter] = defaultdict(Counter)
-
-        def told(x: str, words: list, cells: list, n: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"lang": pa.array([x] * len(n), pa.string()), "word": pa.array(words, pa.string()), "cell": pa.array(cells, pa.int32()), "n": pa.array(n, pa.int64())})
-
-        def words_told(x: str) -> pa.RecordBatch:
-            stripped: Counter = Counter()
-            for w, n in counters.pop(x).items():
-                stripped[w.strip(MARKS)] += n
-            total = stripped.total()
-            often = [(w, n) for w, n in stripped.items() if w and n >= SEEN * total]
-            return told(x, ["", *(w for w, _ in often)], [None] * (len(often) + 1), [total, *(n for _, n in often)])  # "" is all words
-
-        def handed() -> Iterator[pa.RecordBatch]:
-            for x in list(counters):
-                yield words_told(x)
-            for x, steps in chars.items():
-                at = np.flatnonzero(steps)
-                yield told(x, [None] * len(at), at.tolist(), steps[at].tolist())
-            chars.clear()
-
-        for whole in batches:
-            for k in range(0, whole.num_rows, SLICE):
-                b = whole.slice(k, SLICE)
-                if len(chars) > HELD:
-                    yield from handed()
-                for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    chars[x][step_cells(t)] += 1
-                    c = counters[x]
-                    c.update(words_of(t.lower()))
-                    if len(c) > DISTINCT:
-                        yield words_told(x)
-        yield from handed()
+    def told(x: str, words: list, cells: list, n: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"lang": pa.array([x] * len(n), pa.string()), "word": pa.array(words, pa.string()), "cell": pa.array(cells, pa.int32()), "n": pa.array(n, pa.int64())})
+
+    def counts_of(wanted: frozenset[str] | None) -> DataFrame:
+        """(lang, word, cell, n): without wanted words the often seen ones, all words as "", and the steps of the classes; else the wanted ones."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chars = defaultdict(lambda: np.zeros(CELLS, np.int64))
+            counters: dict[str, Counter] = defaultdict(Counter)
+
+            def words_told(x: str) -> pa.RecordBatch:
+                stripped: Counter = Counter()
+                for w, n in counters.pop(x).items():
+                    stripped[w.strip(MARKS)] += n
+                if wanted is not None:
+                    some = [(w, n) for w, n in stripped.items() if w in wanted]
+                else:
+                    total = stripped.total()
+                    some = [("", total), *((w, n) for w, n in stripped.items() if w and n >= SEEN * total)]
+                return told(x, [w for w, _ in some], [None] * len(some), [n for _, n in some])
+
+            def handed() -> Iterator[pa.RecordBatch]:
+                for x in list(counters):
+                    yield words_told(x)
+                for x, steps in chars.items():
+                    at = np.flatnonzero(steps)
+                    yield told(x, [None] * len(at), at.tolist(), steps[at].tolist())
+                chars.clear()
+
+            for whole in batches:
+                for k in range(0, whole.num_rows, SLICE):
+                    b = whole.slice(k, SLICE)
+                    if len(counters) > HELD:
+                        yield from handed()
+                    for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                        if wanted is None:
+                            chars[x][step_cells(t)] += 1
+                        c = counters[x]
+                        c.update(words_of(t.lower()))
+                        if len(c) > DISTINCT:
+                            yield words_told(x)
+            yield from handed()
+
+        return rows.mapInArrow(run, "lang string, word string, cell int, n long").groupBy("lang", "word", "cell").agg(F.sum("n").alias("n"))
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,13 +188,15 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([r["lang"]], pa.string()), "chars": pa.array([medians(steps).tolist()])})
 
     ensure_checkpoint_dir(spark)
-    sums = rows.mapInArrow(run, "lang string, word string, cell int, n long").groupBy("lang", "word", "cell").agg(F.sum("n").alias("n")).checkpoint()
+    sums = counts_of(None).checkpoint()
     packed = sums.where("cell is not null").groupBy("lang").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns"))  # CELLS entries at most
     chars = {r["lang"]: np.array(r["chars"]) for r in packed.mapInArrow(shapes, "lang string, chars array<double>").collect()}
     totals = sums.where("word = ''").select("lang", F.col("n").alias("total"))
-    common = sums.where("word <> ''").join(totals, "lang").where(F.col("n") >= COMMON * F.col("total")).select("word").distinct()
-    counts = [tuple(r) for r in sums.join(common, "word").select("lang", "word", "n").collect()]  # 1 / COMMON words for each label at most, and their numbers in other labels
-    return references_of(chars, {r["lang"]: r["total"] for r in totals.collect()}, counts)
+    total = {r["lang"]: r["total"] for r in totals.collect()}
+    maybe = sums.where("word <> ''").join(totals, "lang").where(F.col("n") >= (COMMON - SEEN) * F.col("total")).select("word").distinct()
+    found = [(r["lang"], r["word"], r["n"]) for r in counts_of(frozenset(r["word"] for r in maybe.collect())).collect()] if total else []
+    common = {w for x, w, n in found if n >= COMMON * total[x]}
+    return references_of(chars, total, [r for r in found if r[1] in common])
 
 
 def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
