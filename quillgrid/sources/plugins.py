@@ -36,7 +36,7 @@ def run(files: DataFrame, argv: list[str], timeout: float = 60.0, most: int = AR
             for some in chunks(batch["file"].tolist(), most):
                 try:
                     p = subprocess.run([*argv, *some], capture_output=True, text=True, timeout=timeout, check=False)
-                    lines, code, error = p.stdout.splitlines(), p.returncode, p.stderr[-2000:]
+                    lines, code, error = p.stdout.splitlines(), p.returncode, p.stderr
                 except subprocess.TimeoutExpired:
                     lines, code, error = [], 124, "timeout"
                 yield pd.DataFrame({"value": [*lines, None], "exit_code": [0] * len(lines) + [code], "error": [None] * len(lines) + [error or None]})
@@ -45,8 +45,8 @@ def run(files: DataFrame, argv: list[str], timeout: float = 60.0, most: int = AR
 
 
 def outcome(output: DataFrame) -> tuple[int, str | None]:
-    """The largest exit code and one error of the program's runs."""
+    """The largest exit code, and of the errors of the program's runs the last in byte order."""
     from pyspark.sql import functions as F
 
-    r = output.agg(F.max("exit_code").alias("code"), F.first("error", ignorenulls=True).alias("error")).first()
+    r = output.agg(F.max("exit_code").alias("code"), F.max("error").alias("error")).first()
     return r["code"] or 0, r["error"]
