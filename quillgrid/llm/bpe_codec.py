@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, fresh_name, struct_udf, with_struct, words_of
+from .common import SLICE, bounded_batches, fresh_name, struct_udf, with_struct, words_of
 from .wordbpe import Generations, Splitter, Vocabulary, load
 
 NONE = 1 << 60
 #: Entries of each generation of a task's memos, of runs and of the pieces in them.
-RUN_MEMO, PIECE_MEMO = 150_000, 80_000
+RUN_MEMO, PIECE_MEMO = 100_000, 120_000
 
 
 def encode_word(word: bytes, v: Vocabulary) -> list[int]:
@@ -141,6 +141,7 @@ def with_digests(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFr
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the ids of each text as an array, and the decoded text if a name is given for it."""
     v = load(path)
+    bounded_batches(docs.sparkSession)
     schema = docs.select("*", F.lit(None).cast("array<int>").alias(ids), *([F.lit(None).cast("string").alias(decoded)] if decoded else [])).schema
     at = docs.columns.index(text)
 

@@ -48,8 +48,20 @@ def struct_udf(setup: Callable[[], Callable], fields: list[tuple[str, str]]) ->
     return F.arrow_udf(run, schema)
 
 
+#: Rows of one Arrow batch between Spark and Python at most: texts may be long, and a batch stands in memory several times.
+BATCH = 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH rows; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def with_struct(df: DataFrame, udf: Callable[..., Column], col: str, name: str) -> DataFrame:
     """``df`` with the struct of ``udf(col)`` as the new column ``name``."""
+    bounded_batches(df.sparkSession)
     return df.withColumn(name, udf(F.col(f"`{col}`")))
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, ensure_checkpoint_dir, fresh_name, struct_udf, with_struct, words_of
+from .common import SLICE, bounded_batches, ensure_checkpoint_dir, fresh_name, struct_udf, with_struct, words_of
 
 CLASSES = ("lower", "upper", "digit", "space", "line end", "sentence mark", "quote or bracket", "exclamation mark", "symbol", "beyond ASCII lower", "beyond ASCII other")
 STEPS = 250
@@ -188,6 +188,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Refer
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([r["lang"]], pa.string()), "chars": pa.array([medians(steps).tolist()])})
 
     ensure_checkpoint_dir(spark)
+    bounded_batches(spark)
     sums = counts_of(None).checkpoint()
     packed = sums.where("cell is not null").groupBy("lang").agg(F.collect_list("cell").alias("cells"), F.collect_list("n").alias("ns"))  # CELLS entries at most
     chars = {r["lang"]: np.array(r["chars"]) for r in packed.mapInArrow(shapes, "lang string, chars array<double>").collect()}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, ensure_checkpoint_dir, fresh_name, struct_udf, with_struct
+from .common import SLICE, bounded_batches, ensure_checkpoint_dir, fresh_name, struct_udf, with_struct
 
 UNKNOWN = "und"
 SAMPLE = 6000
@@ -170,6 +170,7 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
     if not counts:
         return fit_rows([])
     ensure_checkpoint_dir(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     shares = docs.sparkSession.createDataFrame([(x, max(sample / len(counts), LEAST_DOCUMENTS) / n) for x, n in counts], "lang string, share double")
     draw = F.xxhash64("id", "text", F.lit("language")).bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
     found = counted(rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", "text")).checkpoint()

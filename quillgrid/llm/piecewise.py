@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .common import SLICE
+from .common import SLICE, bounded_batches
 
 WINDOW = 7
 LENGTH = 64
@@ -138,6 +138,7 @@ SCHEMA = "doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string,
 
 def compared(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per_range: int = RANGE) -> DataFrame:
     """For each document its fingerprint, the edited text's, and their likeness; see the contract. Other columns are dropped."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     if not isinstance(rows.schema["id"].dataType, NumericType):
         raise TypeError(f"ids must be numbers to have an order, {doc_id} is {rows.schema['id'].dataType.simpleString()}")

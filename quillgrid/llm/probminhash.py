@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, ensure_checkpoint_dir, fresh_name, words_of
+from .common import SLICE, bounded_batches, ensure_checkpoint_dir, fresh_name, words_of
 from .graph import merge_join, release, relabelled
 
 SHINGLE = 5
@@ -296,6 +296,7 @@ def marked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar:
     equal in id and text all stay. A row without a text has no key and is its own class.
     """
     ensure_checkpoint_dir(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     told = rows.where("text is not null")
     prints = sketched(told).checkpoint()

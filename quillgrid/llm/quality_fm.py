@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, fresh_name, struct_udf, with_struct, words_of
+from .common import SLICE, bounded_batches, fresh_name, struct_udf, with_struct, words_of
 
 WORDS = 1 << 15
 BINS = 10
@@ -36,7 +36,7 @@ EPOCHS = 6
 BATCH = 64
 SEED = 7
 KEEP = 0.7
-MEMO = 300_000
+MEMO = 150_000
 STATISTICS = (
     "upper of letters", "symbols", "digits", "exclamation marks", "bars", "letters of characters", "mean word length", "distinct of words", "repeats of the word before",
     "repeated lines", "words that end in a symbol", "words in capitals", "sentence marks of words", "length",
@@ -136,6 +136,7 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCH
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Machine:
     """Fits on at most ``sample`` labelled documents whose id meets ``usable`` (an expression over the column ``id``)."""
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where(F.col("label").isNotNull() & usable)
     chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id", F.lit("quality")), "id").limit(sample)
     picked = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))  # `sample` rows at most

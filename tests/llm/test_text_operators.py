@@ -683,3 +683,17 @@ def test_cut_is_minimal():
             return sum(abs(v) for v, k in zip(s, x) if (v > 0) != bool(k)) + sum(w for i, j, w in e if bool(x[i]) != bool(x[j]))  # noqa: B023
 
         assert cost(min_cut(s, e)) == pytest.approx(min(cost([m >> i & 1 for i in range(n)]) for m in range(1 << n)))
+
+
+def test_batches_are_bounded(spark):
+    from quillgrid.llm.common import BATCH, bounded_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("10000", BATCH), ("0", BATCH), ("7", 7)):
+            spark.conf.set(name, given)
+            bounded_batches(spark)
+            assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)
