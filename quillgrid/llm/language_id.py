@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE, bounded_batches, ensure_checkpoint_dir, fresh_name, struct_udf, with_struct
+from .graph import release
 
 UNKNOWN = "und"
 SAMPLE = 6000
@@ -181,7 +182,10 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang",
     totals = {(r["lang"], r["kind"]): r["n"] for r in found.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(x for x, _ in counts)
     of = lambda k: entries(languages, {x: totals.get((x, k), 0) for x in languages}, list(kept[kept["kind"] == k][["key", "lang", "n"]].itertuples(index=False, name=None)))
-    return Model(languages, of(0), of(1))
+    model = Model(languages, of(0), of(1))
+    del kept
+    release(docs)
+    return model
 
 
 class Scorer:

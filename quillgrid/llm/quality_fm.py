@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, bounded_batches, fresh_name, struct_udf, with_struct, words_of
+from .graph import release
 
 WORDS = 1 << 15
 BINS = 10
@@ -150,7 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text",
                 yield pa.RecordBatch.from_pydict({"id": pa.array([str(i) for i in b["id"]]), "label": pa.array(b["label"], pa.int32()), "ids": pa.array([i.astype(np.int32) for i, _ in got], pa.list_(pa.int32())), "x": pa.array([x.astype(np.float32) for _, x in got], pa.list_(pa.float32()))})
 
     rows = sorted(picked.mapInArrow(run, "id string, label int, ids array<int>, x array<float>").collect(), key=lambda r: (len(r["id"]), r["id"], r["x"]))
-    return fit_rows([(np.array(r["ids"]), np.array(r["x"], np.float32), int(r["label"] > 0)) for r in rows])
+    machine = fit_rows([(np.array(r["ids"]), np.array(r["x"], np.float32), int(r["label"] > 0)) for r in rows])
+    del rows
+    release(docs)
+    return machine
 
 
 def with_quality(docs: DataFrame, machine: Machine, text: str = "text") -> tuple[DataFrame, str]:
