@@ -74,13 +74,13 @@ def message_stem(linter: C = "linter", message: C = "message") -> Column:
     return F.when(F.octet_length(s) <= STEM_BYTES, s).otherwise(whole)
 
 
-def human_bytes(n: C) -> Column:
-    """1024-based units, one decimal from K on."""
+def human_bytes(n: C, units: str = "KMGTPE") -> Column:
+    """1024-based units, one decimal from K on; what is beyond the last unit is still given in it. Integers or decimals without a fraction."""
     n = col(n)
-    out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-    for k, unit in enumerate("KMGTPE", 1):
+    out = F.when(n.isNull(), F.lit(None).cast("string")).when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+    for k, unit in enumerate(units, 1):
         text = F.concat(F.format_string("%.1f", F.bround(n.cast("double") / float(1024**k), 1)), F.lit(unit))
-        out = out.when(n < 1024 ** (k + 1), text) if k < 6 else out.otherwise(text)
+        out = out.when(n < 1024 ** (k + 1), text) if k < len(units) else out.otherwise(text)
     return out
 
 

@@ -1,5 +1,6 @@
 """Column functions and patterns on literal rows."""
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -28,6 +29,25 @@ def test_human_bytes(spark):
     assert values(spark, [(0,), (1023,), (1024,), (30976,), (1536 * 1024,), (5 * 1024**3,)], "n long", fc.human_bytes("n")) == ["0 B", "1023 B", "1.0K", "30.2K", "1.5M", "5.0G"]
 
 
+def test_human_bytes_beyond_longs(spark):
+    rows = [(str(8999999**2 * 899999),), (str(2**60),), (None,), (str(2**70),)]
+    n = F.col("n").cast("decimal(38,0)")
+    assert values(spark, rows, "n string", fc.human_bytes(n)) == ["63.2E", "1.0E", None, "1024.0E"]
+    assert values(spark, rows, "n string", fc.human_bytes(n, "KMGTP")) == ["64748.1P", "1024.0P", None, "1048576.0P"]
+
+
+def test_order_sizes_of_large_keys(spark, tmp_path):
+    """Keys of sixty copies of a table; and sizes from 2^60 on, which the SQL gives in P."""
+    from quillgrid.plans.catalog import ORACLES, QUERIES
+
+    rows = [(8999999, 899999), (2999999, 299999), (2**20, 2**20), (1024, 1), (0, 5), (7, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["o_orderkey"]: r["size"] for r in QUERIES["human_bytes"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet' WHERE o_orderkey < 8999999")  # beyond, the SQL's longs overflow
+    assert got.pop(8999999) == "64748.1P" and got == dict(con.sql(ORACLES["human_bytes"]).fetchall())
+
+
 def test_directives(spark):
     rows = [("//nolint",), ("// nolint:a, B // why",), ("/* nolint:all */",), ("//nolint:",), ("//nolintlint",), ("//nolint:a,,b",), ("text",), ("//nolint foo",)]
     d = values(spark, rows, "c string", fc.directive("c"))
