@@ -32,6 +32,23 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
 
+def merged(a: DataFrame, b: DataFrame, *on: str, how: str = "inner") -> DataFrame:
+    """A join on columns, sorted and merged whatever the sides' sizes: both grow with the graph, and a broadcast would send one through the driver in each round.
+
+    The first column is changed in the key, so that both sides are shuffled even where one is partitioned by it already:
+    only then can adaptive execution split the partitions of hot nodes.
+    """
+    first = on[0]
+    kind = {x.schema[first].dataType.typeName() for x in (a, b)}
+    key = F.col(first)
+    if kind <= {"byte", "short", "integer", "long"}:
+        key = key.cast("long").bitwiseXOR(F.lit(0x5BD1E995))
+    elif kind == {"string"}:
+        key = F.concat(key, F.lit("\0"))
+    out = [*a.columns, *(c for c in b.columns if c not in on and how not in ("left_anti", "left_semi"))]
+    return a.withColumn("k_", key).join(b.withColumn("k_", key).drop(first).hint("merge"), ["k_", *on[1:]], how).select(*out)
+
+
 def paths(edges: DataFrame) -> DataFrame:
     """(root, node) for every path of one edge or more."""
     ready(edges.sparkSession)
@@ -78,14 +95,14 @@ def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
     frontier = roots.select("node").distinct().checkpoint()
     seen = Seen(frontier)
     while not frontier.isEmpty():
-        step = frontier.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.all(), "node", "left_anti").checkpoint()
+        step = merged(frontier, edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
+        frontier = merged(step, seen.all(), "node", how="left_anti").checkpoint()
         seen.add(frontier)
     return seen.all()
 
 
 def closure_minus_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    return reached(edges, roots).join(roots.select("node"), "node", "left_anti")
+    return merged(reached(edges, roots), roots.select("node"), "node", how="left_anti")
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
@@ -124,7 +141,7 @@ def components(edges: DataFrame) -> DataFrame:
         of = colours(left)
         side = lambda c: of.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_of"))  # noqa: B023,E731
         inside = left.join(side("src"), "src").join(side("dst"), "dst").where("src_of = dst_of").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        found = reached(inside.checkpoint(), of.where("node = colour").select("node")).join(of, "node").checkpoint()
+        found = merged(reached(inside.checkpoint(), of.where("node = colour").select("node")), of, "node").checkpoint()
         out = found if out is None else out.union(found).checkpoint()
         gone = found.select("node")
         left = trimmed(left.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst").checkpoint())
@@ -187,7 +204,7 @@ def updated_graph(edges: DataFrame, changes: DataFrame) -> DataFrame:
 
 def stale(edges: DataFrame, file_packages: DataFrame, changed: DataFrame) -> DataFrame:
     """Packages that changed files (file) make stale: their packages and everything that depends on those."""
-    first = changed.join(file_packages, "file").select(F.col("package").alias("node")).distinct()
+    first = merged(changed, file_packages, "file").select(F.col("package").alias("node")).distinct()
     return reached(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), first)
 
 
@@ -207,7 +224,7 @@ def reverse_dependencies(edges: DataFrame, of: DataFrame, transitive: bool = Fal
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     if transitive:
         return closure_minus_roots(back, of)
-    return of.join(back.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
+    return merged(of, back.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
 
 
 def required(requires: DataFrame, roots: DataFrame) -> DataFrame:
@@ -217,7 +234,7 @@ def required(requires: DataFrame, roots: DataFrame) -> DataFrame:
 
 def fact_producers(requires: DataFrame, roots: DataFrame, declaring: DataFrame) -> DataFrame:
     """Of what the roots require, themselves included, those nodes that declare facts (node)."""
-    return required(requires, roots).join(declaring.select("node").distinct(), "node", "left_semi")
+    return merged(required(requires, roots), declaring.select("node").distinct(), "node", how="left_semi")
 
 
 def action_states(requires: DataFrame, failed: DataFrame) -> DataFrame:
@@ -225,7 +242,7 @@ def action_states(requires: DataFrame, failed: DataFrame) -> DataFrame:
     edges = requires.select(F.col("node").alias("src"), F.explode("needs").alias("dst"))
     hit = reached(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), failed)
     bad = failed.select("node").distinct().withColumn("failed", F.lit(True))
-    told = requires.select("node").distinct().join(hit.withColumn("hit", F.lit(True)), "node", "left").join(bad, "node", "left")
+    told = merged(merged(requires.select("node").distinct(), hit.withColumn("hit", F.lit(True)), "node", how="left"), bad, "node", how="left")
     return told.select("node", F.when(F.col("failed"), "failed").when(F.col("hit"), "skipped").otherwise("done").alias("state"))
 
 
@@ -237,13 +254,13 @@ def reachable_symbols(edges: DataFrame, exported: DataFrame, imported: DataFrame
     """
     ready(edges.sparkSession)
     circles = components(edges).select("node", "component")
-    of = lambda df, c: df.join(circles.select(F.col("node").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
+    of = lambda df, c: merged(df, circles.select(F.col("node").alias(c), "component"), c, how="left").withColumn(c, F.coalesce("component", c)).drop("component")
     short = of(of(edges.select("src", "dst"), "src"), "dst").where("src <> dst").distinct().checkpoint()
     front = of(exported.select(F.col("node").alias("decl"), "node"), "node").select("decl", "node").distinct().checkpoint()
     seen = Seen(front)
     while not front.isEmpty():
-        step = front.join(short.select(F.col("src").alias("node"), "dst"), "node").select("decl", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.all(), ["decl", "node"], "left_anti").checkpoint()
+        step = merged(front, short.select(F.col("src").alias("node"), "dst"), "node").select("decl", F.col("dst").alias("node")).distinct()
+        front = merged(step, seen.all(), "decl", "node", how="left_anti").checkpoint()
         seen.add(front)
     outside = of(imported.select(F.col("node").alias("symbol"), "node"), "node")
-    return seen.all().join(outside, "node").where("decl <> symbol").select("decl", "symbol")
+    return merged(seen.all(), outside, "node").where("decl <> symbol").select("decl", "symbol")

@@ -149,6 +149,29 @@ def test_graphs(spark):
     assert {r["node"]: r["before"] for r in seen.collect()}["root0"] == 5
 
 
+def broadcasts(spark, work):
+    """What work() gives, and how many of its executions broadcast a side of a join."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    every = lambda: (bus.waitUntilEmpty(30_000), store.executionsList())[1]
+    last = max((e.executionId() for e in map(every().apply, range(every().size()))), default=-1)
+    out, then = work(), every()
+    return out, sum("BroadcastExchange" in e.physicalPlanDescription() for e in map(then.apply, range(then.size())) if e.executionId() > last)
+
+
+def test_walks_send_nothing_through_the_driver(spark):
+    """Both sides of a walk's joins grow with the graph, so none is broadcast, however small it is here."""
+    requires = frame(spark, "node long, needs array<long>", (1, []), (2, [1]), (3, [2, 9]), (4, [3]), (5, []), (6, [5]), (7, [8]), (8, [7, 6]), (9, [1]))
+    bad = frame(spark, "node long", (2,), (6,), (6,))
+    got, n = broadcasts(spark, lambda: ids(graph.action_states(requires, bad), "node", "state"))
+    assert got == [(1, "done"), (2, "failed"), (3, "skipped"), (4, "skipped"), (5, "done"), (6, "failed"), (7, "skipped"), (8, "skipped"), (9, "done")] and n == 0
+    got, n = broadcasts(spark, lambda: ids(graph.fact_producers(requires, bad, frame(spark, "node int", (1,), (2,), (3,), (9,))), "node"))
+    assert got == [1, 2] and n == 0
+    e = frame(spark, "src string, dst string", ("a", "b"), ("b", "c"), ("x", "c"), ("c", None))
+    files = frame(spark, "file string, package string", ("c.go", "c"), ("x.go", "x"))
+    got, n = broadcasts(spark, lambda: ids(graph.stale(e, files, frame(spark, "file string", ("c.go",))), "node"))
+    assert got == ["a", "b", "c", "x"] and n == 0
+
+
 def test_edit_makes_dependents_stale(spark):
     dag = corpus.synthetic_packages(spark, 3, 2, 1, fan_out=1)
     files = graph.nodes_of(dag).select(F.concat("node", F.lit(".go")).alias("file"), F.col("node").alias("package"))
